@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, pii, secrets
+from tessera.llm import exact_dedup, mixing, packing, pii, secrets
 from tessera.llm.common import read
 
 
@@ -18,16 +18,33 @@ def _over(table: str, report: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
     return query
 
 
+def tokenizer() -> str:
+    """The vocabulary file that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pii": _over("documents", pii.pii_report),
         "op2_mixing": _over("documents", mixing.mix_report),
         "op3_secrets": _over("documents", secrets.secrets_report),
+        "op4_exact_dedup": _over("documents", exact_dedup.exact_groups),
+        "op10_packing": _over("documents", partial(packing.pack_documents, tokenizer=tokenizer())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2}
+    return {"op2_mixing": OP2, "op4_exact_dedup": OP4}
+
+
+OP4 = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
 
 
 OP2 = r"""
