@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, pii, secrets
+from tessera.llm import exact_dedup, media, mixing, packing, pii, secrets, warc
 from tessera.llm.common import read
 
 
@@ -31,12 +31,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": _over("documents", mixing.mix_report),
         "op3_secrets": _over("documents", secrets.secrets_report),
         "op4_exact_dedup": _over("documents", exact_dedup.exact_groups),
+        "op6_media": _over("documents", media.media_report),
+        "op8_warc": _over("pages", warc.warc_report),
         "op10_packing": _over("documents", partial(packing.pack_documents, tokenizer=tokenizer())),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_exact_dedup": OP4}
+    return {"op2_mixing": OP2, "op4_exact_dedup": OP4, "op8_warc": OP8}
+
+
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+r AS (
+  SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS digest,
+         max(page_id) OVER (PARTITION BY html) AS original,
+         row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS place
+  FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND place > 1 THEN original END AS refers_to
+FROM r
+"""
 
 
 OP4 = """
