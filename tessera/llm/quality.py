@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     shared = spark.sparkContext.broadcast(model)  # 1 MB, whatever the input
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator) -> Iterator:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield texts.map(shared.value.score).astype("float64")
 
