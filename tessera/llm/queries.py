@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, media, mixing, packing, pii, quality, secrets, warc
+from tessera.llm import exact_dedup, media, mixing, ngram_join, packing, pii, quality, secrets, warc
 from tessera.llm.common import read
 
 
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": _over("documents", mixing.mix_report),
         "op3_secrets": _over("documents", secrets.secrets_report),
         "op4_exact_dedup": _over("documents", exact_dedup.exact_groups),
+        "op5_ngram_join": _over("documents", ngram_join.ngram_groups),
         "op6_media": _over("documents", media.media_report),
         "op7_quality": lambda spark, d: quality.quality_report(read(spark, d, "documents"), read(spark, d, "labels")),
         "op8_warc": _over("pages", warc.warc_report),
