@@ -191,7 +191,7 @@ def exact_groups(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_B
 def drop_copies(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``df`` that stay, with its columns; of repeated rows with the id that stays, any one."""
     index = build_index(df, text, bucket_bytes)
-    kept = _looked_up(df, text, index).where("_kept")
+    kept = _looked_up(df.select(F.struct("*").alias("_row"), "doc_id", text), text, index).where("_kept")
     if not index.where("top_rows > 1").isEmpty():
         kept = kept.where("_top_rows = 1").unionByName(kept.where("_top_rows > 1").dropDuplicates(["_k", "_sha"]))
-    return kept.select(*df.columns)
+    return kept.select("_row.*")

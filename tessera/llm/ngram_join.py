@@ -266,7 +266,7 @@ def ngram_groups(df: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, tr
 
 def drop_near_copies(df: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` that stay, with its columns: of each class one, that with the least doc_id."""
-    docs = _keyed(df)
+    docs = _keyed(df.select(F.struct("*").alias("_row"), "doc_id", "text"))
     classes = _classes(docs, n, threshold, trees, recall)
     # one text for each class: among those with its id, any
     best = classes.where(F.col("least").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct("t1", "t2")).alias("best"), F.min("class_id").alias("keep"))
@@ -274,4 +274,4 @@ def drop_near_copies(df: DataFrame, n: int = WORDS, threshold: float = THRESHOLD
     kept = docs.join(best, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("keep")))
     if not kept.groupBy("t1", "t2").count().where("count > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["t1", "t2"])
-    return kept.select(*df.columns)
+    return kept.select("_row.*")

@@ -7,7 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, media, mixing, ngram_join, packing, pii, quality, secrets, warc
+from tessera.llm import exact_dedup, media, mixing, ngram_join, packing, pii, quality, secrets, suffix_dedup, warc
 from tessera.llm.common import read
 
 
@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": _over("documents", media.media_report),
         "op7_quality": lambda spark, d: quality.quality_report(read(spark, d, "documents"), read(spark, d, "labels")),
         "op8_warc": _over("pages", warc.warc_report),
+        "op9_suffix_dedup": _over("documents", suffix_dedup.repeats_report),
         "op10_packing": _over("documents", partial(packing.pack_documents, tokenizer=tokenizer())),
     }
 
