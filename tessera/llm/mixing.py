@@ -131,4 +131,4 @@ def mix_documents(
     copies = F.when(size == 0, 1).otherwise(F.col("_passes") + F.coalesce((here <= F.col("_last")).cast("int"), F.lit(0)))
     df = df.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
     rows = df.join(cuts, df["source"].eqNullSafe(cuts["_source"])).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*df.columns)
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")

@@ -161,6 +161,12 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def keep(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` that the model accepts, with its columns."""
+    rows = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    return score(rows, model, "_text", threshold).where("predicted = 1").select("_row.*")
+
+
 def quality_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; a null doc_id isn't held out, an empty table gives no rows."""
     scored = score(documents.select("doc_id", "text"), train(documents, labels))
