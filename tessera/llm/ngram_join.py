@@ -223,7 +223,8 @@ def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: i
             sets = [np.unique(shingles(t.as_py(), n)).tobytes() for t in batch.column(4)]
             yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["group", "blocks", "tid", "rows", "set"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t1", "t2", body().alias("text")).join(known, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    # always by a sort-merge join: candidates grow with the input, and what holds at one size holds at all
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t1", "t2", body().alias("text")).join(known.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
     sets = chosen.select("group", "blocks", "tid", "rows", "text").mapInArrow(run, "group long, blocks int, tid long, rows long, set binary")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
