@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tessera.functions import png
+from tessera.functions import png, raster
+from tessera.functions.raster import Mode
 
 FRAME = "struct<frame_no:int,x:int,y:int,width:int,height:int,delay_num:int,delay_den:int,dispose:int,blend:int,data:binary>"
 IMAGE = f"struct<width:int,height:int,color_type:int,bit_depth:int,data:binary,frames:array<{FRAME}>,error:string>"
@@ -76,6 +77,56 @@ def filter_types(content: Column | str) -> Column:
     return run(content)
 
 
+INFO = (
+    "struct<width:int,height:int,bit_depth:int,color_type:int,interlace:int,palette:array<array<int>>,key:array<int>,background:array<int>,phys:array<bigint>,time:array<int>,"
+    "gamma:bigint,plays:bigint,texts:array<struct<kind:string,keyword:string,text:string,language:string,translated:string>>,chunk_names:string,error:string>"
+)
+
+
+def _info(raw: bytes | None, read_texts: bool) -> dict:
+    names = ("width", "height", "bit_depth", "color_type", "interlace", "palette")
+    empty = dict.fromkeys([*names, "key", "background", "phys", "time", "gamma", "plays", "chunk_names", "error"]) | {"texts": []}
+    try:
+        got = png.info(raw or b"", read_texts)
+        control = next((c for c in png.parse_chunks(raw) if c["type"] == "acTL"), None)
+        texts = [{"kind": k, "language": None, "translated": None} | t for k in ("tEXt", "zTXt", "iTXt") for t in got[k]]
+        values = {n: list(got[c].values()) for n, c in (("background", "bKGD"), ("phys", "pHYs"), ("time", "tIME")) if c in got}
+        return empty | {n: got[n] for n in names} | values | {
+            "key": list(got["key"]) if got["key"] else None, "gamma": got["gAMA"]["gamma"] if "gAMA" in got else None,
+            "plays": png.parse_ancillary("acTL", control["data"], got, 0)["plays"] if control else None, "texts": texts, "chunk_names": png.chunk_names(raw),
+        }
+    except ValueError as e:
+        return empty | {"error": str(e)}
+
+
+def info(content: Column | str, read_texts: bool = True) -> Column:
+    """Header, colour mode, metadata, texts and chunk names of PNG bytes; what is absent is null."""
+
+    @F.pandas_udf(INFO)
+    def run(raw: pd.Series) -> pd.DataFrame:
+        names = "width height bit_depth color_type interlace palette key background phys time gamma plays texts chunk_names error".split()
+        return pd.DataFrame([_info(r, read_texts) for r in raw], columns=names, dtype=object)
+
+    return run(content)
+
+
+def convert(data: Column | str, width: Column, height: Column, source: Mode, target: Mode) -> Column:
+    """Pixels of one mode as pixels of another, without row padding; null for too few bytes or a colour that the palette lacks."""
+
+    @F.pandas_udf("binary")
+    def run(raw: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        def one(r: bytes | None, x: int, y: int) -> bytes | None:
+            try:
+                made = raster.convert(raster.unpack_flat(r or b"", x, y, source.color_type, source.depth), source, target)
+                return raster.pack_flat(made, target.depth)
+            except ValueError:
+                return None
+
+        return pd.Series([one(r, int(x), int(y)) for r, x, y in zip(raw, w, h, strict=True)], dtype=object)
+
+    return run(data, width.cast("int"), height.cast("int"))
+
+
 def encode(data: Column | str, width: Column, height: Column, color_type: int = 6, depth: int = 8, **settings) -> Column:
     """A struct (content, error) of pixels without row padding; ``settings`` are those of ``functions.png.encode``."""
 

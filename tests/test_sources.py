@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions import png
+from tessera.functions.raster import Mode
 from tessera.sources import images
 from tessera.streaming.images import stream_images
 
@@ -58,3 +59,16 @@ def test_stream(spark, tmp_path):
     query = stream_images(spark, str(tmp_path / "in"), files_per_batch=4).writeStream.format("memory").queryName("pictures").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("pictures").count() == 10 and spark.table("pictures").where("image.error is null").count() == 9
+
+
+def test_info_and_conversion_of_columns(spark):
+    rich = png.encode(bytes(range(16)), 2, 2, auto=False, time=(2012, 1, 2, 3, 4, 60), phys=(1, 2, 1), background=(1, 2, 3), texts=[("k", "t")], itexts=[("i", "en", "x", "日")])
+    plain = png.encode(bytes([1, 2, 3, 255] * 300), 300, 1)
+    df = spark.createDataFrame([(1, rich), (2, plain), (3, b"x"), (4, None)], "k int, content binary").select("k", images.info("content").alias("i"))
+    got = {r.k: r.i for r in df.collect()}
+    assert got[1].time == [2012, 1, 2, 3, 4, 60] and got[1].phys == [1, 2, 1] and got[1].background == [1, 2, 3] and [t.text for t in got[1].texts] == ["t", "日"]
+    assert got[2].palette == [[1, 2, 3, 255]] and got[2].bit_depth == 1 and got[2].time is None and got[2].chunk_names == "IHDR PLTE IDAT IEND"
+    assert got[3].error and got[4].error and got[3].width is None
+    px = spark.createDataFrame([(bytes([10, 20, 30, 40]),), (b"1",), (None,)], "d binary")
+    rows = [r.o and bytes(r.o) for r in px.select(images.convert("d", F.lit(1), F.lit(1), Mode(6, 8), Mode(2, 16)).alias("o")).collect()]
+    assert rows == [bytes([10, 10, 20, 20, 30, 30]), None, None]
