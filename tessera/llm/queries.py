@@ -41,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2, "op4_exact_dedup": OP4, "op8_warc": OP8}
+    return {"op2_mixing": OP2, "op4_exact_dedup": OP4, "op5_ngram_join": OP5, "op8_warc": OP8, "op9_suffix_dedup": OP9}
 
 
 OP8 = """
@@ -94,3 +94,30 @@ SELECT doc_id, size, source_size, target,
        CAST(passes * size + greatest(0, least(size, CAST(round(target) AS BIGINT) - passes * source_size - before)) AS BIGINT) AS taken, source
 FROM placed
 """
+
+OP9 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT rid, o, i, substr(h, 2 * i - 1, 100) AS s FROM (SELECT rid, o, h, unnest(range(1, n - 48)) AS i FROM d)),
+f AS (SELECT s, min(o) AS first FROM w GROUP BY s),
+g AS (SELECT rid, i FROM w JOIN f USING (s) WHERE o > first),
+p AS (SELECT rid, i, substr(h, 2 * i - 1, 2) AS b FROM (SELECT rid, h, unnest(range(1, n + 1)) AS i FROM d)),
+c AS (SELECT rid, i, b, coalesce(i - max(g.i) OVER (PARTITION BY rid ORDER BY p.i) < 50, false) AS gone FROM p LEFT JOIN g USING (rid, i)),
+e AS (SELECT rid, i, b, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS opens FROM c),
+r AS (SELECT rid, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY rid)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (rid)
+"""
+OP5 = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS tid, text, least, n FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS least, count(*) AS n FROM documents GROUP BY 1)),
+w AS (SELECT tid, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT DISTINCT tid, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT tid, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+z AS (SELECT tid, count(*) AS z FROM s GROUP BY tid),
+-- a gram of all words of a short text has fewer blanks than any gram of a long one, so they don't meet
+i AS (SELECT a.tid AS u, b.tid AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.tid < b.tid GROUP BY 1, 2),
+l AS (SELECT u, v FROM i JOIN z a ON a.tid = u JOIN z b ON b.tid = v WHERE CAST(shared AS DOUBLE) / (a.z + b.z - shared) >= 0.8),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach AS (SELECT u AS tid, u AS other FROM (SELECT DISTINCT u FROM e) UNION SELECT reach.tid, e.v FROM reach JOIN e ON e.u = reach.other),
+c AS (SELECT reach.tid, min(t.least) AS class_id FROM reach JOIN t ON t.tid = reach.other GROUP BY 1),
+k AS (SELECT u AS tid, count(*) AS texts, CAST(sum(t.n) AS BIGINT) AS docs FROM e JOIN t ON t.tid = e.v GROUP BY 1)
+SELECT d.doc_id, CASE WHEN c.tid IS NULL THEN t.least ELSE c.class_id END AS class_id, CAST(t.n - 1 + coalesce(k.docs, 0) AS BIGINT) AS n_links, coalesce(k.texts, 0) AS n_text_links
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') LEFT JOIN c ON c.tid = t.tid LEFT JOIN k ON k.tid = t.tid
+"""
