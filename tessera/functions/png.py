@@ -15,6 +15,12 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LARGEST = (1 << 31) - 1
 #: Bytes that text and profiles may inflate to.
 MOST_TEXT = 1 << 26
+#: Fixed values of the format: layouts of the chunks that are records.
+FIELDS = {
+    "tIME": (">H5B", ("year", "month", "day", "hour", "minute", "second")), "pHYs": (">IIB", ("x", "y", "unit")), "gAMA": (">I", ("gamma",)),
+    "cHRM": (">8I", ("white_x", "white_y", "red_x", "red_y", "green_x", "green_y", "blue_x", "blue_y")), "sRGB": (">B", ("intent",)),
+    "acTL": (">II", ("frames", "plays")), "fcTL": (">5IHHBB", ("sequence", "width", "height", "x", "y", "delay_num", "delay_den", "dispose", "blend")),
+}
 
 
 def parse_chunks(data: bytes, ignore_crc: bool = False) -> list[dict[str, Any]]:
@@ -101,13 +107,8 @@ def _parse_suggested(d: bytes) -> dict[str, Any]:
 def parse_ancillary(kind: str, d: bytes, header: dict[str, int], palette_size: int) -> dict[str, Any] | None:
     """Fields of an ancillary or animation chunk; None for one that is carried as it is."""
     ct, depth = header["color_type"], header["bit_depth"]
-    fixed = {
-        "tIME": (">H5B", ("year", "month", "day", "hour", "minute", "second")), "pHYs": (">IIB", ("x", "y", "unit")), "gAMA": (">I", ("gamma",)),
-        "cHRM": (">8I", ("white_x", "white_y", "red_x", "red_y", "green_x", "green_y", "blue_x", "blue_y")), "sRGB": (">B", ("intent",)),
-        "acTL": (">II", ("frames", "plays")), "fcTL": (">5IHHBB", ("sequence", "width", "height", "x", "y", "delay_num", "delay_den", "dispose", "blend")),
-    }
-    if kind in fixed:
-        form, names = fixed[kind]
+    if kind in FIELDS:
+        form, names = FIELDS[kind]
         if len(d) != struct.calcsize(form):
             raise ValueError(f"{kind} has {len(d)} bytes")
         f = dict(zip(names, struct.unpack(form, d), strict=True))
@@ -147,6 +148,33 @@ def parse_ancillary(kind: str, d: bytes, header: dict[str, int], palette_size: i
     return None
 
 
+def write_ancillary(kind: str, f: dict[str, Any]) -> bytes:
+    """The data of a chunk of the fields that ``parse_ancillary`` gives; texts are compressed where that is smaller."""
+    if kind in FIELDS:
+        form, names = FIELDS[kind]
+        return struct.pack(form, *(f[n] for n in names))
+    if kind == "bKGD":
+        return struct.pack(">3H", f["r"], f["g"], f["b"])
+    if kind == "tEXt":
+        return _word(f["keyword"]) + b"\0" + f["text"].encode("latin-1")
+    if kind == "zTXt":
+        return _word(f["keyword"]) + b"\0\0" + zlib.compress(f["text"].encode("latin-1"))
+    if kind == "iCCP":
+        return _word(f["name"]) + b"\0\0" + zlib.compress(f["profile"])
+    if kind == "iTXt":
+        raw = f["text"].encode()
+        packed = zlib.compress(raw)
+        small = len(packed) < len(raw)
+        return _word(f["keyword"]) + b"\0" + bytes([small, 0]) + f["language"].encode("latin-1") + b"\0" + f["translated"].encode() + b"\0" + (packed if small else raw)
+    if kind == "sPLT":
+        return _word(f["name"]) + bytes([0, f["depth"]]) + b"".join(struct.pack(">4BH" if f["depth"] == 8 else ">5H", *e) for e in f["entries"])
+    if kind == "hIST":
+        return struct.pack(f">{len(f['counts'])}H", *f["counts"])
+    if kind == "sBIT":
+        return bytes(f["bits"])
+    raise ValueError(f"no layout for {kind}")
+
+
 def image_mode(chunks: list[dict[str, Any]]) -> Mode:
     """Colour mode: header, palette with its alphas, colour key."""
     h = parse_header(chunks[0]["data"])
@@ -321,10 +349,8 @@ def encode(
         raw = text.encode("latin-1")
         out.append(chunk("zTXt", _word(word) + b"\0\0" + zlib.compress(raw)) if compress_text else chunk("tEXt", _word(word) + b"\0" + raw))
     for word, language, translated, text in itexts:
-        raw = text.encode()
-        packed = zlib.compress(raw)
-        small = compress_text and len(packed) < len(raw)
-        out.append(chunk("iTXt", _word(word) + b"\0" + bytes([small, 0]) + language.encode("latin-1") + b"\0" + translated.encode() + b"\0" + (packed if small else raw)))
+        fields = {"keyword": word, "language": language, "translated": translated, "text": text}
+        out.append(chunk("iTXt", write_ancillary("iTXt", fields) if compress_text else _word(word) + b"\0\0\0" + language.encode("latin-1") + b"\0" + translated.encode() + b"\0" + text.encode()))
     return b"".join([*out, *extra[2], chunk("IEND", b"")])
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import deflate
 from tessera.functions.raster import PASSES
 from tessera.operators import colors, containers, filters, layout, streams
 from tessera.plans import rasters
@@ -341,6 +345,22 @@ def _deflate_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("doc_id", F.sha2(streams.inflated("packed"), 256).alias("sha256"))
 
 
+def _open_deflate(spark: SparkSession, d: str) -> DataFrame:
+    """The open coder in each mode, read back by zlib; and its tokens, expanded."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for item, raw in zip(b["item_id"], b["data"], strict=True):
+                made = list(deflate.tokens(raw))
+                rows.append((item, "tokens", hashlib.sha256(deflate.expand(made)).hexdigest()))
+                rows += [(item, m, hashlib.sha256(zlib.decompress(deflate.deflate(raw, m))).hexdigest()) for m in ("stored", "fixed", "dynamic")]
+                rows.append((item, "inflate", hashlib.sha256(deflate.inflate(zlib.compress(raw))).hexdigest()))
+            yield pd.DataFrame(rows, columns=["item_id", "mode", "sha256"])
+
+    return _benchmark_bytes(spark, d).mapInPandas(run, "item_id long, mode string, sha256 string")
+
+
 def _brute_lines(spark: SparkSession, d: str) -> DataFrame:
     return filters.digest(filters.unfilter(filters.choose(rasters.scanlines(spark, d), 1, "brute_force"), 1))
 
@@ -390,6 +410,7 @@ def queries() -> dict[str, Query]:
         "png_roundtrip": _png_roundtrip,
         "png_auto_mode": _png_profiled,
         "deflate_roundtrip": _deflate_roundtrip,
+        "deflate_modes": _open_deflate,
     }
 
 
@@ -446,5 +467,6 @@ SELECT animation, CAST(frame_no AS BIGINT) AS frame_no, min(seq) AS opened, CAST
         "frame_bounds": """WITH i AS (SELECT l_orderkey AS animation, CAST(sum(l_quantity) AS BIGINT) AS width, count(*) AS height, count(*) AS x, CAST(max(l_linenumber) AS BIGINT) AS y FROM lineitem GROUP BY l_orderkey)
 SELECT animation, x, y, width, height FROM i JOIN orders ON o_orderkey = animation WHERE width <= 0 OR x + width > 100 OR y + height > length(o_orderpriority)""",
         "png_roundtrip": "SELECT doc_id, CAST(greatest(ceil(octet_length(encode(coalesce(text, ''))) / 64.0), 1) AS BIGINT) AS height, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "deflate_modes": "SELECT item_id, mode, sha256(text) AS sha256 FROM benchmark, (VALUES ('tokens'), ('stored'), ('fixed'), ('dynamic'), ('inflate')) m(mode)",
         "deflate_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     }
