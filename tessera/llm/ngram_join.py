@@ -28,7 +28,7 @@ RECALL = 0.999
 #: Shingles and texts of a block, on average.
 BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 1_500
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 #: Shingles in more texts of a group than this are counted by a matrix product, others pair by pair.
 DENSE = 48
 

@@ -11,6 +11,7 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,8 @@ from tessera.llm.common import materialize
 END_ID = 2
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_ENTRIES = 1_000_000
+#: Words that a Python worker remembers; workers are reused, so this memory stays taken.
+CACHE_ENTRIES = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -40,9 +42,8 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -55,6 +56,13 @@ class Encoder(dict):
         self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # ids whose bytes begin with a space
         self.opens[[i for b, i in ranks.items() if b[:1] == b" "]] = True
 
+    @cached_property
+    def slow(self):
+        """The tokenizer of the file, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> bytes:
         if text.isascii() or max(text) < "\u0250":
             return array("I", self.fast(text)).tobytes()

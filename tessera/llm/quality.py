@@ -26,7 +26,7 @@ FORMS = 1 << FORM_BITS
 TRAIN_ROWS = 8_000
 PASSES = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 _RUNS = re.compile(r"(.)\1+")
 
 
