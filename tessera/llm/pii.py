@@ -13,6 +13,7 @@ from tessera.llm.common import SPAN, body, count_kind, digest_text, spans_of
 
 #: Kinds in the order in which spans that start together are listed, and their patterns.
 #: The possessive and look-behind forms match what the plain forms match, without backtracking over long runs.
+#: For iban the pattern proposes a start only; what follows it is looked at in a look-ahead, and lengths are tried on that.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = KINDS[:4]
 PATTERNS = {
@@ -20,9 +21,20 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
+#: Letters and digits of an IBAN by country, as registered. Of other countries each length of 15 to 34 is tried.
+IBAN_LENGTHS = {
+    c: n
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in codes.split()
+}
 #: A literal without which a pattern can't match: a cheap test before the pattern runs.
 NEEDS = {"email": "@", "phone": "+"}
 #: Score before context, and the words that raise it when they stand shortly before the span.
@@ -58,6 +70,31 @@ def _mod97(hit: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(more(a, c))) == 1
 
 
+def _iban_spans(text: Column) -> Column:
+    """Of each proposed start, the longest span of a fitting length that ends at a word end and passes mod-97."""
+    lengths = F.create_map(*[F.lit(x) for kv in IBAN_LENGTHS.items() for x in kv])
+    ahead = F.regexp_extract_all(text, F.lit(PATTERNS["iban"]), F.lit(1))
+
+    def stops(run: Column) -> Column:
+        # code points of the run up to its n-th letter or digit, for each n to try
+        filled = F.filter(F.sequence(F.lit(1), F.length(run)), lambda i: F.substring(run, i, F.lit(1)) != " ")
+        listed = F.try_element_at(lengths, F.left(run, F.lit(2)))
+        tried = F.when(listed.isNotNull(), F.array(listed)).otherwise(F.sequence(F.lit(15), F.lit(34)))
+        ends = F.transform(tried, lambda n: F.get(filled, n - 1))
+        return F.filter(ends, lambda e: ~F.substring(run, e + 1, F.lit(1)).rlike("[A-Za-z0-9]") & _mod97(F.left(run, e)))
+
+    runs = F.zip_with(
+        spans_of(text, PATTERNS["iban"]),
+        ahead,
+        lambda s, a: F.struct(s["start"].alias("start"), F.concat(s["hit"], a).alias("run"), s["before"].alias("before")),
+    )
+    ended = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["run"].alias("run"), r["before"].alias("before"), F.array_max(stops(r["run"])).alias("n")))
+    return F.transform(
+        F.filter(ended, lambda r: r["n"].isNotNull()),
+        lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"]).alias("stop"), F.left(r["run"], r["n"]).alias("hit"), r["before"].alias("before")),
+    )
+
+
 def _valid(kind: str, hit: Column) -> Column:
     digits = F.length(F.regexp_replace(hit, "[^0-9]", ""))
     if kind == "ip":
@@ -69,15 +106,13 @@ def _valid(kind: str, hit: Column) -> Column:
         return _luhn(hit)
     if kind == "phone":
         return digits.between(10, 15)
-    if kind == "iban":
-        return _mod97(hit)
     if kind == "ssn":
         return ~hit.rlike("^(?:000|666|9)")
     return F.lit(True)
 
 
 def _kind_spans(text: Column, kind: str, window: int, boost: float, threshold: float) -> Column:
-    found = spans_of(text, PATTERNS[kind])
+    found = _iban_spans(text) if kind == "iban" else spans_of(text, PATTERNS[kind])
     if kind in NEEDS:
         found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(SPAN))
     scored = F.transform(

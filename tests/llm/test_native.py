@@ -72,6 +72,19 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert red[0] == "iban [IBAN] end" and red[2] == "my ssn is [SSN]" and red[3] == texts[3]
 
 
+def test_iban_ends_where_its_country_says(spark):
+    gb, de, no = "GB82WEST12345698765432", "DE89370400440532013000", "NO93 8601 1117 947"
+    texts = {
+        f"iban {de} Please pay": [de], f"IBAN {gb} BIC NWBKGB2L": [gb], f"IBAN {gb} AND call": [gb], f"IBAN {gb} 2024 06": [gb],
+        f"IBAN {de} {gb} {no} 12": [de, gb, no], f"AB12 {de}": [de], f"é😀 {no} X": [no], f"IBAN {de}x": [], f"IBAN {gb}0": [],
+        "XX57WEST12345698765432 BIC": ["XX57WEST12345698765432"], f"IBAN {de[:-1]}1 BIC": [], de: [de], "AB12 " * 4000 + no: [no],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        assert [r.text[s.start : s.stop] for s in r.pii if s.kind == "iban"] == texts[r.text], r.text
+    assert pii.redact(pii.find_pii(df)).where("doc_id = 1").first().text == "IBAN [IBAN] BIC NWBKGB2L"
+
+
 def test_weak_parts_count_beside_complements(spark):
     blob = "Ab1" * 14
     texts = [f"user=root1 {blob}", "user=root1", blob, f"https://h.example/ password=abcdef", f"user=root1\n\n{blob}", f"user=root1 {'x ' * 200}{blob}", "https://h.example/"]
