@@ -1,8 +1,9 @@
 """Secrets: strong patterns stand alone; weak parts of a credential count only beside their complements.
 
 Identifiers, secrets and endpoints of one document meet in an interval join: spans are hashed to
-(document, scope, bin) with bins as wide as the window, the parts of a bin are first reduced to their least
-and greatest position, and each weak span then meets at most three bins. No pairs of spans are made.
+(document, scope, bin) with bins as wide as the window, a long one to all bins that it covers; the parts of a
+bin are first reduced to their least and greatest position, and each weak span then meets the bins from a window
+before its start to a window behind its stop. No pairs of spans are made.
 """
 
 from __future__ import annotations
@@ -62,16 +63,27 @@ def propose(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
 def link_parts(spans: DataFrame, key: list[str], window: int = 256) -> DataFrame:
     """Of one row per span (``key``, start, rank, stop, kind, scope), the strong ones and the weak ones with a complement.
 
-    A complement is a span of a fitting role, in the same scope, whose start is at most ``window`` code points away.
+    A complement is a span of a fitting role, in the same scope, with at most ``window`` code points between the two;
+    spans that touch or overlap have none between them.
     """
     roles = F.create_map(*[F.lit(x) for kv in ROLE.items() for x in kv])
-    binned = spans.withColumn("bin", F.floor(F.col("start") / window)).withColumn("role", roles[F.col("kind")])
-    parts = binned.groupBy(*key, "scope", "bin", "role").agg(F.min("start").alias("least"), F.max("start").alias("greatest"))
-    weak = binned.where(F.col("rank") >= len(BASE_KINDS))
+
+    def bins(least: Column, greatest: Column) -> Column:
+        return F.explode(F.sequence(F.floor(least / window), F.floor(greatest / window)))
+
+    # A span lies in all bins from its start to its stop, cut to each bin; both ends count as part of it.
+    held = spans.withColumn("role", roles[F.col("kind")]).withColumn("bin", bins(F.col("start"), F.col("stop")))
+    parts = held.groupBy(*key, "scope", "bin", "role").agg(
+        F.min(F.greatest(F.col("start"), F.col("bin") * window)).alias("least"),
+        F.max(F.least(F.col("stop"), F.col("bin") * window + window - 1)).alias("greatest"),
+    )
+    weak = spans.where(F.col("rank") >= len(BASE_KINDS))
     wants = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in COMPLEMENT.items() for x in kv])
-    near = weak.withColumn("role", F.explode(wants[F.col("kind")])).withColumn("bin", F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)])))
+    low, high = F.col("start") - window, F.col("stop") + window
+    near = weak.withColumn("role", F.explode(wants[F.col("kind")])).withColumn("bin", bins(low, high))
     on = [*key, "scope", "bin", "role"]
-    met = near.join(parts, on).where((F.abs(F.col("start") - F.col("least")) <= window) | (F.abs(F.col("start") - F.col("greatest")) <= window))
+    # From low to high is wider than a bin, so whatever a bin holds is between them if its extremes aren't beyond.
+    met = near.join(parts, on).where((F.col("greatest") >= low) & (F.col("least") <= high))
     cols = [*key, "start", "rank", "stop", "kind"]
     return spans.where(F.col("rank") < len(BASE_KINDS)).select(*cols).unionByName(met.select(*cols).distinct())
 

@@ -1,6 +1,7 @@
 """Operators that are DataFrame expressions alone, beside brute force in Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -93,6 +94,34 @@ def test_weak_parts_count_beside_complements(spark):
     assert got == {0: ["ident", "blob"], 1: [], 2: [], 3: ["endpoint", "assign"], 4: [], 5: [], 6: []}
 
 
+def test_long_spans_have_complements_at_both_ends(spark):
+    jwt, blob = "Ab1." * 100, "Ab1/" * 400
+    texts = [
+        f"token={jwt} client_id=abc", f"token={jwt} https://host", f"{blob} user=root", f"user=root {'x ' * 120}{blob}",
+        f"token={jwt}{' ' * 256}client_id=abc", f"token={jwt}{' ' * 257}client_id=abc", f"{blob}{' ' * 257}user=root",
+        f"token={jwt}=user=root={jwt}", f"token={jwt}\n\nclient_id=abc",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in secrets.secrets_report(df).collect()}
+    assert got == {0: ["assign", "ident"], 1: ["assign", "endpoint"], 2: ["blob", "ident"], 3: ["ident", "blob"], 4: ["assign", "ident"], 5: ["assign"], 6: [], 7: ["assign", "ident"], 8: ["assign"]}
+
+
+def test_links_equal_all_pairs(spark):
+    rng, rows = random.Random(5), []
+    for n in range(150):
+        for start in sorted(rng.sample(range(4000), rng.randint(2, 5))):
+            kind = rng.choice(secrets.KINDS)
+            rows.append((n, start, secrets.KINDS.index(kind), start + rng.choice([8, 40, 300, 1500]), kind, rng.choice([0, 0, 0, 1])))
+
+    def fits(a, b):
+        return a[0] == b[0] and a[5] == b[5] and secrets.ROLE[b[4]] in secrets.COMPLEMENT[a[4]] and max(a[1] - b[3], b[1] - a[3]) <= 256
+
+    want = {a[:5] for a in rows if a[2] < 3 or any(fits(a, b) for b in rows)}
+    df = spark.createDataFrame(rows, "n long, start long, rank int, stop long, kind string, scope int")
+    got = [tuple(r) for r in secrets.link_parts(df, ["n"]).collect()]
+    assert sorted(got) == sorted(want) and len(want) < len(rows)
+
+
 def test_positions_and_sums(spark):
     text = "a1😀22b333" * 400
     row = spark.createDataFrame([(text,)], "t string").select(spans_of(F.col("t"), "[0-9]+").alias("s"), running_sums(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long"))).alias("r")).first()
