@@ -113,6 +113,22 @@ def spans_of(text: Column, pattern: str) -> Column:
     )
 
 
+def text_before(text: Column, spans: Column, window: int) -> Column:
+    """The ``window`` code points before each span's start, as an array of strings beside ``spans``.
+
+    The text is cut into blocks once and each span looks at two of them, so that cost doesn't grow as spans x text.
+    """
+    size = max(window, 512)
+
+    def before(blocks: Column, start: Column) -> Column:
+        i, rest = F.floor(start / size).cast("int"), (start % size).cast("int")
+        earlier = F.when((rest < window) & (i > 0), F.get(blocks, i - 1)).otherwise(F.lit(""))
+        return F.right(F.concat(earlier, F.left(F.get(blocks, i), rest)), F.lit(window))
+
+    blocks = F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+    return F.get(F.transform(F.array(blocks), lambda b: F.transform(spans, lambda s: before(b, s["start"]))), F.lit(0))
+
+
 def digest_text(spans: Column) -> Column:
     """kind:start:stop of spans (structs with kind, start, stop), comma-joined in their order."""
     return F.array_join(

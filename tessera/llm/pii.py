@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPAN, body, count_kind, digest_text, spans_of
+from tessera.llm.common import SPAN, body, count_kind, digest_text, spans_of, text_before
 
 #: Kinds in the order in which spans that start together are listed, and their patterns.
 #: The possessive and look-behind forms match what the plain forms match, without backtracking over long runs.
@@ -86,12 +86,12 @@ def _iban_spans(text: Column) -> Column:
     runs = F.zip_with(
         spans_of(text, PATTERNS["iban"]),
         ahead,
-        lambda s, a: F.struct(s["start"].alias("start"), F.concat(s["hit"], a).alias("run"), s["before"].alias("before")),
+        lambda s, a: F.struct(s["start"].alias("start"), F.concat(s["hit"], a).alias("run")),
     )
-    ended = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["run"].alias("run"), r["before"].alias("before"), F.array_max(stops(r["run"])).alias("n")))
+    ended = F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["run"].alias("run"), F.array_max(stops(r["run"])).alias("n")))
     return F.transform(
         F.filter(ended, lambda r: r["n"].isNotNull()),
-        lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"]).alias("stop"), F.left(r["run"], r["n"]).alias("hit"), r["before"].alias("before")),
+        lambda r: F.struct(r["start"].alias("start"), (r["start"] + r["n"]).alias("stop"), F.left(r["run"], r["n"]).alias("hit")),
     )
 
 
@@ -115,21 +115,23 @@ def _kind_spans(text: Column, kind: str, window: int, boost: float, threshold: f
     found = _iban_spans(text) if kind == "iban" else spans_of(text, PATTERNS[kind])
     if kind in NEEDS:
         found = F.when(F.contains(text, F.lit(NEEDS[kind])), found).otherwise(F.array().cast(SPAN))
-    scored = F.transform(
-        F.filter(found, lambda s: _valid(kind, s["hit"])),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            s["stop"].alias("stop"),
-            F.lit(kind).alias("kind"),
-            F.least(
-                F.lit(1.0),
-                F.lit(SCORES[kind])
-                + F.when(F.right(s["before"], F.lit(window)).rlike(CONTEXT[kind]), F.lit(boost)).otherwise(F.lit(0.0)),
-            ).alias("score"),
-        ),
-    )
-    return scored if kind in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= threshold)
+
+    def scored(valid: Column) -> Column:
+        return F.zip_with(
+            valid,
+            text_before(text, valid, window),
+            lambda s, before: F.struct(
+                s["start"].alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                s["stop"].alias("stop"),
+                F.lit(kind).alias("kind"),
+                F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), F.lit(boost)).otherwise(F.lit(0.0))).alias("score"),
+            ),
+        )
+
+    # bound to a name, so that the valid spans are found once
+    found = F.get(F.transform(F.array(F.filter(found, lambda s: _valid(kind, s["hit"]))), scored), F.lit(0))
+    return found if kind in BASE_KINDS else F.filter(found, lambda s: s["score"] >= threshold)
 
 
 def find_pii(

@@ -86,6 +86,18 @@ def test_iban_ends_where_its_country_says(spark):
     assert pii.redact(pii.find_pii(df)).where("doc_id = 1").first().text == "IBAN [IBAN] BIC NWBKGB2L"
 
 
+def test_context_reaches_over_other_numbers(spark):
+    texts = [
+        "ssn: 123-45-6789, 234-56-7890, 345-67-8901", "ssn 000-12-3456 123-45-6789", "ssn " + "x" * 44 + " 123-45-6789",
+        "ssn " + "x" * 43 + " 123-45-6789", "é😀" * 990 + " ssn: " + "123-45-6789 " * 200, "phone +442071838750 or +442071838751",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        found = [m for m in re.finditer(r"(?<![0-9-])(?!000)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r.text) if re.search(r"\bssn\b", r.text[max(0, m.start() - 48) : m.start()])]
+        assert [(s.start, s.stop) for s in r.pii if s.kind == "ssn"] == [m.span() for m in found] and len(found) == [3, 1, 0, 1, 4, 0][r.doc_id]
+    assert [round(s.score, 2) for s in pii.find_pii(df).where("doc_id = 5").first().pii] == [0.9, 0.9]
+
+
 def test_weak_parts_count_beside_complements(spark):
     blob = "Ab1" * 14
     texts = [f"user=root1 {blob}", "user=root1", blob, f"https://h.example/ password=abcdef", f"user=root1\n\n{blob}", f"user=root1 {'x ' * 200}{blob}", "https://h.example/"]
