@@ -1,8 +1,8 @@
-"""Jaccard join on word n-grams by a MinHash LSH forest, with exact verification.
+"""Jaccard join on word n-grams by MinHash banding, with exact verification.
 
-Every text gets one signature cut into trees. The trees are prefix tries in sorted form: a node is the hash of a
-tree and a prefix. Prefixes start long and are shortened until the recall at the threshold meets its target.
-Texts that share a node are tied to its least member; the components of these ties hold all candidates. Within
+Every text gets one signature cut into bands ("trees") of equal length, hashed to one node each. The length is
+fixed before any text is read: the longest at which a pair at the threshold shares a node with the target recall.
+No longer prefixes are made and none are shortened by the data, as an LSH forest would. Texts that share a node are tied to its least member; the components of these ties hold all candidates. Within
 them shingle sets are compared exactly, large components in pairs of blocks, and only link counts and spanning
 edges leave a task.
 """
@@ -34,7 +34,7 @@ DENSE = 48
 
 
 def prefix_length(threshold: float, trees: int, recall: float, longest: int = LONGEST) -> int:
-    """Shorten the prefix until a pair at the threshold shares one in some tree with probability ``recall``."""
+    """The longest prefix that a pair at the threshold shares in some tree with probability ``recall``: of constants only."""
     length = longest
     while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
         length -= 1
