@@ -44,7 +44,7 @@ _KINDS = _Kinds()
 
 def shape(word: str) -> str:
     """Kinds of characters in order, runs shortened: A upper, a lower, 9 digit, other characters as they are."""
-    return _RUNS.sub(r"\1", word[:40].translate(_KINDS))
+    return _RUNS.sub(r"\1", word.translate(_KINDS))
 
 
 class Words(dict):

@@ -32,3 +32,11 @@ def test_only_the_text_is_scored():
     assert model.score("nice things there") > 0.5 > model.score("OTHER!! THING!!") and model.score("x y") == model.score("x y")
     at, x = quality.features("a a b")
     assert abs(sum(x[at >= quality.FORMS]) - 1) < 1e-9
+
+
+def test_shape_covers_the_whole_word():
+    opening = "ab1-" * 10
+    assert quality.shape(opening + "!?" * 30 + "XY") == "a9-" * 10 + "!?" * 30 + "A"
+    assert quality.shape("A" + "b" * 500 + "7") == "Aa9"
+    forms = [set(at[at < quality.FORMS]) for at, _ in map(quality.features, (opening + "CD", opening + "!!!"))]
+    assert forms[0] != forms[1]
