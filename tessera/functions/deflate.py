@@ -245,12 +245,28 @@ def _lengths_for(counts: Counter, size: int, most: int) -> list[int]:
     return [found.get(s, 0) for s in range(size)]
 
 
-def deflate(data: bytes, mode: str = "dynamic", window: int = WINDOW, lazy: bool = True, block: int = 65_535) -> bytes:
-    """A zlib stream in blocks of one kind: stored, fixed or dynamic."""
+def _blocks(stream: Iterator[Token], size: int) -> list[list[Token]]:
+    """Tokens in blocks that stand for ``size`` bytes or, where a match crosses the end, a few more."""
+    out, held = [[]], 0
+    for t in stream:
+        if held >= size:
+            out.append([])
+            held = 0
+        out[-1].append(t)
+        held += 1 if isinstance(t, int) else t[0]
+    return out
+
+
+def deflate(data: bytes, mode: str = "dynamic", window: int = WINDOW, lazy: bool = True, block: int | None = None) -> bytes:
+    """A zlib stream in blocks of one kind: stored, fixed or dynamic. Matches reach back over the starts of blocks."""
     bits = _Bits()
-    parts = [data[i : i + block] for i in range(0, len(data), block)] or [b""]
-    if mode == "fixed":
-        parts = [data]
+    if mode == "stored":
+        block = block or 65_535
+        parts = [data[i : i + block] for i in range(0, len(data), block)] or [b""]
+    elif mode == "fixed":
+        parts = [list(tokens(data, window, lazy))]
+    else:
+        parts = _blocks(tokens(data, window, lazy), block or max(len(data) // 8 + 8, 65_535))
     for k, part in enumerate(parts):
         bits.put(k == len(parts) - 1, 1)
         bits.put(("stored", "fixed", "dynamic").index(mode), 2)
@@ -259,7 +275,7 @@ def deflate(data: bytes, mode: str = "dynamic", window: int = WINDOW, lazy: bool
             bits.out += len(part).to_bytes(2, "little") + (len(part) ^ 0xFFFF).to_bytes(2, "little") + part
             continue
         coded = []
-        for t in tokens(part, window, lazy):
+        for t in part:
             if isinstance(t, int):
                 coded.append(((t, 0, 0), None))
             else:

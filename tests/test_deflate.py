@@ -33,6 +33,17 @@ def test_tokens_expand_and_stay_in_the_window():
     assert len(deflate.deflate(b"abcabcabcd" * 300)) < 60
 
 
+def test_matches_reach_back_over_blocks():
+    rng = random.Random(8)
+    data = bytes(rng.randrange(256) for _ in range(1000)) * 2
+    made = deflate.deflate(data, block=1000)
+    back = list(deflate.read_tokens(made[2:-4]))
+    assert zlib.decompress(made) == data and back == list(deflate.tokens(data)) and any(t[1] == 1000 for t in back if not isinstance(t, int))
+    long = data * 70
+    made = deflate.deflate(long)
+    assert zlib.decompress(made) == long and list(deflate.read_tokens(made[2:-4])) == list(deflate.tokens(long))
+
+
 def test_damage_is_a_value_error():
     rng = random.Random(7)
     good = deflate.deflate(b"some text some more text " * 20)
