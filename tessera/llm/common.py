@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +14,15 @@ _SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (local mode) gets a temporary folder; a cluster gets an error, since
+    its executors couldn't see a folder of the driver's machine.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -64,69 +71,82 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
-def running_sums(values: Column, step: int = 256) -> Column:
-    """Inclusive running sums of an array of longs, in blocks, so that cost stays near linear in its length."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
-    def sums(a: Column) -> Column:
+def running_sums(values: Column, step: int = 256, levels: int = 2) -> Column:
+    """Inclusive running sums of an array of longs: sums in blocks of ``step``, then sums of the blocks' ends likewise.
+
+    With two levels over plain sums the cost of n values is about n * ``step`` / 2 up to ``step`` ** 3 values.
+    """
+    if levels == 0:
         return F.aggregate(
-            a,
+            values,
             F.array().cast("array<long>"),
             lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)),
         )
-
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / step).cast("int") - 1, F.lit(0))),
-        lambda i: sums(F.slice(values, i * step + 1, F.lit(step))),
+    blocks = bound(
+        values,
+        lambda a: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / step).cast("int") - 1, F.lit(0))),
+            lambda i: running_sums(F.slice(a, i * step + 1, F.lit(step)), step, 0),
+        ),
     )
 
     def joined(b: Column) -> Column:
-        ends = sums(F.transform(b, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0).cast("long"))))
+        ends = running_sums(F.transform(b, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0).cast("long"))), step, levels - 1)
         before = F.concat(F.array(F.lit(0).cast("long")), ends)
-        return F.flatten(F.transform(b, lambda x, i: F.transform(x, lambda v: v + F.get(before, i))))
+        return bound(before, lambda e: F.flatten(F.transform(b, lambda x, i: F.transform(x, lambda v: v + F.get(e, i)))))
 
-    return F.get(F.transform(F.array(blocks), joined), F.lit(0))
+    return bound(blocks, joined)
 
 
-SPAN = "array<struct<start:long,stop:long,hit:string,before:string>>"
+SPAN = "array<struct<start:long,stop:long,hit:string>>"
 
 
 def spans_of(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern as an array of (start, stop, hit, before).
+    """Leftmost non-overlapping matches of a pattern as an array of (start, stop, hit).
 
-    Positions count code points, ``stop`` is exclusive, ``before`` is the text between the last match
-    and this one. The pattern must not match the empty string.
+    Positions count code points, ``stop`` is exclusive. The pattern must not match the empty string.
     """
-    rx = F.lit(pattern)
-
-    def located(pieces: Column) -> Column:
-        hits = F.regexp_extract_all(text, rx, F.lit(0))
-        ends = running_sums(F.zip_with(hits, F.slice(pieces, 1, F.size(hits)), lambda h, p: (F.length(h) + F.length(p)).cast("long")))
-        full = F.arrays_zip(hits.alias("h"), F.slice(pieces, 1, F.size(hits)).alias("p"), ends.alias("e"))
-        return F.transform(
-            full,
-            lambda x: F.struct((x["e"] - F.length(x["h"])).alias("start"), x["e"].alias("stop"), x["h"].alias("hit"), x["p"].alias("before")),
-        )
 
-    pieces = F.split(text, pattern, -1)
-    return F.get(
-        F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, located(p)).otherwise(F.array().cast(SPAN))), F.lit(0)
-    )
+    def located(pieces: Column, hits: Column) -> Column:
+        before = F.slice(pieces, 1, F.size(hits))
+        ends = running_sums(F.zip_with(hits, before, lambda h, p: (F.length(h) + F.length(p)).cast("long")))
+        return F.zip_with(hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("stop"), h.alias("hit")))
+
+    def found(pieces: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.when(F.size(pieces) > 1, bound(hits, lambda h: located(pieces, h))).otherwise(F.array().cast(SPAN))
 
+    return bound(F.split(text, pattern, -1), found)
 
-def text_before(text: Column, spans: Column, window: int) -> Column:
-    """The ``window`` code points before each span's start, as an array of strings beside ``spans``.
 
-    The text is cut into blocks once and each span looks at two of them, so that cost doesn't grow as spans x text.
+def text_around(text: Column, spans: Column, window: int) -> Column:
+    """The ``window`` code points before and behind each span, as an array of (before, behind) beside ``spans``.
+
+    The text is cut into blocks once and each span looks at two of them a side, so that cost doesn't grow as spans x text.
     """
     size = max(window, 512)
 
     def before(blocks: Column, start: Column) -> Column:
         i, rest = F.floor(start / size).cast("int"), (start % size).cast("int")
         earlier = F.when((rest < window) & (i > 0), F.get(blocks, i - 1)).otherwise(F.lit(""))
-        return F.right(F.concat(earlier, F.left(F.get(blocks, i), rest)), F.lit(window))
+        return F.right(F.concat(earlier, F.left(F.coalesce(F.get(blocks, i), F.lit("")), rest)), F.lit(window))
+
+    def behind(blocks: Column, stop: Column) -> Column:
+        i, rest = F.floor(stop / size).cast("int"), (stop % size).cast("int")
+        here = F.substring(F.coalesce(F.get(blocks, i), F.lit("")), rest + 1, F.lit(window))
+        later = F.when(rest + window > size, F.coalesce(F.get(blocks, i + 1), F.lit(""))).otherwise(F.lit(""))
+        return F.left(F.concat(here, later), F.lit(window))
 
     blocks = F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
-    return F.get(F.transform(F.array(blocks), lambda b: F.transform(spans, lambda s: before(b, s["start"]))), F.lit(0))
+    return bound(
+        blocks,
+        lambda b: F.transform(spans, lambda s: F.struct(before(b, s["start"]).alias("before"), behind(b, s["stop"]).alias("behind"))),
+    )
 
 
 def digest_text(spans: Column) -> Column:

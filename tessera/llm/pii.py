@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPAN, body, count_kind, digest_text, spans_of, text_before
+from tessera.llm.common import SPAN, body, bound, count_kind, digest_text, spans_of, text_around
 
 #: Kinds in the order in which spans that start together are listed, and their patterns.
 #: The possessive and look-behind forms match what the plain forms match, without backtracking over long runs.
@@ -37,7 +37,7 @@ IBAN_LENGTHS = {
 }
 #: A literal without which a pattern can't match: a cheap test before the pattern runs.
 NEEDS = {"email": "@", "phone": "+"}
-#: Score before context, and the words that raise it when they stand shortly before the span.
+#: Score before context, and the words that raise it when they stand shortly before or behind the span.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write to)\b",
@@ -47,6 +47,15 @@ CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|transfer)\b",
     "ssn": r"(?i)\b(?:ssn|social security|taxpayer)\b",
 }
+#: Words that lower the score: what follows them is a number of another sort.
+AGAINST = {
+    "email": r"(?i)\b(?:example|placeholder)\b",
+    "ip": r"(?i)\b(?:version|release|section|chapter)\b",
+    "card": r"(?i)\b(?:isbn|serial|tracking|order)\b",
+    "phone": r"(?i)\b(?:version|equation|coordinates)\b",
+    "iban": r"(?i)\b(?:serial|licen[cs]e key|part number)\b",
+    "ssn": r"(?i)\b(?:order|invoice|part number|tracking|isbn|serial)\b",
+}
 
 
 def _luhn(hit: Column) -> Column:
@@ -111,6 +120,13 @@ def _valid(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _adjusted(kind: str, near: Column, boost: float) -> Column:
+    """The kind's score, raised by ``boost`` for a word of its context and lowered by it for one against it; 0 to 1."""
+    up = F.when(near.rlike(CONTEXT[kind]), F.lit(boost)).otherwise(F.lit(0.0))
+    down = F.when(near.rlike(AGAINST[kind]), F.lit(boost)).otherwise(F.lit(0.0))
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + up - down)), 4)
+
+
 def _kind_spans(text: Column, kind: str, window: int, boost: float, threshold: float) -> Column:
     found = _iban_spans(text) if kind == "iban" else spans_of(text, PATTERNS[kind])
     if kind in NEEDS:
@@ -119,18 +135,18 @@ def _kind_spans(text: Column, kind: str, window: int, boost: float, threshold: f
     def scored(valid: Column) -> Column:
         return F.zip_with(
             valid,
-            text_before(text, valid, window),
-            lambda s, before: F.struct(
+            text_around(text, valid, window),
+            lambda s, near: F.struct(
                 s["start"].alias("start"),
                 F.lit(KINDS.index(kind)).alias("rank"),
                 s["stop"].alias("stop"),
                 F.lit(kind).alias("kind"),
-                F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), F.lit(boost)).otherwise(F.lit(0.0))).alias("score"),
+                _adjusted(kind, F.concat_ws("\n", near["before"], near["behind"]), boost).alias("score"),
             ),
         )
 
     # bound to a name, so that the valid spans are found once
-    found = F.get(F.transform(F.array(F.filter(found, lambda s: _valid(kind, s["hit"]))), scored), F.lit(0))
+    found = bound(F.filter(found, lambda s: _valid(kind, s["hit"])), scored)
     return found if kind in BASE_KINDS else F.filter(found, lambda s: s["score"] >= threshold)
 
 
@@ -140,8 +156,9 @@ def find_pii(
     """Add ``out``: an array of (start, rank, stop, kind, score), by start and then kind.
 
     Patterns propose spans; Luhn, mod-97 and range checks confirm them; a context word among the ``window``
-    code points before a span raises its score by ``boost``. Base kinds always stay; iban and ssn need ``threshold``.
-    Null or empty text: an empty array. Repeated rows are judged alike; ids and other columns play no part and
+    code points before or behind a span raises its score by ``boost``, a word that speaks against the kind lowers it.
+    Base kinds always stay; iban and ssn need ``threshold``. Null or empty text: an empty array. A text of any length
+    is scanned whole, in time linear in it and its spans. Repeated rows are judged alike; ids and other columns play no part and
     are kept, an older column called ``out`` is replaced.
     """
     # One column a kind: a match array is then computed once and not once for each use.

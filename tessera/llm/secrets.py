@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPAN, body, count_kind, digest_text, materialize, spans_of
+from tessera.llm.common import SPAN, body, bound, count_kind, digest_text, materialize, running_sums, spans_of
 
 #: Kinds in listing order and their patterns; the length floors are part of the patterns,
 #: which changes nothing: a match that is too short has no longer match inside it.
@@ -23,7 +23,7 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"[0-9a-f]{24,}+",
     "ident": r"(?i)\b(?:client_?id|access_?key_?id|user(?:name)?|login|account)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}+",
-    "blob": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]{0,64}[0-9])[A-Za-z0-9+/]{32,}+={0,2}",
+    "blob": r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*+[0-9])[A-Za-z0-9+/]{32,}+={0,2}",
     "endpoint": r"\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.@:-]++",
 }
 #: The part a kind plays, and the parts of which one must be near for a weak kind to count.
@@ -46,19 +46,35 @@ def _kind_spans(text: Column, kind: str) -> Column:
     )
 
 
-def propose(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """Add ``out``: all strong and weak spans (start, rank, stop, kind, scope), by start and then kind; null text: none."""
-    found = df.withColumn(out, F.array_sort(F.concat(*[_kind_spans(body(text), k) for k in KINDS])))
-    breaks = F.when(F.exists(out, lambda s: s["rank"] >= len(BASE_KINDS)), spans_of(body(text), BREAK))
-    breaks = F.transform(F.coalesce(breaks, F.array().cast(SPAN)), lambda b: b["start"])
-    return found.withColumn(
-        out,
-        F.transform(
-            out,
-            lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "stop", "kind")], F.size(F.filter(breaks, lambda b: b < s["start"])).alias("scope")),
-        ),
+def _scoped(spans: Column, breaks: Column) -> Column:
+    """``spans``, in order of their starts, with the number of ``breaks`` before each: both are merged and counted once."""
+    at = F.concat(
+        F.transform(breaks, lambda b: F.struct(b["start"].alias("at"), F.lit(1).cast("long").alias("breaks"))),
+        F.transform(spans, lambda s: F.struct((s["start"] + 1).alias("at"), F.lit(0).cast("long").alias("breaks"))),
     )
 
+    def counted(marks: Column) -> Column:
+        passed = F.zip_with(marks, running_sums(F.transform(marks, lambda m: m["breaks"])), lambda m, n: F.struct(m["breaks"].alias("breaks"), n.alias("n")))
+        scopes = F.filter(passed, lambda p: p["breaks"] == 0)
+        return F.zip_with(
+            spans, scopes, lambda s, p: F.struct(*[s[c].alias(c) for c in ("start", "rank", "stop", "kind")], p["n"].alias("scope"))
+        )
+
+    return bound(F.array_sort(at), counted)
+
+
+def propose(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """Add ``out``: all strong and weak spans (start, rank, stop, kind, scope), by start and then kind; null text: none.
+
+    The scope is the number of blank lines before the span. Work is linear in the text, its spans and its blank lines.
+    """
+
+    def scoped(spans: Column) -> Column:
+        weak = F.exists(spans, lambda s: s["rank"] >= len(BASE_KINDS))
+        return _scoped(spans, F.when(weak, spans_of(body(text), BREAK)).otherwise(F.array().cast(SPAN)))
+
+    return df.withColumn(out, bound(F.array_sort(F.concat(*[_kind_spans(body(text), k) for k in KINDS])), scoped))
+
 
 def link_parts(spans: DataFrame, key: list[str], window: int = 256) -> DataFrame:
     """Of one row per span (``key``, start, rank, stop, kind, scope), the strong ones and the weak ones with a complement.
@@ -92,9 +108,10 @@ def find_secrets(df: DataFrame, text: str = "text", window: int = 256) -> DataFr
     """One row per input row: all its columns but ``text``, and ``secrets``: array of (start, rank, stop, kind).
 
     Null or empty text: an empty array. Rows with equal or null ids are kept apart by a row number that is
-    frozen when the spans are written. A ``text`` of any length is scanned whole.
+    frozen when the spans are written. A ``text`` of any length is scanned whole; time is linear in its length and
+    its spans. An older column ``secrets`` is replaced; other columns play no part. An empty table gives no rows.
     """
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, "secrets")]
     rows = df.select(F.struct(*rest).alias("_row"), text).withColumn("_n", F.monotonically_increasing_id())
     found = materialize(propose(rows, text, "_spans").select("_n", "_row", "_spans"), "secret-spans")
     weak_rows = found.where(F.exists("_spans", lambda s: s["rank"] >= len(BASE_KINDS)))
