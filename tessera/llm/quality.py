@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained with follow-the-regularised-leader.
 
-Words are hashed as they stand (lower case) and as shapes, so that unseen words still tell how they are written;
-n-grams of both fall into one table of weights. A score is a sparse dot product.
+Words, pairs and triples of words are hashed as they stand (lower case), words and pairs also as shapes, so that
+unseen words still tell how they are written. All fall into one table of weights. A batch of texts is one sparse
+matrix, its scores one product with the weights.
 """
 
 from __future__ import annotations
@@ -9,16 +10,17 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import body, materialize
 
-BITS = 18
+BITS = 20
 SIZE = 1 << BITS
 FORM_BITS = 12
 FORMS = 1 << FORM_BITS
@@ -27,6 +29,9 @@ TRAIN_ROWS = 8_000
 PASSES = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 CACHE_ENTRIES = 150_000
+#: Bytes of text that are made into one sparse matrix; a longer text is one by itself.
+BLOCK_BYTES = 4 << 20
+_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = re.compile(r"(.)\1+")
 
 
@@ -62,27 +67,69 @@ _WORDS = Words()
 
 
 def _mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
-    return (((x + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    return (((x + np.uint64(salt)) * _MULTIPLY) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Indices, which may repeat, and values.
+class Sparse(NamedTuple):
+    """Entries of a sparse matrix with ``rows`` rows; an index may repeat within a row, its values add up."""
 
-    A word adds its share of the text. Shapes, pairs of shapes and repeated words are few and tell more:
-    they have the square roots of their shares, in the first part of the table.
+    rows: int
+    row: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+
+
+def features(texts: pa.Array) -> Sparse:
+    """A row per text; words are what lies between white space, a null text has none.
+
+    A word, pair or triple of words adds its share of the text. Shapes, pairs of shapes and repeated words are few
+    and tell more: they have the square roots of their shares, in the first part of the table. A text without words
+    has one entry of its own.
     """
-    words = text.split()
-    n = len(words)
-    if not n:
-        return np.zeros(1, np.int64), np.ones(1)
-    both = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    coded = split.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    table = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    if "" in words:  # white space at an end leaves an empty piece
+        real = code != words.index("")
+        row, code = row[real], code[real]
+    both = table[code]
     word, form = both >> np.uint64(31), both & np.uint64(0x7FFFFFFF)
-    pair = form[1:] * np.uint64(0x100000001B3) + form[:-1]
-    again = (word[1:] == word[:-1]).astype(np.uint64)
-    counts = np.bincount(np.concatenate([_mix(form, 2, FORM_BITS), _mix(pair, 3, FORM_BITS), _mix(again, 4, FORM_BITS)]), minlength=FORMS)
-    found = np.flatnonzero(counts)
-    at = FORMS + _mix(word, 1, BITS) % (SIZE - FORMS)
-    return np.concatenate([found, at]), np.concatenate([np.sqrt(counts[found] / n), np.full(n, 1 / n)])
+    n = np.bincount(row, minlength=len(texts))
+    two = row[1:] == row[:-1]
+    three = two[1:] & two[:-1]
+    pair = ((word[:-1] + np.uint64(1)) * _MULTIPLY ^ word[1:])[two]
+    triple = (((word[:-2] + np.uint64(1)) * _MULTIPLY ^ word[1:-1]) * _MULTIPLY ^ word[2:])[three]
+    forms = (form[1:] * np.uint64(0x100000001B3) + form[:-1])[two]
+    again = (word[1:] == word[:-1]).astype(np.uint64)[two]
+    row2, row3 = row[1:][two], row[2:][three]
+    key = np.concatenate([row << FORM_BITS | _mix(form, 2, FORM_BITS), row2 << FORM_BITS | _mix(forms, 3, FORM_BITS), row2 << FORM_BITS | _mix(again, 4, FORM_BITS)])
+    key, count = np.unique(key, return_counts=True)
+    few = key >> FORM_BITS
+    empty = np.flatnonzero(n == 0)
+    many = np.concatenate([row, row2, row3])
+    hashed = np.concatenate([_mix(word, 1, BITS), _mix(pair, 5, BITS), _mix(triple, 6, BITS)])
+    return Sparse(
+        len(texts),
+        np.concatenate([few, many, empty]),
+        np.concatenate([key & (FORMS - 1), FORMS + hashed % (SIZE - FORMS), np.zeros(len(empty), np.int64)]),
+        np.concatenate([np.sqrt(count / n[few]), 1 / n[many], np.ones(len(empty))]),
+    )
+
+
+def blocks(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in slices of at most ``BLOCK_BYTES``, or of one text."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    lo = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and size + n > BLOCK_BYTES:
+            yield texts[lo:i]
+            lo, size = i, 0
+        size += n
+    if lo < len(texts):
+        yield texts[lo:]
 
 
 class Model:
@@ -91,9 +138,16 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        made = [self._product(features(t)) for t in blocks(texts)]
+        total = np.concatenate(made) if made else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(total + self.bias, -35, 35)))
+
+    def _product(self, m: Sparse) -> np.ndarray:
+        return np.bincount(m.row, self.weights[m.at] * m.x, m.rows)
+
     def score(self, text: str) -> float:
-        at, x = features(text)
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x + self.bias, -35, 35))))
+        return float(self.scores(pa.array([text], pa.string()))[0])
 
 
 def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
@@ -101,9 +155,9 @@ def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
     z, n, bias_z, bias_n = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     rows = []
     for t in texts:
-        at, x = features(t)
-        once, back = np.unique(at, return_inverse=True)
-        rows.append((once, np.bincount(back, x)))
+        made = features(pa.array([t], pa.string()))
+        once, back = np.unique(made.at, return_inverse=True)
+        rows.append((once, np.bincount(back, made.x)))
 
     def leader(z, n):
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
@@ -127,15 +181,17 @@ def held_out():
 
 
 def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, passes: int = PASSES) -> Model:
-    """A model from at most ``train_rows`` labelled rows that aren't held out, in one task of bounded size.
+    """A model from at most ``train_rows`` labelled rows that aren't held out, in one task.
 
-    Labels are joined by doc_id; null ids and labels take no part. Without labelled rows every score is 0.5.
+    Labels are joined by doc_id; null ids and labels take no part. Of repeated labels of an id the largest counts, of
+    repeated documents the text that is least. Texts are taken whole. Without labelled rows every score is 0.5.
     """
     order = F.xxhash64("doc_id")
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("y")).orderBy(order, "doc_id").limit(train_rows)
     picked = materialize(picked, "quality-sample")
-    rows = documents.select("doc_id", body().alias("text")).join(F.broadcast(picked), "doc_id")  # at most train_rows
+    rows = documents.select("doc_id", body().alias("text")).join(F.broadcast(picked), "doc_id")  # at most train_rows ids
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
@@ -148,26 +204,29 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``df`` with ``score`` and ``predicted``; null text counts as empty. Only the text is an input of the score."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 1 MB, whatever the input
+    """``df`` with ``score`` and ``predicted``, older columns of these names replaced.
+
+    Null text counts as empty; a text of any length is scored whole; repeated rows are scored alike. Only the text is
+    an input of the score.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the input
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield texts.map(shared.value.score).astype("float64")
+            yield pa.array(shared.value.scores(texts))
 
     found = df.withColumn("score", scored(body(text)))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``df`` that the model accepts, with its columns."""
+    """The rows of ``df`` that the model accepts, with its columns, whatever they are called."""
     rows = df.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
     return score(rows, model, "_text", threshold).where("predicted = 1").select("_row.*")
 
 
 def quality_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; a null doc_id isn't held out, an empty table gives no rows."""
+    """doc_id, held_out, score, predicted of every row; a null doc_id isn't held out, an empty table gives no rows."""
     scored = score(documents.select("doc_id", "text"), train(documents, labels))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
