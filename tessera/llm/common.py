@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,17 +38,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and it survives lost executors."""
+def materialize(df: DataFrame, name: str, buckets: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and it survives lost executors.
+
+    With ``buckets`` it is dealt into so many by the columns ``by``, and a join by these doesn't shuffle it again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not buckets:
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"tessera_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *by).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(table)
+    return spark.table(table)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application. Call it only when no result that reads them is still wanted."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
@@ -149,6 +160,31 @@ def text_around(text: Column, spans: Column, window: int) -> Column:
     )
 
 
+#: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the input.
+HOT_SHARE = 1_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, spread: list[str], how: str = "inner") -> DataFrame:
+    """``left`` with the columns of ``right``, which has one row for each key and in ``count`` the rows that key has in ``left``.
+
+    ``total`` is the sum of ``count``. Keys with over a thousandth of it are fewer than a thousand, so their rows of
+    ``right`` are broadcast; rows of ``left`` that they meet are dealt by ``spread``, columns in which rows of a key
+    differ, and all others by key. No task gets a hot key's rows. ``how`` is inner or left; keys aren't null.
+    """
+    hot = F.col(count) * HOT_SHARE > F.lit(total)
+    values = [c for c in right.columns if c not in keys]
+
+    def part(where: Column, name: str) -> DataFrame:
+        return right.where(where).select(*keys, F.struct(*values).alias(name))
+
+    dealt = left.join(F.broadcast(part(hot, "_hot")), keys, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).cast("int"))
+    met = dealt.join(part(~hot, "_cold").withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").withColumn("_right", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        met = met.where(F.col("_right").isNotNull())
+    return met.select(*left.columns, "_right.*")
+
+
 def digest_text(spans: Column) -> Column:
     """kind:start:stop of spans (structs with kind, start, stop), comma-joined in their order."""
     return F.array_join(

@@ -3,7 +3,8 @@
 A directory doubles wherever a bucket of the hash space holds too many bytes of distinct keys. Map tasks merge
 the equal texts they see; what is left goes to the owner of its key range, which chains the texts of a key and
 compares their bytes. The chains are the pages of the index, a table in the shared folder; documents look
-themselves up there by key and SHA-256, so texts are shuffled once.
+themselves up there by key and SHA-256. Where only the rows that stay are wanted, they travel with their texts.
+Either way texts are shuffled once.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import body, materialize
+from tessera.llm.common import body, join_counted, materialize
 
-#: Bytes of distinct texts in a bucket, and the most leaves of a directory: beyond, buckets get twice as large.
+#: Bytes of distinct texts in a bucket, and the most leaves of a directory, which the driver holds. Beyond a quarter
+#: of these leaves (1 TB of distinct text) buckets get twice as large, again and again; nothing is left out.
 BUCKET_BYTES = 4 << 20
 MOST_LEAVES = 1 << 20
 #: Bytes of text that a map task holds for merging.
@@ -36,7 +39,8 @@ def _prefix(k: Column, bits: int) -> Column:
 def build_directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> np.ndarray:
     """First keys (unsigned, ascending) of the buckets. ``keys``: a row (k, bytes) per distinct key.
 
-    The driver holds a few numbers for each bucket, never keys.
+    The driver holds a few numbers for each bucket, never keys: at most ``MOST_LEAVES`` buckets, for which
+    ``bucket_bytes`` is doubled until a quarter of them would hold everything.
     """
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     while total / bucket_bytes > MOST_LEAVES / 4:
@@ -69,129 +73,176 @@ def build_directory(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> np.nda
 
 
 def _merge(directory: np.ndarray):
-    """Map side: one row for each text that the task saw, with its bucket."""
+    """Map side: one row for each text that the task saw, with its bucket and, if there is a fourth column, that of its top row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
-        size = 0
+        rests: list[pa.Array] = []
+        size = seen = 0
 
         def flush() -> pa.RecordBatch:
-            texts = list(held)
             rows = list(held.values())
             keys = np.array([r[0] for r in rows], dtype=np.int64)
             bucket = np.searchsorted(directory, keys.view(np.uint64), side="right") - 1
-            kinds = (pa.int64(), pa.int64(), pa.int64())
-            more = [pa.array([r[i] for r in rows], k) for i, k in zip((1, 2, 3), kinds, strict=True)]
-            return pa.record_batch([pa.array(bucket, pa.int64()), pa.array(keys), pa.array(texts, pa.binary()), *more], names=["bucket", "k", "text", "top", "rows", "top_rows"])
+            columns = [pa.array(bucket, pa.int64()), pa.array(keys), pa.array(list(held), pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))]
+            names = ["bucket", "k", "text", "top", "rows", "top_rows"]
+            if rests:
+                columns.append(pa.concat_arrays(rests).take(pa.array([r[4] for r in rows])))
+                names.append("rest")
+            return pa.record_batch(columns, names=names)
 
         for batch in batches:
-            for doc_id, k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if batch.num_columns > 3:
+                rests.append(batch.column(3))
+                size += batch.column(3).nbytes
+            for i, (doc_id, k, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 text = text.as_py()
                 entry = held.get(text)
                 if entry is None:
-                    held[text] = [k, doc_id, 1, 1]
+                    held[text] = [k, doc_id, 1, 1, seen + i]
                     size += len(text) + 200
-                    if size > HELD_BYTES:
-                        yield flush()
-                        held, size = {}, 0
                 else:
-                    _absorb(entry, doc_id, 1, 1)
+                    _absorb(entry, doc_id, 1, 1, seen + i)
+            seen += batch.num_rows
+            if size > HELD_BYTES:
+                yield flush()
+                held, rests, size, seen = {}, [], 0, 0
         if held:
             yield flush()
 
     return run
 
 
-def _absorb(entry: list, top: int | None, rows: int, top_rows: int) -> None:
-    """Entry: key, largest id (null is least), rows, rows with that id."""
+def _absorb(entry: list, top: int | None, rows: int, top_rows: int, place: object = None) -> None:
+    """Entry: key, largest id (null is least), rows, rows with that id, where one of them is."""
     entry[2] += rows
     if top == entry[1]:
         entry[3] += top_rows
     elif entry[1] is None or (top is not None and top > entry[1]):
-        entry[1], entry[3] = top, top_rows
+        entry[1], entry[3], entry[4] = top, top_rows, place
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owner side: rows come by bucket and key; the texts of a key form a chain and are compared byte by byte."""
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """Owner side: rows come by bucket and key; the texts of a key form a chain and are compared byte by byte.
+
+    An entry of a chain: key, largest id, rows, rows with that id, (other columns, place in them), text.
+    """
     at: tuple[int, int] | None = None
     chain: list[list] = []
-    out: list[tuple] = []
-
-    def close() -> None:
-        digests = [hashlib.sha256(e[4]).hexdigest() for e in chain]
-        if len(set(digests)) < len(chain):
-            raise ValueError("different texts have equal keys and SHA-256")
-        for n, (e, digest) in enumerate(zip(chain, digests, strict=True)):
-            out.append((at[0], e[0], n, digest, len(e[4]), e[1], e[2], e[3]))
-
-    def page() -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        names = ["bucket", "k", "place", "text_sha256", "n_bytes", "keep_id", "group_size", "top_rows"]
-        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
     for batch in batches:
+        rest = batch.column(6) if batch.num_columns > 6 else None
         heads = zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)], batch.column(2), strict=True)
-        for bucket, k, top, rows, top_rows, text in heads:
+        for i, (bucket, k, top, rows, top_rows, text) in enumerate(heads):
             if (bucket, k) != at:
                 if chain:
-                    close()
+                    yield at[0], chain
                 at, chain = (bucket, k), []
             text = text.as_py()
-            same = next((e for e in chain if e[4] == text), None)
+            same = next((e for e in chain if e[5] == text), None)
             if same is None:
-                chain.append([k, top, rows, top_rows, text])
+                chain.append([k, top, rows, top_rows, (rest, i), text])
             else:
-                _absorb(same, top, rows, top_rows)
+                _absorb(same, top, rows, top_rows, (rest, i))
+    if chain:
+        yield at[0], chain
+
+
+def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pages of the index."""
+    out: list[tuple] = []
+
+    def page() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["bucket", "k", "place", "text_sha256", "n_bytes", "keep_id", "group_size", "top_rows"]
+        columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    for bucket, chain in _chains(batches):
+        digests = [hashlib.sha256(e[5]).hexdigest() for e in chain]
+        if len(set(digests)) < len(chain):
+            raise ValueError("different texts have equal keys and SHA-256")
+        for n, (e, digest) in enumerate(zip(chain, digests, strict=True)):
+            out.append((bucket, e[0], n, digest, len(e[5]), e[1], e[2], e[3]))
         if len(out) > 10_000:
             yield page()
             out.clear()
-    if chain:
-        close()
     yield page()
 
 
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text of each entry and the other columns of its top row."""
+    texts: list[bytes] = []
+    rests: list[pa.Array] = []
+    size = 0
+    for _, chain in _chains(batches):
+        for *_, (rest, i), text in chain:
+            texts.append(text)
+            rests.append(rest.slice(i, 1))
+            size += len(text)
+        if size > HELD_BYTES // 8 or len(texts) > 10_000:
+            yield pa.record_batch([pa.array(texts, pa.binary()), pa.concat_arrays(rests)], names=["text", "rest"])
+            texts, rests, size = [], [], 0
+    if texts:
+        yield pa.record_batch([pa.array(texts, pa.binary()), pa.concat_arrays(rests)], names=["text", "rest"])
+
+
+_MERGED = "bucket long, k long, text binary, top long, rows long, top_rows long"
+
+
+def _dealt(rows: DataFrame, bucket_bytes: int) -> DataFrame:
+    """``rows`` (doc_id, text, maybe rest) merged by map tasks and dealt to the owners of their buckets, by key."""
+    keyed = rows.withColumn("k", key(F.col("text")))
+    keys = materialize(keyed.groupBy("k").agg((F.max(F.octet_length("text")) + 64).alias("bytes")), "hash-keys")
+    rest = [c for c in rows.columns if c == "rest"]
+    schema = T.StructType([*T.StructType.fromDDL(_MERGED).fields, *(rows.schema[c] for c in rest)])
+    merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).mapInArrow(_merge(build_directory(keys, bucket_bytes)), schema)
+    return merged.repartition("bucket").sortWithinPartitions("bucket", "k")
+
+
 def build_index(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The pages: a row (bucket, k, place, text_sha256, n_bytes, keep_id, group_size, top_rows) per distinct text."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")).withColumn("k", key(F.col("text")))
-    keys = materialize(rows.groupBy("k").agg((F.max(F.octet_length("text")) + 64).alias("bytes")), "hash-keys")
-    directory = build_directory(keys, bucket_bytes)
-    merged = rows.select("doc_id", "k", F.encode("text", "UTF-8").alias("text")).mapInArrow(
-        _merge(directory), "bucket long, k long, text binary, top long, rows long, top_rows long"
-    )
-    owned = merged.repartition("bucket").sortWithinPartitions("bucket", "k")
+    """The pages: a row (bucket, k, place, text_sha256, n_bytes, keep_id, group_size, top_rows) per distinct text.
+
+    Texts of any length are compared whole; null counts as empty. An empty table has no pages.
+    """
+    owned = _dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")), bucket_bytes)
     pages = owned.mapInArrow(_own, "bucket long, k long, place int, text_sha256 string, n_bytes long, keep_id long, group_size long, top_rows long")
     return materialize(pages, "hash-pages")
 
 
-def _looked_up(df: DataFrame, text: str, index: DataFrame) -> DataFrame:
-    keyed = df.withColumn("_k", key(body(text))).withColumn("_sha", F.sha2(F.encode(body(text), "UTF-8"), 256))
-    pages = index.select(F.col("k").alias("_k"), F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.col("group_size").alias("_n"), F.col("top_rows").alias("_top_rows"))
-    return keyed.join(pages, ["_k", "_sha"]).withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("_keep")))
-
-
 def exact_groups(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays; null ids are least and null text counts as empty. Of
-    repeated rows with that id one is kept and the others are not. An empty table gives no rows.
+    repeated rows with that id one is kept and the others are not. Texts of any length are compared whole. An empty
+    table gives no rows; other columns play no part.
     """
     index = build_index(df, text, bucket_bytes)
-    columns = ["doc_id", F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), F.col("_sha").alias("text_sha256")]
-    found = _looked_up(df.select("doc_id", text), text, index)
+    digest = F.sha2(F.encode(body(text), "UTF-8"), 256)
+    keyed = df.select("doc_id", key(body(text)).alias("k"), digest.alias("text_sha256"))
+    total = index.agg(F.sum("group_size")).first()[0] or 0
+    pages = index.select("k", "text_sha256", "keep_id", "group_size", "top_rows")
+    found = join_counted(keyed, pages, ["k", "text_sha256"], "group_size", total, ["doc_id"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     if index.where("top_rows > 1").isEmpty():
         return found.select(*columns)
-    tied = F.col("_kept") & (F.col("_top_rows") > 1)
+    tied = F.col("kept") & (F.col("top_rows") > 1)
     # rows that are tied agree in all that is returned, so each group is written anew with one kept row
-    once = found.where(tied).select(*[c for c in ("doc_id", "_keep", "_n", "_sha", "_top_rows")]).distinct()
-    anew = once.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_top_rows").cast("int")))).withColumn("_kept", F.col("_i") == 1)
+    once = found.where(tied).select("doc_id", "keep_id", "group_size", "text_sha256", "top_rows").distinct()
+    anew = once.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("top_rows").cast("int")))).withColumn("kept", F.col("_i") == 1)
     return found.where(~tied).select(*columns).unionByName(anew.select(*columns))
 
 
 def drop_copies(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows of ``df`` that stay, with its columns; of repeated rows with the id that stays, any one."""
-    index = build_index(df, text, bucket_bytes)
-    kept = _looked_up(df.select(F.struct("*").alias("_row"), "doc_id", text), text, index).where("_kept")
-    if not index.where("top_rows > 1").isEmpty():
-        kept = kept.where("_top_rows = 1").unionByName(kept.where("_top_rows > 1").dropDuplicates(["_k", "_sha"]))
-    return kept.select("_row.*")
+    """The rows of ``df`` that stay, with its columns: of equal texts that with the largest doc_id.
+
+    Null ids are least; of repeated rows with the id that stays, any one. Null and empty texts are equal, and the row
+    that stays keeps its own. Texts of any length are compared whole. An empty table gives no rows; other columns
+    may have any names and types.
+    """
+    others = [c for c in df.columns if c != text]
+    rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"), rest.alias("rest"))
+    schema = T.StructType([T.StructField("text", T.BinaryType()), rows.schema["rest"]])
+    stay = _dealt(rows, bucket_bytes).mapInArrow(_survivors, schema)
+    whole = F.when(~F.col("rest.none"), F.col("text").cast("string")).alias(text)
+    return stay.select(*[whole if c == text else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, packing
+from tessera.llm.common import join_counted
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a  b", "  x", "x  ", "a \n b", "a\n b\n\n c \n", "it's 'tis ' s", "tab\tb\r\n c", "<|endoftext|> hi", "日本語 テキスト ok", "a   b\n  c", "\n", "", " ", "Ü é ßs 12 345a !!??", "😀😀 hi", "x" * 5000]
@@ -24,6 +25,28 @@ def test_exact_groups_ties_nulls_and_extra_columns(spark):
     assert exact_dedup.exact_groups(df.limit(0)).count() == 0
 
 
+def test_kept_rows_keep_all_their_columns(spark):
+    when, words = F.lit("2024-05-06 07:08:09").cast("timestamp"), F.array(F.lit("x"), F.lit(None))
+    df = spark.range(300).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, F.concat(F.lit("é "), F.col("id") % 7)).alias("text"), when.alias("rest"), words.alias("k"),
+        F.struct("id").alias("a.b"), F.lit(None).cast("string").alias("c0"),
+    )
+    want = {}
+    for r in df.collect():
+        want[r.text or ""] = r
+    got = exact_dedup.drop_copies(df, bucket_bytes=100)
+    assert got.dtypes == df.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.values()))
+
+
+def test_hot_keys_join_like_others(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.where("k <> 4500").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    for how, rows in (("inner", 4999), ("left", 5000)):
+        got = join_counted(left, right, ["k"], "n", 4999, ["v"], how).collect()
+        want = {7: 3999} | {i: i for i in range(4000, 5000) if i != 4500}
+        assert len(got) == rows and all(r.m == want.get(r.k) for r in got) and {r.v for r in got} >= set(range(4000))
+
+
 def test_directory_splits_overfull_buckets(spark):
     keys = spark.range(2000).select(F.xxhash64("id").alias("k"), F.lit(100).alias("bytes"))
     directory = exact_dedup.build_directory(keys, 5000)
