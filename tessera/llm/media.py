@@ -30,6 +30,7 @@ LEVEL = 3
 PNG = b"\x89PNG\r\n\x1a\n"
 ARCHIVE_BYTES = 64 << 20
 BATCH_BYTES = 4 << 20
+MOST_RANGES = 200_000
 
 
 def pad(data: bytes) -> bytes:
@@ -136,39 +137,36 @@ class MediaReader(DataSourceReader):
             found = system.get_file_info(fs.FileSelector(path, recursive=True))
             scheme = self.folder[: len(self.folder) - len(path)] if self.folder.endswith(path) else ""
             sizes = [(scheme + f.path, f.size) for f in found if f.is_file and f.path.endswith(".zip")]
-        return [Range(a, lo, min(lo + self.range_bytes, size)) for a, size in sorted(sizes) for lo in range(0, size, self.range_bytes)]
+        # the plan is held by the driver: ranges grow so that there are at most ``MOST_RANGES`` beside one an archive
+        step = max(self.range_bytes, -(-sum(n for _, n in sizes) // MOST_RANGES))
+        return [Range(a, lo, min(lo + step, size)) for a, size in sorted(sizes) for lo in range(0, size, step)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         """The members whose headers begin in the range: archive, offset, name, payload, error."""
         system, path = open_fs(partition.archive)
         with system.open_input_file(path) as f, zipfile.ZipFile(f) as z:
             members = [(i.header_offset, i.filename, i.compress_size, i.CRC) for i in z.infolist() if partition.lo <= i.header_offset < partition.hi]
-        rows: list[tuple] = []
-        size = 0
-        for offset, name, n, crc in sorted(members):
-            payload, error = self._member(system, path, offset, n, crc)
-            rows.append((partition.archive, offset, name, payload, error))
-            size += n
-            if size >= BATCH_BYTES:
+            rows: list[tuple] = []
+            size = 0
+            for offset, name, n, crc in sorted(members):
+                payload, error = self._member(f, system, path, offset, n, crc)
+                rows.append((partition.archive, offset, name, payload, error))
+                size += n
+                if size >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, size = [], 0
+            if rows:
                 yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
 
-    def _member(self, system, path: str, offset: int, n: int, crc: int) -> tuple[bytes | None, str | None]:
+    def _member(self, opened, system, path: str, offset: int, n: int, crc: int) -> tuple[bytes | None, str | None]:
         """One member by its offset; what fails is tried again alone, from a newly opened file."""
         error = ""
         for k in range(self.tries):
             try:
+                if k == 0:
+                    return _checked(opened, offset, n, crc), None
                 with system.open_input_file(path) as f:
-                    head = f.read_at(30, offset)
-                    if head[:4] != b"PK\x03\x04":
-                        raise OSError("no member begins there")
-                    name, extra = struct.unpack_from("<HH", head, 26)
-                    data = f.read_at(n, offset + 30 + name + extra)
-                if len(data) != n or zlib.crc32(data) != crc:
-                    raise OSError("the bytes don't have the listed checksum")
-                return data, None
+                    return _checked(f, offset, n, crc), None
             except OSError as e:
                 error = f"{path} at {offset}: {e}"
                 time.sleep(0.05 * k)
@@ -177,6 +175,17 @@ class MediaReader(DataSourceReader):
         return None, error
 
 
+def _checked(f, offset: int, n: int, crc: int) -> bytes:
+    head = f.read_at(30, offset)
+    if head[:4] != b"PK\x03\x04":
+        raise OSError("no member begins there")
+    name, extra = struct.unpack_from("<HH", head, 26)
+    data = f.read_at(n, offset + 30 + name + extra)
+    if len(data) != n or zlib.crc32(data) != crc:
+        raise OSError("the bytes don't have the listed checksum")
+    return data
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
     names = ["archive", "offset", "name", "payload", "error"]
@@ -207,16 +216,21 @@ def features(samples: bytes) -> str:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored members."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored members.
+
+    A member without payload, as the source gives with ``on_error`` row, has its doc_id and nulls.
+    """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for name, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                image = image.as_py()
+                image, doc_id = image.as_py(), name.split("-", 1)[1].removesuffix(".png")
+                if image is None:
+                    rows.append((int(doc_id) if doc_id else None, *[None] * 7))
+                    continue
                 samples, n = from_png(image)
-                doc_id = name.split("-", 1)[1].removesuffix(".png")
                 rows.append((int(doc_id) if doc_id else None, n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), hashlib.sha256(image).hexdigest(), features(samples)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)

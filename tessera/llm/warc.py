@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize, scratch_path
+from tessera.llm.common import body, join_counted, materialize, scratch_path
 from tessera.llm.files import create, new_file, open_fs
 
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 3
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
-HEADERS = "page_id long, url string, payload_bytes long, payload_digest string, archive string, offset long, length long"
+HEADERS = "page_id long, url string, payload_bytes long, payload_digest string, payload_check string, archive string, offset long, length long"
 _KINDS = {"long": pa.int64(), "string": pa.string()}
 
 
@@ -123,7 +123,7 @@ def write_raw(pages: DataFrame) -> DataFrame:
                     }
                     return record(fields, http(payload, len(payload)))
 
-                rows.append((page_id, url, len(payload), digest.hexdigest(), *out.add(make)))
+                rows.append((page_id, url, len(payload), digest.hexdigest(), hashlib.sha256(payload).hexdigest(), *out.add(make)))
             yield _rows(rows, HEADERS)
         out.close()
 
@@ -132,11 +132,21 @@ def write_raw(pages: DataFrame) -> DataFrame:
 
 
 def resolve(headers: DataFrame, least_bytes: int) -> DataFrame:
-    """Add ``original``: of equal payloads of at least ``least_bytes``, the record with the largest page_id."""
-    same = ["payload_digest", "payload_bytes"]
+    """Add ``original``: of equal payloads of at least ``least_bytes``, the record with the largest page_id.
+
+    Payloads are equal if their SHA-1, their length and their SHA-256 are.
+    """
+    same = ["payload_digest", "payload_bytes", "payload_check"]
     where = F.struct("page_id", "archive", "offset")
     top = headers.where(F.col("payload_bytes") >= least_bytes).groupBy(*same).agg(F.max(where).alias("original"), F.count("*").alias("_n"))
-    return headers.join(top.where("_n > 1").drop("_n"), same, "left")
+    top = materialize(top.where("_n > 1"), "warc-originals")
+    total = top.agg(F.sum("_n")).first()[0] or 0
+    return join_counted(headers, top, same, "_n", total, ["archive", "offset"], "left").drop("_n")
+
+
+def _archives(table: DataFrame) -> int:
+    """How many archives a table names: so many tasks are worth starting. Never fewer than one."""
+    return max(1, table.select("archive").distinct().count())
 
 
 def rewrite(resolved: DataFrame) -> DataFrame:
@@ -170,7 +180,8 @@ def rewrite(resolved: DataFrame) -> DataFrame:
         out.close()
         yield _rows(list(counts.items()), "archive string, records long")
 
-    dealt = resolved.repartition("archive").sortWithinPartitions("archive", "offset")
+    # a given number of tasks, which the planner doesn't merge
+    dealt = resolved.repartition(_archives(resolved), "archive").sortWithinPartitions("archive", "offset")
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "archive", "offset", "length", "original"]
     return materialize(dealt.select(*columns).mapInArrow(run, "archive string, records long"), "warc-archives")
 
@@ -202,13 +213,13 @@ def read_back(archives: DataFrame) -> DataFrame:
                     raise ValueError(f"{archive} has {seen} records, not {n}")
                 yield _rows(rows, schema)
 
-    return archives.repartition("archive").mapInArrow(run, schema)
+    return archives.repartition(2 * _archives(archives), "archive").mapInArrow(run, schema)
 
 
 def warc_report(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
     """Write pages as records, resolve revisits, write deduplicated archives, and describe what is read back.
 
-    Null html counts as empty. Of repeated rows with the largest page_id one is the response and the others
+    Null html counts as empty; html of any length is one record. Of repeated rows with the largest page_id one is the response and the others
     revisit it; null page_ids are least. Null urls are left out of headers. An empty table gives no rows; other
     columns play no part.
     """

@@ -38,6 +38,8 @@ def test_ranges_read_each_member_once_and_report_damage(spark):
         f.write(b"\xff\x00\xff")
     failed = [r for r in spark.read.format("media_archives").option("on_error", "row").load(folder).collect() if r.error]
     assert [(r.archive, r.offset) for r in failed] == [(victim.archive, victim.offset)]
+    described = media.describe(spark.read.format("media_archives").option("on_error", "row").load(folder)).collect()
+    assert len(described) == 500 and [r.doc_id for r in described if r.n_bytes is None] == [int(victim.name.split("-")[1][:-4])]
     with pytest.raises(Exception, match="checksum"):
         spark.read.format("media_archives").load(folder).collect()
 
@@ -63,3 +65,16 @@ def test_warc_archives_are_readable_members(spark):
     revisits = [f for f in seen if f["WARC-Type"] == "revisit"]
     assert len(revisits) == 9 and all(f["WARC-Refers-To"] in ids and f["WARC-Profile"] == warc.PROFILE for f in revisits)
     assert isinstance(warc._rows([], "page_id long"), pa.RecordBatch)
+
+
+def test_warc_reads_back_in_as_many_tasks_as_archives(spark):
+    df = spark.range(64).repartition(8).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("é"), F.col("id").cast("int") * 9_000).alias("html"))
+    report = warc.warc_report(df)
+    assert report.rdd.getNumPartitions() >= 4
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest) for r in report.collect()) == sorted((i, 18_000 * i, hashlib.sha1("é".encode() * 9_000 * i).hexdigest()) for i in range(64))
+
+
+def test_warc_revisits_need_equal_bytes(spark):
+    headers = [(i, "u", 2000, "ab", check, "a", i, 1) for i, check in enumerate("xxyzz")]
+    found = warc.resolve(spark.createDataFrame(headers, warc.HEADERS), 1000).collect()
+    assert sorted((r.page_id, r.original and r.original.page_id) for r in found) == [(0, 1), (1, 1), (2, None), (3, 4), (4, 4)]
