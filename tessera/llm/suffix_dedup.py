@@ -1,24 +1,28 @@
-"""Repeated passages: longest-previous-factor arrays over suffixes that can have an earlier match.
+"""Repeated passages: longest-previous-factor arrays over all stretches of text that documents share.
 
 A string of ``LENGTH`` bytes is removed where it also starts in an earlier document. Equal strings have equal
-least hashes of their k-grams, so every string is filed under its least hash; neighbours with the same one form a
-run, a stretch of text. Three passes:
-
-1. Map tasks file runs under (least hash, hash of the stretch), keep the earliest of equal ones, and send packed
-   arrays to the owners of hash ranges. An owner answers for each run: wholly earlier elsewhere, or alike in part.
-2. Stretches that are alike in part go to the owner of their least hash, who sorts their suffixes. A suffix whose
-   previous or next smaller position, in suffix order, lies in an earlier document and shares ``LENGTH`` bytes goes.
-3. The removed strings of each document are joined to its text.
+least hashes of their grams of ``GRAM`` bytes, so every string is filed under its least hash, its key; neighbours
+with the same key form a run, a stretch of text. Hashes only say where to look; bytes decide. Three passes:
+
+1. Map tasks file the keys of their documents; owners of key ranges say which keys occur in more than one document.
+   A string with any other key has no earlier match.
+2. The stretches of those keys, equal ones of a task merged, go to the owners of their keys as text. An owner merges
+   equal bytes: of an equal stretch all copies but the earliest go whole. The different stretches of a key have
+   their suffixes sorted; from the longest common prefixes of neighbours and the previous and next smaller positions
+   in suffix order comes the longest previous factor of each suffix, up to ``LENGTH`` bytes, and a suffix whose factor
+   has ``LENGTH`` bytes goes. A key of over ``SPLIT`` documents is cut into finer keys by grams of ``FINE`` bytes,
+   which leave a string three places: so many copies of a common line are merged before they are sent.
+3. The removed spans of each document are joined to its text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +30,24 @@ from tessera.llm.common import body, materialize
 
 LENGTH = 50
 GRAM = 16
+FINE = 48
+#: Documents of a key beyond which its strings are dealt by finer keys.
+SPLIT = 20_000
 CHUNK_BYTES = 1 << 20
 HELD_RUNS = 1_500_000
+HELD_BYTES = 24 << 20
+#: Documents are numbered in two bytes while they are held; the last number stands for several at once.
 HELD_DOCS = 60_000
-#: Different stretches of one least hash beyond which their strings are compared one by one, by hash.
-HOT = 20_000
+SEVERAL = 0xFFFF
+OWNER_BYTES = 256 << 20
 SORTED_STRINGS = 400_000
 LAST = (1 << 63) - 1
 
 _RNG = np.random.default_rng(5)
-_BYTE, _BYTE2 = (_RNG.integers(0, 1 << 64, 256, dtype=np.uint64) for _ in range(2))
+_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_MASK40, _MASK48 = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BITS = np.uint64(40)
+_MASK = np.uint64((1 << 40) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,32 +55,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            step = np.full(size, base, np.uint64)
-            step[0] = 1
-            _powers[i] = np.cumprod(step)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of documents that lie one after another: document, start in ``data``, strings, least hash, hash of the stretch."""
+def runs(data: np.ndarray, bounds: np.ndarray, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Runs of documents that lie one after another: document, start in ``data``, strings, least hash."""
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    h, width = _BYTE[data], 1
-    while width < GRAM:
-        h = h[:-width] * np.uint64(pow(int(_BASE), width, 1 << 64)) + h[width:]
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    h, width, windows = _hashed(data, gram), 1, LENGTH - gram + 1
+    least = _mix(h + np.uint64(gram))
+    while width * 2 <= windows:
+        least = np.minimum(least[:-width], least[width:])
         width *= 2
-    least, span = _mix(h), 1
-    windows = LENGTH - GRAM + 1
-    while span * 2 <= windows:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    if span < windows:
-        least = np.minimum(least[: span - windows], least[windows - span :])
+    if width < windows:
+        least = np.minimum(least[: width - windows], least[windows - width :])
     inside = np.arange(n - LENGTH + 1) + LENGTH <= np.repeat(bounds[1:], np.diff(bounds))[: n - LENGTH + 1]
     change = np.flatnonzero(least[1:] != least[:-1])
     first, last = inside.copy(), inside.copy()
@@ -81,27 +75,27 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first[change + 1] |= inside[change + 1]
     last[change] |= inside[change]
     start, stop = np.flatnonzero(first), np.flatnonzero(last)
-    power, inverse = _power(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE2[data] * power, out=sums[1:])
-    stretch = (sums[stop + LENGTH] - sums[start]) * inverse[start]
-    strings = stop - start + 1
-    return np.searchsorted(bounds, start, side="right") - 1, start, strings, _mix(least[start] + np.uint64(1)), _mix(stretch + strings.astype(np.uint64))
-
-
-def run_key(least: np.ndarray, stretch: np.ndarray) -> np.ndarray:
-    """What a run is answered by: 40 bits of its least hash and 48 of its stretch, mixed."""
-    return _mix((least & _MASK40) * np.uint64(0xD6E8FEB86659FD93) + (stretch & _MASK48))
-
+    return np.searchsorted(bounds, start, side="right") - 1, start, stop - start + 1, _mix(least[start] + np.uint64(1))
+
+
+def _hashed(data: np.ndarray, gram: int) -> np.ndarray:
+    """A polynomial hash of each ``gram`` bytes: powers of two of them, joined."""
+    power = lambda k: np.uint64(pow(int(_BASE), k, 1 << 64))
+    h, width, made, done = _BYTE[data], 1, None, 0
+    while True:
+        if gram & width:
+            size = len(data) - done - width + 1
+            made = h[:size] if made is None else made[:size] * power(width) + h[done : done + size]
+            done += width
+        if done == gram:
+            return made
+        h = h[:-width] * power(width) + h[width:]
+        width *= 2
 
-def _pack(values: np.ndarray, size: int) -> bytes:
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)[:, :size].tobytes()
 
-
-def _unpack(raw: bytes, n: int, size: int) -> np.ndarray:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :size] = np.frombuffer(raw, np.uint8, n * size).reshape(n, size)
-    return wide.view(np.uint64).ravel()
+def keys(least: np.ndarray, buckets: int) -> np.ndarray:
+    """The key of a least hash: its bucket and 40 bits. Keys that clash only bring stretches together in vain."""
+    return (((least >> _BITS) % np.uint64(buckets)) << _BITS) | (least & _MASK)
 
 
 def _blob(*parts: np.ndarray) -> bytes:
@@ -118,52 +112,101 @@ def _arrays(raw: bytes, kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _pack(values: np.ndarray) -> np.ndarray:
+    """The low five bytes of each."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :5].ravel()
+
+
+def _unpack(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = raw.reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where groups of equal values begin."""
+    n = len(sorted_by[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for a in sorted_by:
+        new[1:] |= a[1:] != a[:-1]
+    return np.flatnonzero(new)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def _packed(data: bytes) -> bytes:
+    return np.array([len(data)], "<u8").tobytes() + _ZSTD.compress(data, asbytes=True)
+
+
+def _unpacked(data: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(data)[8:], int(np.frombuffer(data, "<u8", 1)[0]), asbytes=True)
+
+
+def _row(row: tuple) -> pa.RecordBatch:
+    bucket, src, kind, data = row
+    return pa.record_batch([pa.array([bucket], pa.int64()), pa.array([src], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "src", "kind", "data"])
+
+
+SENT = "bucket long, src long, kind int, data binary"
+
+
+class _Sources:
+    """Numbers for what a task sends at once: equal when the task is run again over the same rows."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 24
+
+    def __call__(self) -> int:
+        self.next += 1
+        return self.next
+
+
+def _chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=bounds[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), bounds
+
+
 def _file(buckets: int):
-    """Pass 1, map side: rows (bucket, src, kind, data); kind 0 has runs for an owner, kind 1 the task's documents."""
-
-    def flush(docs: list[tuple], held: list[tuple]) -> Iterator[tuple]:
-        src = uuid.uuid4().int & LAST
-        order_of = np.array([d[0] for d in docs], np.int64)
-        doc, least, stretch = (np.concatenate([h[i] for h in held]) for i in range(3)) if held else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * 2)
-        bucket = ((least >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-        rank = np.unique(order_of, return_inverse=True)[1].astype(np.uint64)[doc]
-        first, second = (least & _MASK40) | (bucket.astype(np.uint64) << np.uint64(40)), ((stretch & _MASK48) << np.uint64(16)) | rank
-        by = np.lexsort((second, first))
-        first, second, doc, bucket = first[by], second[by], doc[by], bucket[by]
-        if len(by):
-            new = np.ones(len(by), bool)
-            new[1:] = (first[1:] != first[:-1]) | (second[1:] >> np.uint64(16) != second[:-1] >> np.uint64(16))
-            least_rank = second[np.flatnonzero(new)][np.cumsum(new) - 1]
-            later = second != least_rank
-            again = np.zeros(len(by), bool)
-            again[1:] = (first[1:] == first[:-1]) & (second[1:] == second[:-1]) & (doc[1:] == doc[:-1])
-        else:
-            later = again = np.zeros(0, bool)
-        keys = run_key(first, second >> np.uint64(16))
-        table = np.array([d[:3] for d in docs], np.int64).reshape(-1, 3)
-        done = later & ~again
-        yield src % buckets, src, 1, _blob(table.ravel(), doc[done].astype(np.uint16), keys[done])
-        send = ~later & ~again
-        first, second, doc, bucket = first[send], second[send], doc[send], bucket[send]
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    """Pass 1, map side: kind 0 has keys for an owner, kind 1 the documents sent and the keys that several of them have."""
+
+    def flush(src: int, docs: list[tuple], held: list[tuple]) -> Iterator[tuple]:
+        table = np.array(docs, np.int64).reshape(-1, 3)
+        doc, key = (np.concatenate([h[i] for h in held]) for i in range(2))
+        by = np.lexsort((doc, key))
+        doc, key = doc[by], key[by]
+        once = _starts(key, doc)
+        doc, key = doc[once], key[once]
+        group = _starts(key)
+        size = np.diff(np.r_[group, len(key)])
+        order = table[doc, 0]
+        several = np.minimum.reduceat(order, group) < np.maximum.reduceat(order, group) if len(key) else np.zeros(0, bool)
+        shared = np.repeat(several, size)
+        yield src % buckets, src, 1, _blob(table.ravel(), doc[shared].astype("<u2"), key[shared])
+        alone, together = np.flatnonzero(~shared), group[several]
+        many = size[several]
+        bounds = np.arange(buckets + 1, dtype=np.uint64) << _BITS
+        cut, cut2 = np.searchsorted(key[alone], bounds), np.searchsorted(key[together], bounds)
         for b in range(buckets):
-            lo, hi = cuts[b], cuts[b + 1]
-            if lo < hi:
-                own, local = np.unique(doc[lo:hi], return_inverse=True)
-                head = _blob(own.astype(np.uint16), order_of[own], local.astype(np.uint16))
-                yield b, src, 0, np.array([len(head)], "<u8").tobytes() + head + _pack(first[lo:hi] & _MASK40, 5) + _pack(second[lo:hi] >> np.uint64(16), 6)
+            mine, ours = alone[cut[b] : cut[b + 1]], together[cut2[b] : cut2[b + 1]]
+            if len(mine) or len(ours):
+                own, local = np.unique(doc[mine], return_inverse=True)
+                packed = _pack(np.concatenate([key[mine], key[ours]]))
+                yield b, src, 0, _blob(own.astype("<u2"), table[own, 0], local.astype("<u2"), many[cut2[b] : cut2[b + 1]].astype("<u4"), packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = _Sources()
         docs: list[tuple] = []
         held: list[tuple] = []
         texts: list[bytes] = []
         size = n_runs = 0
 
         def scan() -> int:
-            bounds = np.zeros(len(texts) + 1, np.int64)
-            np.cumsum([len(t) for t in texts], out=bounds[1:])
-            doc, _, _, least, stretch = runs(np.frombuffer(b"".join(texts), np.uint8), bounds)
-            held.append((doc + len(docs) - len(texts), least, stretch))
+            data, bounds = _chunk(texts)
+            doc, _, _, least = runs(data, bounds)
+            held.append((doc + len(docs) - len(texts), keys(least, buckets)))
             texts.clear()
             return len(doc)
 
@@ -181,216 +224,392 @@ def _file(buckets: int):
                 if n_runs >= HELD_RUNS or len(docs) >= HELD_DOCS:
                     if texts:
                         scan()
-                    yield from map(_row, flush(docs, held))
+                    yield from map(_row, flush(sources(), docs, held))
                     docs, held, size, n_runs = [], [], 0, 0
         if texts:
             scan()
         if docs:
-            yield from map(_row, flush(docs, held))
+            yield from map(_row, flush(sources(), docs, held))
 
     return run
 
 
-def _row(row: tuple) -> pa.RecordBatch:
-    bucket, src, kind, data = row
-    return pa.record_batch([pa.array([bucket], pa.int64()), pa.array([src], pa.int64()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "src", "kind", "data"])
-
-
-def _answer(parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-    """Pass 1, owner side: for each source its documents, run keys and verdicts: 0 wholly earlier, 1 alike in part, 2 so and hot."""
-    m, s, o, d, at = [], [], [], [], []
+def _share(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """Pass 1, owner side: for each source the documents and keys that others share: 1, or 2 where a key is to be split."""
+    m, lo, hi, n, d, at = [], [], [], [], [], []
     for k, (_, raw) in enumerate(parts):
-        head = int(np.frombuffer(raw, "<u8", 1)[0])
-        own, order, local = _arrays(raw[8 : 8 + head], "<u2 <i8 <u2")
-        n = len(local)
-        m.append(_unpack(raw[8 + head :], n, 5))
-        s.append(_unpack(raw[8 + head + 5 * n :], n, 6))
-        o.append(order[local])
-        d.append(own[local])
-        at.append(np.full(n, k, np.int32))
-    m, s, o, d, at = (np.concatenate(x) for x in (m, s, o, d, at))
-    by = np.lexsort((o, s, m))
-    m, s, o, d, at = m[by], s[by], o[by], d[by], at[by]
-    new_m = np.ones(len(m), bool)
-    new_m[1:] = m[1:] != m[:-1]
-    new_s = new_m.copy()
-    new_s[1:] |= s[1:] != s[:-1]
-    first_s = np.flatnonzero(new_s)
-    earliest = o[first_s]
-    whole = o > earliest[np.cumsum(new_s) - 1]
-    of_m = np.cumsum(new_m)[first_s] - 1  # the least hash of each different stretch
-    starts = np.flatnonzero(np.r_[True, of_m[1:] != of_m[:-1]])
-    stretches = np.diff(np.r_[starts, len(of_m)])
-    mixed = np.minimum.reduceat(earliest, starts) < np.maximum.reduceat(earliest, starts)
-    verdict = np.where(mixed, np.where(stretches > HOT, 2, 1), -1)[np.cumsum(new_m) - 1]
-    verdict[whole] = 0
-    keys = run_key(m, s)
-    told = verdict >= 0
+        own, order, local, many, packed = _arrays(raw, "<u2 <i8 <u2 <u4 u1")
+        m.append(_unpack(packed))
+        lo += [order[local], np.full(len(many), -LAST)]
+        hi += [order[local], np.full(len(many), LAST)]
+        n += [np.ones(len(local), np.int64), many.astype(np.int64)]
+        d += [own[local], np.full(len(many), SEVERAL, np.uint16)]
+        at.append(np.full(len(m[-1]), k, np.int32))
+    m, lo, hi, n, d, at = map(np.concatenate, (m, lo, hi, n, d, at))
+    by = np.argsort(m, kind="stable")
+    m, d, at = m[by], d[by], at[by]
+    group = _starts(m)
+    shared = np.minimum.reduceat(lo[by], group) < np.maximum.reduceat(hi[by], group)
+    verdict = np.where(shared, np.where(np.add.reduceat(n[by], group) > SPLIT, 2, 1), 0)
+    verdict = np.repeat(verdict, np.diff(np.r_[group, len(m)]))
+    told = (verdict > 0) & ((d != SEVERAL) | (verdict == 2))
+    key = m | (np.uint64(bucket) << _BITS)
+    by = np.flatnonzero(told)[np.argsort(at[told], kind="stable")]
+    cuts = np.searchsorted(at[by], np.arange(len(parts) + 1))
     for k, (src, _) in enumerate(parts):
-        mine = told & (at == k)
-        if mine.any():
-            yield src, _blob(d[mine], keys[mine], verdict[mine].astype(np.uint8))
-
-
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket."""
-    at, parts = None, []
-    for batch in batches:
-        for bucket, src, kind, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
-            if kind == 1:
-                yield _row((bucket, src, 1, data))
-                continue
-            if bucket != at and parts:
-                yield from (_row((at, s, 2, a)) for s, a in _answer(parts))
-                parts = []
-            at = bucket
-            parts.append((src, data))
-    if parts:
-        yield from (_row((at, s, 2, a)) for s, a in _answer(parts))
-
-
-def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by source: a row (o, t1, t2, whole, part, hot) of run keys for each document that has any."""
-
-    def close(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        table, docs, keys, verdicts = None, [], [], []
-        for kind, raw in parts:
-            if kind == 1:
-                table, doc, key = _arrays(raw, "<i8 <u2 <u8")
-                verdict = np.zeros(len(doc), np.uint8)
-            else:
-                doc, key, verdict = _arrays(raw, "<u2 <u8 u1")
-            docs.append(doc)
-            keys.append(key)
-            verdicts.append(verdict)
-        doc, key, verdict = map(np.concatenate, (docs, keys, verdicts))
-        by = np.lexsort((verdict, doc))
-        doc, key, verdict = doc[by], key[by], verdict[by]
-        some = np.unique(doc)
-        cuts = {v: np.searchsorted(doc.astype(np.int64) * 4 + verdict, some.astype(np.int64) * 4 + v) for v in range(4)}
-        table = table.reshape(-1, 3)[some]
-        columns = [pa.array([key[a:b].tobytes() for a, b in zip(cuts[v], cuts[v + 1], strict=True)], pa.binary()) for v in range(3)]
-        return pa.record_batch([*(pa.array(table[:, i]) for i in range(3)), *columns], names=["o", "t1", "t2", "whole", "part", "hot"])
-
-    at, parts = None, []
-    for batch in batches:
-        for src, kind, data in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-            if src != at and parts:
-                yield close(parts)
-                parts = []
-            at = src
-            parts.append((kind, data))
-    if parts:
-        yield close(parts)
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 2, map side: the stretches alike in part, by least hash; of hot ones each string by itself."""
-    names = ["owner", "o", "t1", "t2", "start", "hot", "data"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    out: list[tuple] = []
-    for batch in batches:
-        for o, t1, t2, part, hot, text in zip(*[batch.column(c).to_pylist() for c in ("o", "t1", "t2", "part", "hot")], batch.column("text"), strict=True):
-            text = text.as_py()
-            _, start, strings, least, stretch = runs(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-            key = run_key(least, stretch)
-            for i in np.flatnonzero(np.isin(key, np.frombuffer(part, "<u8"))):
-                a = int(start[i])
-                out.append((int(least[i].view(np.int64)), o, t1, t2, a, False, text[a : a + int(strings[i]) + LENGTH - 1]))
-            for i in np.flatnonzero(np.isin(key, np.frombuffer(hot, "<u8"))):
-                out += [(0, o, t1, t2, a, True, text[a : a + LENGTH]) for a in range(int(start[i]), int(start[i] + strings[i]))]
-            if len(out) > 20_000:
-                yield pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-                out = []
-    columns = zip(*out, strict=True) if out else [[]] * 7
-    yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-
-def earlier_strings(stretches: list[bytes], group: np.ndarray, order: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each stretch the starts of its strings of ``length`` bytes that occur in an earlier stretch of its group.
-
-    All suffixes of at least ``length`` bytes are sorted by group, their first ``length`` bytes and ``order``. Between
-    suffixes that share that many bytes, the previous smaller position in suffix order is the first of them, so a suffix
-    has an earlier factor of that length exactly if the first has a smaller order.
-    """
-    sizes = np.array([len(s) for s in stretches])
-    data = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8).astype(np.uint64)
-    word, width = data, 1
+        mine = by[cuts[k] : cuts[k + 1]]
+        if len(mine):
+            yield src, _blob(d[mine].astype("<u2"), key[mine], verdict[mine].astype(np.uint8))
+
+
+def _own(answer):
+    """Owner side of a pass: rows come by bucket; kind 1 passes through, the others are answered bucket by bucket as kind 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for bucket, src, kind, data in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if kind == 1:
+                    yield _row((bucket, src, 1, data))
+                    continue
+                if bucket != at and parts:
+                    yield from (_row((at, s, 2, a)) for s, a in answer(at, parts))
+                    parts = []
+                at = bucket
+                parts.append((src, data))
+        if parts:
+            yield from (_row((at, s, 2, a)) for s, a in answer(at, parts))
+
+    return run
+
+
+def _collect(close):
+    """Rows come by source; ``close`` makes a batch of what belongs to the documents of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts = None, []
+        for batch in batches:
+            for src, kind, data in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                if src != at and parts:
+                    yield close(parts)
+                    parts = []
+                at = src
+                parts.append((kind, data))
+        if parts:
+            yield close(parts)
+
+    return run
+
+
+def _by_document(table: np.ndarray, doc: np.ndarray, values: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A row (o, t1, t2, ...) for each document in ``doc``; of each (name, mask, values) the masked ones, as bytes."""
+    some = np.unique(doc)
+    table = table.reshape(-1, 3)[some]
+    columns, names = [pa.array(table[:, i]) for i in range(3)], ["o", "t1", "t2"]
+    for name, mask, value in values:
+        mine = np.flatnonzero(mask)
+        mine = mine[np.argsort(doc[mine], kind="stable")]
+        cuts, held = np.searchsorted(doc[mine], np.r_[some, some[-1:] + 1] if len(some) else []), value[mine]
+        columns.append(pa.array([held[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()))
+        names.append(name)
+    return pa.record_batch(columns, names=names)
+
+
+def _shared_keys(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """End of pass 1: the shared keys of each document that has any; those to be split apart."""
+    doc, key, verdict = [], [], []
+    for kind, raw in parts:
+        if kind == 1:
+            table, d, k = _arrays(raw, "<i8 <u2 <u8")
+            v = np.ones(len(d), np.uint8)
+        else:
+            d, k, v = _arrays(raw, "<u2 <u8 u1")
+        doc.append(d)
+        key.append(k)
+        verdict.append(v)
+    doc, key, verdict = map(np.concatenate, (doc, key, verdict))
+    real = doc != SEVERAL
+    verdict = np.where(np.isin(key, key[~real]), 2, verdict)[real]
+    doc, key = doc[real].astype(np.int64), key[real]
+    return _by_document(table, doc, [("shared", verdict == 1, key), ("split", verdict == 2, key)])
+
+
+def _listed(doc: np.ndarray, key: np.ndarray, lists: list[bytes]) -> np.ndarray:
+    """Which (document, key) are among the keys listed for the document."""
+    sizes = np.array([len(x) // 8 for x in lists], np.int64)
+    if not sizes.any():
+        return np.zeros(len(doc), bool)
+    known = np.frombuffer(b"".join(lists), "<u8")
+    code = lambda d, k: _mix(k + (d.astype(np.uint64) + np.uint64(1)) * _BASE)
+    return np.isin(code(doc, key), code(np.repeat(np.arange(len(lists)), sizes), known))
+
+
+def _send(buckets: int):
+    """Pass 2, map side: kind 0 has the stretches and runs for an owner, kind 1 the documents sent."""
+
+    def flush(src: int, docs: list[tuple], distinct: dict[bytes, int], key: list[int], held: list[tuple]) -> Iterator[tuple]:
+        table = np.array(docs, np.int64).reshape(-1, 3)
+        yield src % buckets, src, 1, _blob(table.ravel())
+        key = np.array(key, np.uint64)
+        texts = np.empty(len(distinct), object)
+        texts[:] = list(distinct)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        which, doc, start = (np.concatenate([h[i] for h in held]) for i in range(3))
+        bucket = (key >> _BITS).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        runs_by = np.argsort(place[which], kind="stable")
+        of = place[which][runs_by]
+        cut2 = np.searchsorted(of, cut)
+        for b in range(buckets):
+            mine, ours = by[cut[b] : cut[b + 1]], runs_by[cut2[b] : cut2[b + 1]]
+            if len(mine):
+                own, local = np.unique(doc[ours], return_inverse=True)
+                head = _blob(
+                    own.astype("<u2"), table[own, 0], key[mine], sizes[mine].astype("<u4"), (of[cut2[b] : cut2[b + 1]] - cut[b]).astype("<u4"),
+                    local.astype("<u2"), start[ours].astype("<u4"),
+                )
+                yield b, src, 0, _packed(np.array([len(head)], "<u8").tobytes() + head + b"".join(texts[mine]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = _Sources()
+        docs: list[tuple] = []
+        texts: list[bytes] = []
+        lists: list[tuple[bytes, bytes]] = []
+        distinct: dict[bytes, int] = {}
+        key: list[int] = []
+        held: list[tuple] = []
+        size = kept = 0
+
+        def add(data: bytes, doc: np.ndarray, start: np.ndarray, strings: np.ndarray, k: np.ndarray, inside: np.ndarray) -> int:
+            """``start`` counts in ``data``, ``inside`` in the document."""
+            new = 0
+            which = []
+            for a, b, c in zip(start.tolist(), (start + strings + LENGTH - 1).tolist(), k.tolist()):
+                piece = data[a:b]
+                i = distinct.get(piece)
+                if i is None:
+                    distinct[piece] = i = len(key)
+                    key.append(c)
+                    new += b - a + 100
+                which.append(i)
+            held.append((np.array(which, np.int64), doc + len(docs) - len(texts), inside))
+            return new + 20 * len(which)
+
+        def scan() -> int:
+            raw = b"".join(texts)
+            data, bounds = _chunk(texts)
+            doc, start, strings, least = runs(data, bounds)
+            k = keys(least, buckets)
+            of = _listed(doc, k, [a for a, _ in lists])
+            new = add(raw, doc[of], start[of], strings[of], k[of], (start - bounds[doc])[of])
+            fine = np.flatnonzero(_listed(doc, k, [b for _, b in lists]))
+            if len(fine):
+                pieces = [raw[a:b] for a, b in zip(start[fine].tolist(), (start + strings + LENGTH - 1)[fine].tolist())]
+                data2, bounds2 = _chunk(pieces)
+                piece, start2, strings2, least2 = runs(data2, bounds2, FINE)
+                whole = fine[piece]
+                new += add(b"".join(pieces), doc[whole], start2, strings2, keys(least2, buckets), start[whole] - bounds[doc[whole]] + start2 - bounds2[piece])
+            texts.clear()
+            lists.clear()
+            return new
+
+        for batch in batches:
+            for o, t1, t2, shared, split, text in zip(*[batch.column(c).to_pylist() for c in ("o", "t1", "t2", "shared", "split")], batch.column("text"), strict=True):
+                docs.append((o, t1, t2))
+                texts.append(text.as_py())
+                lists.append((shared, split))
+                size += len(texts[-1])
+                if size >= CHUNK_BYTES:
+                    kept += scan()
+                    size = 0
+                if kept >= HELD_BYTES or len(docs) >= HELD_DOCS:
+                    if texts:
+                        scan()
+                    yield from map(_row, flush(sources(), docs, distinct, key, held))
+                    docs, distinct, key, held, size, kept = [], {}, [], [], 0, 0
+        if texts:
+            scan()
+        if docs:
+            yield from map(_row, flush(sources(), docs, distinct, key, held))
+
+    return run
+
+
+def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``data`` (eight more bytes at its end) at ``at``, sorted by group and ``length`` bytes, equal ones in
+    the order given; and the longest common prefix of each with the one before, up to ``length``, 0 between groups."""
+    word, width = data.astype(np.uint64), 1
     words = {1: word}
     while width < 8:
         word = (word[:-width] << np.uint64(8 * width)) | word[width:]
         width *= 2
         words[width] = word
-    strings = sizes - length + 1
-    owner = np.repeat(np.arange(len(sizes)), strings)
-    base = np.cumsum(sizes) - sizes
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    at = base[owner] + inside
-    keys, k = [], 0
+    columns, k = [], 0
     while k < length:
         width = next(w for w in (8, 4, 2, 1) if w <= length - k)
-        keys.append(words[width][at + k])
+        columns.append((width, words[width][at + k]))
         k += width
-    by = np.lexsort((order[owner], *keys[::-1], group[owner]))
-    new = np.ones(len(by), bool)
-    if len(by):
-        new[1:] = group[owner[by[1:]]] != group[owner[by[:-1]]]
-        for key in keys:
-            new[1:] |= key[by[1:]] != key[by[:-1]]
-    ordered = order[owner[by]]
-    earlier = np.zeros(len(by), bool)
-    earlier[by] = ordered > ordered[np.flatnonzero(new)][np.cumsum(new) - 1]
-    found = np.flatnonzero(earlier)
-    cuts = np.searchsorted(owner[found], np.arange(len(sizes) + 1))
-    return [inside[found[a:b]] for a, b in zip(cuts, cuts[1:])]
-
-
-def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pass 2, owner side: rows come by owner; (o, t1, t2, starts) of removed strings."""
-
-    def close(rows: list[tuple]) -> pa.RecordBatch:
-        data = [r[5] for r in rows]
-        found = earlier_strings(data, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64))
-        out = [(r[1], r[2], r[3], (f + r[4]).astype("<i4").tobytes()) for r, f in zip(rows, found, strict=True) if len(f)]
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["o", "t1", "t2", "starts"])
-
-    rows: list[tuple] = []
-    size = 0
-    for batch in batches:
-        for row in zip(*[batch.column(c).to_pylist() for c in ("owner", "o", "t1", "t2", "start", "data")], strict=True):
-            if size > SORTED_STRINGS and row[0] != rows[-1][0]:
-                yield close(rows)
-                rows, size = [], 0
-            rows.append(row)
-            size += len(row[5]) - LENGTH + 1
-    if rows:
-        yield close(rows)
+    by = np.lexsort((*[c for _, c in columns[::-1]], group))
+    lcp = np.zeros(len(by), np.int32)
+    open_ = np.zeros(len(by), bool)
+    open_[1:] = group[by[1:]] == group[by[:-1]]
+    for width, column in columns:
+        here = np.flatnonzero(open_)
+        differ = column[by[here]] ^ column[by[here - 1]]
+        lcp[here] += sum((differ < np.uint64(1 << 8 * i)).astype(np.int32) for i in range(width))
+        open_[here[differ > 0]] = False
+    return by, lcp
+
+
+def previous_factors(order: np.ndarray, lcp: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The longest previous factor of each suffix, given in suffix order; factors below ``length`` may come out shorter.
+
+    The nearest position before, and behind, whose ``order`` is smaller is reached by jumps over positions that aren't;
+    the common prefix with it is the least on the way, and a way is left once that falls below ``length``.
+    """
+    n = len(order)
+
+    def nearest(order: np.ndarray, low: np.ndarray) -> np.ndarray:
+        to = np.arange(-1, n - 1)
+        going = np.arange(n)
+        while len(going):
+            going = going[(to[going] >= 0) & (low[going] >= length)]
+            going = going[order[to[going]] >= order[going]]
+            over = to[going]
+            low[going], to[going] = np.minimum(low[going], low[over]), to[over]
+        return np.where((to >= 0) & (order[to] < order), low, 0)
+
+    before = nearest(order, lcp.copy())
+    behind = nearest(order[::-1], np.r_[np.zeros(min(n, 1), lcp.dtype), lcp[:0:-1]])[::-1]
+    return np.maximum(before, behind)
+
+
+def earlier_strings(stretches: list[bytes], group: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, start) of the strings of ``length`` bytes that occur in a stretch of their group with a smaller order."""
+    sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+    data = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8)
+    strings = sizes - length + 1
+    owner = np.repeat(np.arange(len(sizes)), strings)
+    inside = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+    by, lcp = suffix_order(data, (np.cumsum(sizes) - sizes)[owner] + inside, group[owner], length)
+    found = np.sort(by[previous_factors(order[owner[by]], lcp, length) >= length])
+    return owner[found], inside[found]
+
+
+def _settle(bucket: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """Pass 2, owner side: for each source the spans that go: (document, start, stop)."""
+    distinct: dict[bytes, int] = {}
+    key, which, order, doc, start, at = [], [], [], [], [], []
+    for k, (_, packed) in enumerate(parts):
+        raw = _unpacked(packed)
+        head = int(np.frombuffer(raw, "<u8", 1)[0])
+        own, o, gid, sizes, of, local, starts = _arrays(raw[8 : 8 + head], "<u2 <i8 <u8 <u4 <u4 <u2 <u4")
+        ends = (8 + head + np.cumsum(sizes.astype(np.int64))).tolist()
+        number = np.empty(len(sizes), np.int64)
+        a = 8 + head
+        for i, b in enumerate(ends):
+            number[i] = distinct.setdefault(raw[a:b], len(distinct))
+            a = b
+        new = number >= len(key)
+        key += gid[np.flatnonzero(new)[_first_seen(number[new])]].tolist()
+        which.append(number[of])
+        order.append(o[local])
+        doc.append(own[local])
+        start.append(starts.astype(np.int64))
+        at.append(np.full(len(of), k, np.int32))
+    which, order, doc, start, at = map(np.concatenate, (which, order, doc, start, at))
+    texts, key = list(distinct), np.array(key, np.uint64)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    by = np.lexsort((order, which))
+    first = order[by][_starts(which[by])]
+    a, b, n = _gone(texts, key, first, sizes)
+    gone_at = np.r_[0, np.cumsum(n)]
+    copy = order > first[which]
+    partly = np.flatnonzero(~copy & (n[which] > 0))
+    times = n[which[partly]]
+    row = np.repeat(partly, times)
+    span = np.repeat(gone_at[which[partly]] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(len(row)) if len(row) else row
+    whole = np.flatnonzero(copy)
+    out = np.concatenate([whole, row])
+    lo = np.concatenate([start[whole], start[row] + a[span]])
+    hi = np.concatenate([start[whole] + sizes[which[whole]], start[row] + b[span]])
+    by = np.argsort(at[out], kind="stable")
+    out, lo, hi = out[by], lo[by], hi[by]
+    cuts = np.searchsorted(at[out], np.arange(len(parts) + 1))
+    for k, (src, _) in enumerate(parts):
+        mine = slice(cuts[k], cuts[k + 1])
+        if cuts[k] < cuts[k + 1]:
+            yield src, _blob(doc[out[mine]].astype("<u2"), lo[mine].astype("<u4"), hi[mine].astype("<u4"))
+
+
+def _first_seen(numbers: np.ndarray) -> np.ndarray:
+    """Where each number occurs first; numbers rise by one whenever they are new."""
+    return np.unique(numbers, return_index=True)[1]
+
+
+def _gone(texts: list[bytes], key: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (start, stop) of each text that lie in earlier texts of its key, and how many there are; ``SORTED_STRINGS`` at a time."""
+    by = np.lexsort((first, key))
+    group = _starts(key[by])
+    size = np.diff(np.r_[group, len(by)])
+    # only a key with stretches of two documents can have an earlier match
+    mixed = first[by][group] < first[by][group + size - 1] if len(group) else np.zeros(0, bool)
+    by = by[np.repeat(mixed, size)]
+    ends = np.cumsum(size[mixed])
+    strings = np.cumsum(sizes[by] - LENGTH + 1)
+    owner, starts = [], []
+    lo = 0
+    while lo < len(by):
+        full = np.searchsorted(strings, (strings[lo - 1] if lo else 0) + SORTED_STRINGS)
+        hi = ends[min(np.searchsorted(ends, full, side="left"), len(ends) - 1)]
+        part = by[lo:hi]
+        o, s = earlier_strings([texts[i] for i in part], key[part], first[part])
+        owner.append(part[o])
+        starts.append(s)
+        lo = hi
+    owner, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owner, starts))
+    by = np.lexsort((starts, owner))
+    owner, starts = owner[by], starts[by]
+    opens = np.ones(len(owner), bool)
+    opens[1:] = (owner[1:] != owner[:-1]) | (starts[1:] - starts[:-1] > LENGTH)
+    a = np.flatnonzero(opens)
+    stop = starts[np.r_[a[1:] - 1, len(owner) - 1]] + LENGTH if len(owner) else starts
+    return starts[a], stop, np.bincount(owner[a], minlength=len(texts))
+
+
+def _spans(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """End of pass 2: the spans that go of each document that has any, as pairs of starts and stops."""
+    doc, pairs = [np.zeros(0, np.int64)], [np.zeros((0, 2), "<i4")]
+    for kind, raw in parts:
+        if kind == 1:
+            (table,) = _arrays(raw, "<i8")
+        else:
+            d, a, b = _arrays(raw, "<u2 <u4 <u4")
+            doc.append(d.astype(np.int64))
+            pairs.append(np.stack([a, b], axis=1).astype("<i4"))
+    doc, pairs = np.concatenate(doc), np.concatenate(pairs)
+    return _by_document(table, doc, [("spans", np.ones(len(doc), bool), pairs)])
 
 
 def _cut(with_text: bool):
-    """Pass 3: the removed strings of a document and its text give what is kept."""
+    """Pass 3: the spans that go and the text of a document give what is kept."""
     names = ["o", "t1", "t2", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for o, t1, t2, whole, parts, text in zip(*[batch.column(c).to_pylist() for c in ("o", "t1", "t2", "whole", "parts")], batch.column("text"), strict=True):
-                data = np.frombuffer(text.as_py(), np.uint8)
-                _, start, strings, least, stretch = runs(data, np.array([0, len(data)]))
-                hit = np.isin(run_key(least, stretch), np.frombuffer(whole, "<u8"))
-                depth = np.zeros(len(data) + 1, np.int32)
-                np.add.at(depth, start[hit], 1)
-                np.add.at(depth, start[hit] + strings[hit] + LENGTH - 1, -1)
-                for p in parts or []:
-                    at = np.frombuffer(p, "<i4")
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + LENGTH, -1)
-                gone = np.cumsum(depth[:-1]) > 0
-                kept = data[~gone].tobytes()
-                spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                out.append((o, t1, t2, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
+            for o, t1, t2, spans, text in zip(*[batch.column(c).to_pylist() for c in ("o", "t1", "t2", "spans")], batch.column("text"), strict=True):
+                data = text.as_py()
+                pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
+                pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(pairs[:, 1])
+                opens = np.r_[True, pairs[1:, 0] > reach[:-1]]
+                starts, stops = pairs[opens, 0].tolist(), reach[np.r_[opens[1:], True]].tolist()
+                kept = b"".join(data[a:b] for a, b in zip([0, *stops], [*starts, len(data)]))
+                out.append((o, t1, t2, len(data) - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
             kinds = [pa.int64()] * 5 + [pa.string(), *([pa.binary()] if with_text else [])]
             columns = zip(*out, strict=True) if out else [[]] * len(kinds)
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -398,55 +617,67 @@ def _cut(with_text: bool):
     return run
 
 
+KEY = ("o", "t1", "t2")
+
+
+def _places(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, place): numbers that hash partitioning sends to different tasks, one for each bucket; the driver holds none."""
+    place = F.pmod(F.hash("id"), F.lit(buckets)).cast("long").alias("bucket")
+    return docs.sparkSession.range(40 * buckets).select(place, "id").groupBy("bucket").agg(F.min("id").alias("place"))
+
+
+def _exchanged(sent: DataFrame, buckets: int, answer, close, schema: str) -> DataFrame:
+    """Send to owners, answer, and bring the answers to the documents."""
+    # a bucket's own number would share tasks with others and leave some idle
+    placed = sent.join(F.broadcast(_places(sent, buckets)), "bucket", "left").select("bucket", "src", "kind", "data", F.coalesce("place", "bucket").alias("place"))
+    dealt = placed.repartition(buckets, "place").sortWithinPartitions("bucket").select("bucket", "src", "kind", "data")
+    answered = dealt.mapInArrow(_own(answer), SENT)
+    return answered.repartition("src").sortWithinPartitions("src").mapInArrow(_collect(close), "o long, t1 long, t2 long, " + schema)
+
+
 def _changes(docs: DataFrame, with_text: bool) -> DataFrame:
-    """(o, t1, t2, n_removed, n_spans, kept_sha256[, kept]) of the documents that lose something or might."""
-    spark, key = docs.sparkSession, ["o", "t1", "t2"]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filed = docs.select(*key, "text").mapInArrow(_file(buckets), "bucket long, src long, kind int, data binary")
-    answered = filed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_own, filed.schema)
-    told = answered.repartition("src").sortWithinPartitions("src").mapInArrow(_collect, "o long, t1 long, t2 long, whole binary, part binary, hot binary")
-    told = materialize(told, "suffix-answers").dropDuplicates(key)
-    affected = materialize(docs.select(*key, "text").join(told, key), "suffix-affected")
-    partly = affected.where((F.length("part") > 0) | (F.length("hot") > 0)).select(*key, "part", "hot", "text")
-    pieces = partly.mapInArrow(_stretches, "owner long, o long, t1 long, t2 long, start int, hot boolean, data binary")
-    has_hot = not told.where(F.length("hot") > 0).isEmpty()
-    if has_hot:
-        pieces = materialize(pieces, "suffix-stretches")
-    owned = pieces.where("not hot").repartition("owner").sortWithinPartitions("owner")
-    found = owned.mapInArrow(_sort_suffixes, "o long, t1 long, t2 long, starts binary")
-    if has_hot:
-        single = pieces.where("hot").withColumn("h", F.xxhash64("data"))
-        first = single.groupBy("h", "data").agg(F.min("o").alias("first"))
-        later = single.join(first, ["h", "data"]).where("o > first")
-        little = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("start", 8 * i).bitwiseAND(255)), 2, "0") for i in range(4)]))
-        found = found.unionByName(later.select(*key, little.alias("starts")))
-    parts = found.groupBy(*key).agg(F.collect_list("starts").alias("parts"))  # at most the strings of one document
+    """(o, t1, t2, n_removed, n_spans, kept_sha256[, kept]) of the documents that lose something."""
+    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, -(-total // OWNER_BYTES))
+    filed = docs.select(*KEY, "text").mapInArrow(_file(buckets), SENT)
+    told = materialize(_exchanged(filed, buckets, _share, _shared_keys, "shared binary, split binary"), "suffix-keys").dropDuplicates([*KEY])
+    affected = materialize(docs.select(*KEY, "text").join(told, [*KEY]), "suffix-affected", partitions, KEY)
+    sent = affected.mapInArrow(_send(buckets), SENT)
+    spans = materialize(_exchanged(sent, buckets, _settle, _spans, "spans binary"), "suffix-spans").dropDuplicates([*KEY])
     schema = "o long, t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return affected.join(parts, key, "left").select(*key, "whole", "parts", "text").mapInArrow(_cut(with_text), schema).dropDuplicates(key)
+    return affected.select(*KEY, "text").join(spans, [*KEY]).mapInArrow(_cut(with_text), schema).dropDuplicates([*KEY])
 
 
-def _documents(df: DataFrame) -> DataFrame:
+def _documents(df: DataFrame, ordered: bool) -> DataFrame:
+    """With keys of id and text. What tasks send is numbered in the order of rows, so that order must hold in a second run."""
     text = F.encode(body(), "UTF-8")
-    return df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+    docs = df.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+    return docs if ordered else materialize(docs, "suffix-documents")
 
 
-def repeats_report(df: DataFrame) -> DataFrame:
+def repeats_report(df: DataFrame, ordered: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte goes that a string of 50 bytes covers which also starts in a document with a smaller doc_id, judged on
     the input. A null doc_id is larger than any; rows with equal ids don't affect each other. Null text counts as
-    empty; texts under 50 bytes stay whole. An empty table gives no rows; other columns play no part.
+    empty; texts under 50 bytes stay whole, longer ones of any length are searched whole. An empty table gives no rows;
+    other columns play no part. ``ordered`` says that a task of ``df`` that is run again has its rows in the same order,
+    as scans of files do; otherwise the documents are written first.
     """
-    docs = _documents(df)
+    docs = _documents(df, ordered)
     changed = _changes(docs, False)
     every = docs.select("doc_id", "o", "t1", "t2", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
     joined = every.join(changed, ["o", "t1", "t2"], "left")
     return joined.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans")], F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256"))
 
 
-def remove_repeats(df: DataFrame) -> DataFrame:
-    """``df`` with repeated passages cut out of ``text``; bytes of a character that lost others are dropped."""
-    docs = _documents(df)
+def remove_repeats(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """``df`` with repeated passages cut out of ``text``, as ``repeats_report`` counts them, all columns kept.
+
+    Bytes of a character that lost others are dropped. Null text stays null.
+    """
+    docs = _documents(df, ordered)
     changed = _changes(docs, True).select(F.col("o").alias("_o"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("kept").alias("_kept"), F.col("n_removed").alias("_n"))
     text = F.encode(body(), "UTF-8")
     on = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_o"), F.xxhash64(text) == F.col("_t1"), F.xxhash64(F.lit("second"), text) == F.col("_t2")]

@@ -49,9 +49,10 @@ def make(seed):
     return rows + [(7, None), (8, ""), (5, same), (5, same), (6, same), (None, same), (9, "z" * 500), (10, "z" * 49), (11, "z" * 50), (4, "z" * 51), (12, "y" * 300_000), (13, "q" + "y" * 60)]
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20_000), (2, 1)])
-def test_report_matches_brute_force(spark, monkeypatch, seed, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("seed,split", [(1, 20_000), (2, 1)])
+def test_report_matches_brute_force(spark, monkeypatch, seed, split):
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "SORTED_STRINGS", 500)
     monkeypatch.setattr(suffix_dedup, "HELD_DOCS", 17)
     rows = make(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("o", F.lit(1)).withColumn("t1", F.lit("x")).repartition(5)
@@ -67,16 +68,61 @@ def test_empty_table(spark):
     assert suffix_dedup.repeats_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_runs_cover_every_string_once():
+@pytest.mark.parametrize("gram", [suffix_dedup.GRAM, suffix_dedup.FINE])
+def test_runs_cover_every_string_once(gram):
     rng = np.random.default_rng(1)
     sizes = [0, 10, 49, 50, 51, 400, 7, 1000]
     data = rng.integers(97, 100, sum(sizes)).astype(np.uint8)
     bounds = np.r_[0, np.cumsum(sizes)]
-    doc, start, strings, least, stretch = suffix_dedup.runs(data, bounds)
+    doc, start, strings, least = suffix_dedup.runs(data, bounds, gram)
     covered = [(int(d), int(a - bounds[d] + i)) for d, a, n in zip(doc, start, strings) for i in range(n)]
     assert covered == [(d, i) for d, n in enumerate(sizes) for i in range(n - 49)]
-    alone = [suffix_dedup.runs(data[a:b], np.array([0, b - a])) for a, b in zip(bounds, bounds[1:])]
-    assert np.concatenate([x[3] for x in alone]).tolist() == least.tolist() and np.concatenate([x[4] for x in alone]).tolist() == stretch.tolist()
+    alone = [suffix_dedup.runs(data[a:b], np.array([0, b - a]), gram) for a, b in zip(bounds, bounds[1:])]
+    assert np.concatenate([x[3] for x in alone]).tolist() == least.tolist()
+    by_hash = {}
+    for d, a, n, h in zip(doc, start, strings, least):
+        for i in range(a, a + n):
+            assert by_hash.setdefault(data[i : i + 50].tobytes(), h) == h
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_factors_match_brute_force(seed):
+    rng = random.Random(seed)
+    length, groups = rng.choice([3, 9, 50]), 4
+    stretches = [bytes(rng.choice(b"ab") for _ in range(rng.choice([length, length + 5, length + 60]))) for _ in range(40)]
+    stretches += [s[: length + 2] for s in rng.sample(stretches, 20)]
+    group = np.array([rng.randrange(groups) for _ in stretches], np.uint64)
+    order = np.array([rng.randrange(12) for _ in stretches])
+    suffixes = [(g, s, i, o) for g, s, o in zip(group.tolist(), stretches, order.tolist()) for i in range(len(s) - length + 1)]
+    data = np.frombuffer(b"".join(stretches) + bytes(8), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(s) for s in stretches])]
+    at = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(bounds, bounds[1:])])
+    by, lcp = suffix_dedup.suffix_order(data, at, np.array([s[0] for s in suffixes], np.uint64), length)
+    cut = [(s[0], s[1][s[2] : s[2] + length]) for s in suffixes]
+    assert [cut[i] for i in by] == sorted(cut)
+    common = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+    assert lcp.tolist() == [0] + [common(cut[i][1], cut[j][1]) if cut[i][0] == cut[j][0] else 0 for i, j in zip(by, by[1:])]
+    factor = [max((common(c[1], d[1]) for d, t in zip(cut, suffixes) if c[0] == d[0] and t[3] < s[3]), default=0) for c, s in zip(cut, suffixes)]
+    got = suffix_dedup.previous_factors(np.array([suffixes[i][3] for i in by]), lcp, length)
+    assert [(g >= length, g if g >= length else 0) for g in got] == [(factor[i] >= length, factor[i] if factor[i] >= length else 0) for i in by]
+    assert suffix_dedup.previous_factors(np.array([suffixes[i][3] for i in by]), lcp, 1).tolist() == [factor[i] for i in by]
+    owner, start = suffix_dedup.earlier_strings(stretches, group, order, length)
+    ends = np.cumsum([len(s) - length + 1 for s in stretches])
+    assert (ends[owner] - (ends - np.r_[0, ends[:-1]])[owner] + start).tolist() == [i for i, f in enumerate(factor) if f >= length]
+
+
+def test_what_is_sent_is_the_same_in_a_second_run(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HELD_DOCS", 17)
+    docs = suffix_dedup._documents(spark.createDataFrame(make(3), "doc_id long, text string").repartition(3), False)
+    sent = [sorted(map(tuple, docs.select("o", "t1", "t2", "text").mapInArrow(suffix_dedup._file(4), suffix_dedup.SENT).collect())) for _ in range(2)]
+    assert sent[0] == sent[1] and len({r[1] for r in sent[0]}) >= 7
+
+
+def test_keys_that_clash_do_no_harm(spark, monkeypatch):
+    """Bytes decide: with one key for everything the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "_MASK", np.uint64(0))
+    rows = make(4)[:60]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_removed_text(spark):
