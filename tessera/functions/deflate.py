@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 from tessera.operators.streams import code_lengths
 
-WINDOW = 2048
+#: Default values: window, and the match length that ends a search.
+WINDOW, NICE = 2048, 128
+#: Fixed values of the format.
 LEAST, LONGEST = 3, 258
-NICE = 128
 #: Fixed value of the format: the order in which lengths of the code-length code are stored.
 LENGTH_ORDER = (16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15)
 END = 256
@@ -29,6 +30,7 @@ def _ladder(first: int, count: int, per: int, plain: int) -> list[tuple[int, int
 
 LENGTHS = [*_ladder(3, 28, 4, 8), (258, 0)]
 DISTANCES = _ladder(1, 30, 2, 4)
+#: Fixed value of the format: lengths of the fixed literal code.
 FIXED = [8] * 144 + [9] * 112 + [7] * 24 + [8] * 8
 
 
@@ -39,7 +41,8 @@ def _code_of(value: int, ladder: list[tuple[int, int]]) -> tuple[int, int, int]:
 
 
 def tokens(data: bytes, window: int = WINDOW, lazy: bool = True, chain: int = 256) -> Iterator[Token]:
-    """Literals and (length, distance) pairs. The nearest of the longest matches is taken; a longer one at the next byte is waited for."""
+    """Literals and (length, distance) pairs. Of the last ``chain`` places with the same three bytes the longest match is taken,
+    of equally long ones the nearest; a longer one at the next byte is waited for."""
     seen: dict[bytes, list[int]] = {}
 
     def best(i: int) -> tuple[int, int]:

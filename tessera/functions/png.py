@@ -13,8 +13,7 @@ from tessera.functions.raster import Mode
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LARGEST = (1 << 31) - 1
-#: Bytes that text and profiles may inflate to.
-MOST_TEXT = 1 << 26
+TAG = {"keyword": "tessera", "text": "1"}
 #: Fixed values of the format: layouts of the chunks that are records.
 FIELDS = {
     "tIME": (">H5B", ("year", "month", "day", "hour", "minute", "second")), "pHYs": (">IIB", ("x", "y", "unit")), "gAMA": (">I", ("gamma",)),
@@ -92,7 +91,7 @@ def _parse_itext(d: bytes) -> dict[str, str]:
         raise ValueError("unknown compression")
     packed, (language, _, rest) = rest[0], rest[2:].partition(b"\0")
     translated, _, text = rest.partition(b"\0")
-    text = inflate(text, most=MOST_TEXT) if packed else text
+    text = inflate(text) if packed else text
     return {"keyword": word, "language": language.decode("latin-1"), "translated": translated.decode("utf-8", "replace"), "text": text.decode("utf-8", "replace")}
 
 
@@ -130,7 +129,7 @@ def parse_ancillary(kind: str, d: bytes, header: dict[str, int], palette_size: i
         word, rest = _keyword(d)
         if rest[:1] != b"\0":
             raise ValueError("unknown compression")
-        plain = inflate(rest[1:], most=MOST_TEXT)
+        plain = inflate(rest[1:])
         return {"keyword": word, "text": plain.decode("latin-1")} if kind == "zTXt" else {"name": word, "profile": plain}
     if kind == "iTXt":
         return _parse_itext(d)
@@ -148,13 +147,16 @@ def parse_ancillary(kind: str, d: bytes, header: dict[str, int], palette_size: i
     return None
 
 
-def write_ancillary(kind: str, f: dict[str, Any]) -> bytes:
-    """The data of a chunk of the fields that ``parse_ancillary`` gives; texts are compressed where that is smaller."""
+def write_ancillary(kind: str, f: dict[str, Any], color_type: int = 2) -> bytes:
+    """The data of a chunk of the fields that ``parse_ancillary`` gives; texts are compressed where that is smaller.
+
+    A background is written as the colour type has it: an index, a grey value or three numbers.
+    """
     if kind in FIELDS:
         form, names = FIELDS[kind]
         return struct.pack(form, *(f[n] for n in names))
     if kind == "bKGD":
-        return struct.pack(">3H", f["r"], f["g"], f["b"])
+        return bytes([f["r"]]) if color_type == 3 else struct.pack(">H", f["r"]) if color_type in (0, 4) else struct.pack(">3H", f["r"], f["g"], f["b"])
     if kind == "tEXt":
         return _word(f["keyword"]) + b"\0" + f["text"].encode("latin-1")
     if kind == "zTXt":
@@ -175,6 +177,55 @@ def write_ancillary(kind: str, f: dict[str, Any]) -> bytes:
     raise ValueError(f"no layout for {kind}")
 
 
+def field_texts(fields: dict[str, Any]) -> list[tuple[str, str]]:
+    """(field, value) as text: numbers of a list by commas, lists of a list by semicolons, bytes as hex."""
+
+    def told(v: Any) -> str:
+        if isinstance(v, bytes):
+            return v.hex()
+        if isinstance(v, list):
+            return ";".join(map(told, v)) if v and isinstance(v[0], list) else ",".join(map(str, v))
+        return str(v)
+
+    return [(k, told(v)) for k, v in fields.items()]
+
+
+def fields_of_texts(kind: str, texts: dict[str, str]) -> dict[str, Any]:
+    """The fields of a chunk from their texts."""
+    if kind in FIELDS or kind == "bKGD":
+        return {k: int(v) for k, v in texts.items()}
+    if kind in ("hIST", "sBIT"):
+        return {k: [int(x) for x in v.split(",")] for k, v in texts.items()}
+    if kind == "sPLT":
+        entries = [[int(x) for x in e.split(",")] for e in texts["entries"].split(";") if e]
+        return {"name": texts["name"], "depth": int(texts["depth"]), "entries": entries}
+    return texts | {"profile": bytes.fromhex(texts["profile"])} if kind == "iCCP" else texts
+
+
+def with_metadata(data: bytes, entries: list[tuple[str, str, str]]) -> bytes:
+    """A PNG with chunks before its pixels, from rows (type, field, value); a type opens a new chunk when a field comes again."""
+    chunks = parse_chunks(data)
+    made: list[tuple[str, dict[str, str]]] = []
+    for kind, field, value in entries:
+        if not made or made[-1][0] != kind or field in made[-1][1]:
+            made.append((kind, {}))
+        made[-1][1][field] = value
+    ct = parse_header(chunks[0]["data"])["color_type"]
+    raw = [chunk(kind, write_ancillary(kind, fields_of_texts(kind, texts), ct)) for kind, texts in made]
+    first = next(i for i, c in enumerate(chunks) if c["type"] == "IDAT")
+    parts = [chunk(c["type"], c["data"]) for c in chunks]
+    return b"".join([SIGNATURE, *parts[:first], *raw, *parts[first:]])
+
+
+def metadata(data: bytes) -> list[tuple[int, str, str, str]]:
+    """(seq, type, field, value) of all ancillary and animation chunks that have fields."""
+    chunks = parse_chunks(data)
+    h, mode = parse_header(chunks[0]["data"]), image_mode(chunks)
+    size = 0 if mode.palette is None else len(mode.palette)
+    found = ((c, parse_ancillary(c["type"], c["data"], h, size)) for c in chunks)
+    return [(c["seq"], c["type"], k, v) for c, fields in found if fields is not None for k, v in field_texts(fields)]
+
+
 def image_mode(chunks: list[dict[str, Any]]) -> Mode:
     """Colour mode: header, palette with its alphas, colour key."""
     h = parse_header(chunks[0]["data"])
@@ -288,11 +339,12 @@ def encode(
     data: bytes, width: int, height: int, color_type: int = 6, depth: int = 8, *, palette: Any = None, key: tuple[int, ...] | None = None, out_mode: tuple[int, int] | None = None,
     auto: bool = True, interlace: bool = False, strategy: str = "minsum", kinds: list[int] | None = None, palette_zero: bool = True, background: tuple[int, ...] | None = None,
     time: tuple[int, ...] | None = None, phys: tuple[int, int, int] | None = None, texts: Any = (), itexts: Any = (), compress_text: bool = True, unknown: Any = (),
-    frames: Any = (), plays: int = 0, default_control: dict[str, int] | None = None, level: int = 6,
+    frames: Any = (), plays: int = 0, default_control: dict[str, int] | None = None, level: int = 6, add_id: bool = False,
 ) -> bytes:
     """An image, or with ``frames`` (dicts of x, y, width, height, delay_num, delay_den, dispose, blend, data) an animation.
 
     ``unknown`` holds (type, data, slot): slot 0 after IHDR, 1 before IDAT, 2 before IEND. The background is in input values.
+    ``add_id`` adds a plain text that names this library.
     """
     raster.check_mode(color_type, depth)
     if not (1 <= width <= LARGEST and 1 <= height <= LARGEST):
@@ -327,7 +379,7 @@ def encode(
     if target.key is not None and target.color_type in (0, 2):
         out.append(chunk("tRNS", struct.pack(f">{len(target.key)}H", *target.key)))
     if background is not None:
-        out.append(chunk("bKGD", bytes(background[:1]) if target.color_type == 3 else struct.pack(">H", background[0]) if target.color_type in (0, 4) else struct.pack(">3H", *background[:3])))
+        out.append(chunk("bKGD", write_ancillary("bKGD", dict(zip("rgb", (*background, 0, 0))), target.color_type)))
     out += [chunk("pHYs", struct.pack(">IIB", *phys))] if phys else []
     out += extra[1]
     number = 0
@@ -348,6 +400,7 @@ def encode(
     for word, text in texts:
         raw = text.encode("latin-1")
         out.append(chunk("zTXt", _word(word) + b"\0\0" + zlib.compress(raw)) if compress_text else chunk("tEXt", _word(word) + b"\0" + raw))
+    out += [chunk("tEXt", write_ancillary("tEXt", TAG))] if add_id else []
     for word, language, translated, text in itexts:
         fields = {"keyword": word, "language": language, "translated": translated, "text": text}
         out.append(chunk("iTXt", write_ancillary("iTXt", fields) if compress_text else _word(word) + b"\0\0\0" + language.encode("latin-1") + b"\0" + translated.encode() + b"\0" + text.encode()))

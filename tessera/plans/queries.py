@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from tessera.functions import deflate
 from tessera.functions.raster import PASSES
 from tessera.operators import colors, containers, filters, layout, streams
-from tessera.plans import rasters
+from tessera.plans import codec, rasters
 from tessera.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEYS = ["variant", "image"]
 
 LINES = """
-rows_ AS (SELECT CAST(label AS BIGINT) AS image, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
+rows_ AS (SELECT CAST(label AS BIGINT) + 1000 * (vec_id // 512) AS image, row_number() OVER (PARTITION BY label, vec_id // 512 ORDER BY vec_id) - 1 AS y, embedding FROM embeddings),
 s AS (SELECT image, y, CAST(u.i AS BIGINT) AS x,
              CAST(least(255, greatest(0, floor((CAST(embedding[u.i + 1] AS DOUBLE) + 1) * 127.5))) AS BIGINT) AS v
       FROM rows_, range(64) u(i))"""
@@ -355,21 +355,19 @@ def _open_deflate(spark: SparkSession, d: str) -> DataFrame:
                 made = list(deflate.tokens(raw))
                 rows.append((item, "tokens", hashlib.sha256(deflate.expand(made)).hexdigest()))
                 rows += [(item, m, hashlib.sha256(zlib.decompress(deflate.deflate(raw, m))).hexdigest()) for m in ("stored", "fixed", "dynamic")]
-                rows.append((item, "inflate", hashlib.sha256(deflate.inflate(zlib.compress(raw))).hexdigest()))
+                for mode, level, strategy in (("inflate", 6, zlib.Z_DEFAULT_STRATEGY), ("inflate_stored", 0, zlib.Z_DEFAULT_STRATEGY), ("inflate_fixed", 6, zlib.Z_FIXED)):
+                    z = zlib.compressobj(level, strategy=strategy)
+                    rows.append((item, mode, hashlib.sha256(deflate.inflate(z.compress(raw) + z.flush())).hexdigest()))
             yield pd.DataFrame(rows, columns=["item_id", "mode", "sha256"])
 
     return _benchmark_bytes(spark, d).mapInPandas(run, "item_id long, mode string, sha256 string")
 
 
-def _brute_lines(spark: SparkSession, d: str) -> DataFrame:
-    return filters.digest(filters.unfilter(filters.choose(rasters.scanlines(spark, d), 1, "brute_force"), 1))
-
-
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"filter_{k}": _lines(k, 1) for k in filters.KINDS}
     found |= {f"filter_{k}_rgba": _lines(k, 4) for k in filters.KINDS}
-    found |= {f"strategy_{s}": _strategy(s, 1) for s in ("zero", "minsum", "entropy", "predefined")}
-    found |= {"strategy_minsum_rgba": _strategy("minsum", 4), "strategy_brute_force": _brute_lines}
+    found |= {f"strategy_{s}": _strategy(s, 1) for s in ("zero", "minsum", "entropy", "predefined", "brute_force")}
+    found |= {"strategy_minsum_rgba": _strategy("minsum", 4)} | codec.queries()
     found |= {f"unfilter_{k}": _unfilter(k, 1) for k in (*filters.KINDS, "mixed")} | {"unfilter_mixed_rgba": _unfilter("mixed", 4)}
     return found | {
         "adam7_passes": lambda s, d: layout.pass_table(_sizes(s, d)),
@@ -416,7 +414,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     found = {f"filter_{k}": _filter_sql(i, 1) for i, k in enumerate(filters.KINDS)} | {f"filter_{k}_rgba": _filter_sql(i, 4) for i, k in enumerate(filters.KINDS)}
-    found |= {f"unfilter_{k}": RAW for k in (*filters.KINDS, "mixed", "mixed_rgba")} | {"strategy_brute_force": RAW, "adam7_roundtrip": RAW}
+    found |= {f"unfilter_{k}": RAW for k in (*filters.KINDS, "mixed", "mixed_rgba")} | {"adam7_roundtrip": RAW} | codec.oracle_sql()
     first = "CASE " + " ".join(f"WHEN x % {p[2]} = {p[0]} AND y % {p[3]} = {p[1]} THEN {i + 1}" for i, p in enumerate(PASSES)) + " END"
     steps = ", ".join(f"({i + 1}, {', '.join(map(str, p))})" for i, p in enumerate(PASSES))
     kinds = ", ".join(f"CAST(count(*) FILTER (role = '{k}') AS BIGINT) AS n_{k}, CAST(coalesce(sum(octet_length(encode(text))) FILTER (role = '{k}'), 0) AS BIGINT) AS bytes_{k}" for k in ROLES)
@@ -426,7 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "strategy_minsum": _choice_sql(MINSUM, 1),
         "strategy_minsum_rgba": _choice_sql(MINSUM, 4),
         "strategy_entropy": _choice_sql(ENTROPY, 1),
-        "adam7_passes": f"""WITH p(pass, ix, iy, dx, dy) AS (VALUES {steps}), z AS (SELECT CAST(label AS BIGINT) AS image, count(*) AS height FROM embeddings GROUP BY label),
+        "adam7_passes": f"""WITH p(pass, ix, iy, dx, dy) AS (VALUES {steps}), z AS (SELECT CAST(label AS BIGINT) + 1000 * (vec_id // 512) AS image, count(*) AS height FROM embeddings GROUP BY 1),
 s AS (SELECT image, CAST(pass AS BIGINT) AS pass, (64 - ix + dx - 1) // dx AS width, (height - iy + dy - 1) // dy AS height FROM z, p)
 SELECT image, pass, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, CAST(coalesce(sum(CASE WHEN width > 0 AND height > 0 THEN height * (width + 1) ELSE 0 END) OVER (PARTITION BY image ORDER BY pass ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM s""",
         "adam7_order": f"""WITH {LINES}, p AS (SELECT *, CAST({first} AS BIGINT) AS pass FROM s), o AS (SELECT *, row_number() OVER (PARTITION BY image, pass ORDER BY y, x) AS place FROM p)
@@ -467,6 +465,6 @@ SELECT animation, CAST(frame_no AS BIGINT) AS frame_no, min(seq) AS opened, CAST
         "frame_bounds": """WITH i AS (SELECT l_orderkey AS animation, CAST(sum(l_quantity) AS BIGINT) AS width, count(*) AS height, count(*) AS x, CAST(max(l_linenumber) AS BIGINT) AS y FROM lineitem GROUP BY l_orderkey)
 SELECT animation, x, y, width, height FROM i JOIN orders ON o_orderkey = animation WHERE width <= 0 OR x + width > 100 OR y + height > length(o_orderpriority)""",
         "png_roundtrip": "SELECT doc_id, CAST(greatest(ceil(octet_length(encode(coalesce(text, ''))) / 64.0), 1) AS BIGINT) AS height, sha256(coalesce(text, '')) AS sha256 FROM documents",
-        "deflate_modes": "SELECT item_id, mode, sha256(text) AS sha256 FROM benchmark, (VALUES ('tokens'), ('stored'), ('fixed'), ('dynamic'), ('inflate')) m(mode)",
+        "deflate_modes": "SELECT item_id, mode, sha256(text) AS sha256 FROM benchmark, (VALUES ('tokens'), ('stored'), ('fixed'), ('dynamic'), ('inflate'), ('inflate_stored'), ('inflate_fixed')) m(mode)",
         "deflate_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
     }

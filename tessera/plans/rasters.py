@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Vectors of which those with one label make an image: images stay small and their number grows with the table.
+VECTORS = 512
+
+
 def scanlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image, y, line): embeddings as rows of grey bytes; a label is an image."""
+    """(image, y, line): embeddings as rows of grey bytes; a label is an image within each range of ``VECTORS`` ids."""
     byte = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 1) * 127.5))).cast("int")
-    order = Window.partitionBy("label").orderBy("vec_id")
+    image = F.col("label").cast("long") + 1000 * F.floor(F.col("vec_id") / VECTORS)
+    order = Window.partitionBy(image).orderBy("vec_id")
     return read(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("image"), (F.row_number().over(order) - 1).cast("long").alias("y"), F.transform("embedding", byte).alias("line")
+        image.alias("image"), (F.row_number().over(order) - 1).cast("long").alias("y"), F.transform("embedding", byte).alias("line")
+    )
+
+
+def rows_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, data): each embedding as 64 bytes."""
+    byte = lambda e: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 1) * 127.5)))), 2, "0")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.unhex(F.array_join(F.transform("embedding", byte), "")).alias("data"))
+
+
+def numbers(data: Column, width: int = 1) -> Column:
+    """Bytes as an array of big-endian numbers of ``width`` bytes."""
+    return F.transform(
+        F.sequence(F.lit(1), F.greatest(F.octet_length(data) - width + 1, F.lit(1)), F.lit(width)),
+        lambda i: F.coalesce(F.conv(F.hex(F.substring(data, i, F.lit(width))), 16, 10).cast("long"), F.lit(0).cast("long")),
     )
 
 

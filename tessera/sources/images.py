@@ -77,6 +77,57 @@ def filter_types(content: Column | str) -> Column:
     return run(content)
 
 
+ENTRY = "struct<type:string,field:string,value:string>"
+
+
+def metadata(content: Column | str) -> Column:
+    """Rows (seq, type, field, value) of all chunks with fields, values as text; null for what can't be read."""
+
+    @F.pandas_udf("array<struct<seq:int,type:string,field:string,value:string>>")
+    def run(raw: pd.Series) -> pd.Series:
+        def one(r: bytes | None) -> list[dict] | None:
+            try:
+                return [dict(zip(("seq", "type", "field", "value"), m, strict=True)) for m in png.metadata(r or b"")]
+            except ValueError:
+                return None
+
+        return raw.map(one)
+
+    return run(content)
+
+
+def with_metadata(content: Column | str, entries: Column | str) -> Column:
+    """A PNG with more chunks, from an array of (type, field, value); null where that can't be done."""
+
+    @F.pandas_udf("binary")
+    def run(raw: pd.Series, more: pd.Series) -> pd.Series:
+        def one(r: bytes | None, rows) -> bytes | None:
+            try:
+                return png.with_metadata(r or b"", [(e["type"], e["field"], e["value"]) for e in rows])
+            except (ValueError, KeyError, TypeError):
+                return None
+
+        return pd.Series([one(r, m) for r, m in zip(raw, more, strict=True)], dtype=object)
+
+    return run(content, entries)
+
+
+def encode_animation(data: Column | str, width: Column, height: Column, frames: Column | str, color_type: int = 6, depth: int = 8, **settings) -> Column:
+    """A struct (content, error) of a default image and ``frames``, an array of structs as ``decode`` gives them."""
+
+    @F.pandas_udf("struct<content:binary,error:string>")
+    def run(raw: pd.Series, w: pd.Series, h: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        out = []
+        for r, x, y, p in zip(raw, w, h, parts, strict=True):
+            try:
+                out.append((png.encode(r, int(x), int(y), color_type, depth, frames=[dict(f) for f in p], **settings), None))
+            except (ValueError, TypeError, KeyError) as e:
+                out.append((None, str(e)))
+        return pd.DataFrame(out, columns=["content", "error"], dtype=object)
+
+    return run(data, width.cast("int"), height.cast("int"), frames)
+
+
 INFO = (
     "struct<width:int,height:int,bit_depth:int,color_type:int,interlace:int,palette:array<array<int>>,key:array<int>,background:array<int>,phys:array<bigint>,time:array<int>,"
     "gamma:bigint,plays:bigint,texts:array<struct<kind:string,keyword:string,text:string,language:string,translated:string>>,chunk_names:string,error:string>"

@@ -6,8 +6,12 @@ import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from tessera.functions import outcome
 from tessera.operators import streams
 from tessera.plans import queries as Q
+from tessera.plans import rasters
 from tools_compare import TABLES, frame
 
 SF = "/root/testdata/sf0.001"
@@ -55,3 +59,31 @@ def test_optimal_codes_are_a_prefix_code_of_least_cost(spark):
     rows = [(r.length, r.code) for r in Q.queries()["optimal_codes"](spark, SF).collect()]
     words = sorted(format(c, f"0{n}b") for n, c in rows)
     assert not any(b.startswith(a) for a, b in zip(words, words[1:]))
+
+
+def test_brute_force_takes_the_filter_that_packs_best(spark):
+    lines = {(r.image, r.y): bytes(r.line) for r in rasters.scanlines(spark, SF).collect()}
+    for r in Q.queries()["strategy_brute_force"](spark, SF).collect():
+        line, above, tried = lines[(r.image, r.y)], lines.get((r.image, r.y - 1), bytes(64)), []
+        for kind in range(5):
+            made = bytearray()
+            for x, v in enumerate(line):
+                a, b, c = (line[x - 1], above[x], above[x - 1]) if x else (0, above[0], 0)
+                p = a + b - c
+                nearest = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                made.append((v - [0, a, b, (a + b) // 2, nearest][kind]) % 256)
+            tried.append((len(zlib.compress(bytes(made), 9)), kind, bytes(made)))
+        _, kind, made = min(tried)
+        assert (r.kind, r.total, r.weighted) == (kind, sum(made), sum(v * (i + 1) for i, v in enumerate(made)))
+
+
+def test_images_stay_small(spark):
+    lines = rasters.scanlines(spark, "/root/testdata/sf0.1")
+    assert lines.groupBy("image").count().agg({"count": "max"}).first()[0] <= rasters.VECTORS and lines.select("image").distinct().count() > 20
+
+
+def test_outcomes_that_stop_a_query(spark):
+    df = spark.range(1)
+    for made in (outcome.get(outcome.err(F.lit("bad"))), outcome.expect(outcome.err(F.lit("bad")), "told"), outcome.error(outcome.ok(F.lit(5)))):
+        with pytest.raises(Exception, match="bad|5"):
+            df.select(made.alias("x")).collect()
