@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SCRATCH: dict[str, list[str]] = {}
+_KEPT: dict[str, list[str]] = {}
 _TABLES: dict[str, list[str]] = {}
 
 
@@ -31,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes with ``clear_scratch`` or at exit."""
+def scratch_path(spark: SparkSession, name: str, until_exit: bool = False) -> str:
+    """A new path in the shared folder; it goes with ``clear_scratch`` or, at the latest, at exit."""
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    (_KEPT if until_exit else _SCRATCH).setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
@@ -56,18 +57,23 @@ def materialize(df: DataFrame, name: str, buckets: int = 0, by: tuple[str, ...]
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this application. Call it only when no result that reads them is still wanted."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for table in _TABLES.pop(spark.sparkContext.applicationId, []):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _at_exit() -> None:
     spark = SparkSession.getActiveSession()
     if spark is not None and spark.sparkContext._jsc is not None:
         clear_scratch(spark)
+        for path in _KEPT.pop(spark.sparkContext.applicationId, []):
+            delete(spark, path)
 
 
 atexit.register(_at_exit)
@@ -160,6 +166,21 @@ def text_around(text: Column, spans: Column, window: int) -> Column:
     )
 
 
+def sums_before(rows: DataFrame, by: str, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over rows of the same ``by`` (null is one) with a smaller ``order``, whole numbers from 0.
+
+    Sums run over blocks of ``block`` orders and inside each block, so a group of n rows needs no task with more
+    than n / ``block`` or ``block`` of them.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(order) / block))
+    totals = rows.groupBy(by, "_block").agg(F.sum(value).alias("_total"))
+    earlier = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(by).alias("_by"), F.col("_block").alias("_of"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    met = rows.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(totals, rows[by].eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_of")))
+    return met.withColumn(out, F.col("_inside") + F.col("_base")).drop("_block", "_by", "_of", "_base", "_inside")
+
+
 #: A key with more than one in so many rows is hot; there are fewer hot keys than this, whatever the input.
 HOT_SHARE = 1_000
 

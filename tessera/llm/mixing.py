@@ -2,7 +2,7 @@
 
 Each document gets a hash-random key. A source's key range is cut into as many equal ranges as its row count
 asks for, so a source with a third of all rows is spread like the rest. Sums by range, a running sum over the
-ranges (a small table) and a running sum inside each range make the prefix sum of a document.
+ranges in two levels and a running sum inside each range make the prefix sum of a document.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize
+from tessera.llm.common import body, materialize, sums_before
 
 #: A word is a maximal run of characters other than space and the five ASCII controls from tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,8 +30,13 @@ def hash_key(ident: Column, seed: int) -> Column:
 
 def weigh_by_rank(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Weights repeating over the sources by code point, null last. ``sources`` has a row for each source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.get(F.array(*[F.lit(w).cast("long") for w in weights]), rank % len(weights)))
+    # a rank of any number of sources: by ranges of names, counted range by range
+    order = F.col("source").asc_nulls_last()
+    ranged = materialize(sources.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "mix-ranks")
+    earlier = sums_before(ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0)), "_all", "_part", "_n", "_before")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_before")
+    weight = F.get(F.array(*[F.lit(w).cast("long") for w in weights]), (rank % len(weights)).cast("int"))
+    return ranged.join(earlier.select("_part", "_before"), "_part").withColumn("weight", weight).drop("_part", "_before")
 
 
 def set_targets(sources: DataFrame, share: float, most: float) -> DataFrame:
@@ -71,8 +76,7 @@ def _cut(sized: DataFrame, sources: DataFrame, whole: bool) -> DataFrame:
     placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = placed.withColumn("range", F.floor(F.col("key") * F.col("ranges") / F.lit(2.0**32)))
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    sums = sums_before(sums, "source", "range", "words", "offset").select(F.col("source").alias("s"), F.col("range").alias("r"), "offset")
     inside = Window.partitionBy("source", "range").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     ranked = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     ranked = ranked.join(sums, ranked["source"].eqNullSafe(sums["s"]) & (ranked["range"] == sums["r"]))
@@ -98,8 +102,8 @@ def mix(
     Every whole pass over a source that its target holds counts each document once; the rest is cut in key order at
     the exact budget: the document on the boundary gives the words up to it, or with ``whole`` counts entirely if half
     of it fits. Null text has size 0; a null source is a source of its own; a null doc_id is keyed by its text; rows
-    with equal ids and sizes stand in any order, which gives the same multiset of results. An empty table gives no
-    rows. Other columns play no part.
+    with equal ids and sizes stand in any order, which gives the same multiset of results. Words of a text of any length
+    are all counted. An empty table gives no rows. Other columns play no part.
     """
     sized = _sizes(df, seed)
     cut = _cut(sized, _targets(sized, share, most, weights, rows_per_range), whole)

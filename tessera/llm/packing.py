@@ -7,10 +7,11 @@ the pieces of its length, a distributed running count.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, sums_before
 
 END_ID = 2
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
@@ -40,12 +41,11 @@ class Encoder(dict):
     letters or the string of a special token goes to the tokenizer of the file itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, file: bytes):
         import tiktoken
 
-        self.path = path
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        self.file = file
+        spec = json.loads(file)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
@@ -61,7 +61,7 @@ class Encoder(dict):
         """The tokenizer of the file, loaded when a text needs it."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path)
+        return Tokenizer.from_str(self.file.decode())
 
     def whole(self, text: str) -> bytes:
         if text.isascii() or max(text) < "\u0250":
@@ -98,11 +98,11 @@ class Encoder(dict):
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, one for each Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(name: str, file: Callable[[], bytes]) -> Encoder:
+    """The encoder of a vocabulary file, one for each Python worker; ``name`` tells files apart."""
+    if name not in _ENCODERS:
+        _ENCODERS[name] = Encoder(file())
+    return _ENCODERS[name]
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
@@ -116,13 +116,17 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
 def tokenize(df: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, and with ``with_ids`` the ids as bytes.
 
-    A document's ids end with 2, so null and empty texts have one piece of one id. Equal rows give equal pieces;
-    null ids stay null; other columns play no part.
+    A document's ids end with 2, so null and empty texts have one piece of one id. Texts are taken whole, however long;
+    equal rows give equal pieces; null ids stay null; an empty table gives no rows; other columns play no part. The
+    driver reads the file ``tokenizer`` and sends its bytes, some megabytes, to the executors.
     """
+    with open(tokenizer, "rb") as f:
+        raw = f.read()
+    file, name = df.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(name, lambda: file.value)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -205,7 +209,7 @@ def places(runs: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, rows_per_range: int = 2_000) -> DataFrame:
-    """Add sequence_id and offset to rows with doc_id, piece, start, length, ids_crc32; lengths are 1 to ``capacity``.
+    """Add sequence_id and offset (older ones replaced) to rows with doc_id, piece, start, length, ids_crc32; lengths are 1 to ``capacity``.
 
     Rows that agree in everything are placed apart. An empty table gives no rows.
     """
@@ -215,8 +219,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_range: int = 2_000) -
     spread = counts.select(F.col("length").alias("l"), F.ceil(F.col("rows") / rows_per_range).alias("ranges"))
     dealt = pieces.join(spread, pieces["length"] == spread["l"]).withColumn("range", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "ranges")).drop("l", "ranges")
     sums = dealt.groupBy("length", "range").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("length", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sums = sums_before(sums, "length", "range", "n", "before").select("length", "range", "before")
     inside = Window.partitionBy("length", "range").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(sums, ["length", "range"])
     ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("before")).alias("_rank"))
@@ -238,12 +241,20 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_range: int = 2_000) -
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Null and empty texts are one piece of one id; texts of any length are cut, never shortened; null and repeated ids
+    and repeated rows are packed like others, pieces that agree in everything apart. An empty table gives no rows; other
+    columns play no part.
+    """
     return pack(tokenize(df, tokenizer, capacity), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences themselves, of rows that have ``ids``: sequence_id, n_pieces, ids (little-endian bytes)."""
+    """The packed sequences themselves, of rows that have ``ids``: sequence_id, n_pieces, ids (little-endian bytes).
+
+    A sequence has at most ``capacity`` ids, whatever the input. An empty table gives no rows; null doc_ids do no harm.
+    """
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"]))
     return packed.groupBy("sequence_id").agg(F.count("*").alias("n_pieces"), joined.alias("ids"))

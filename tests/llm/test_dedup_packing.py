@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, packing
-from tessera.llm.common import join_counted
+from tessera.llm.common import join_counted, sums_before
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a  b", "  x", "x  ", "a \n b", "a\n b\n\n c \n", "it's 'tis ' s", "tab\tb\r\n c", "<|endoftext|> hi", "日本語 テキスト ok", "a   b\n  c", "\n", "", " ", "Ü é ßs 12 345a !!??", "😀😀 hi", "x" * 5000]
@@ -67,7 +68,7 @@ def test_chains_compare_bytes():
 
 def test_encoder_agrees_with_the_tokenizer(spark):
     texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    slow, fast = Tokenizer.from_file(PATH), packing.encoder(PATH)
+    slow, fast = Tokenizer.from_file(PATH), packing.encoder(PATH, Path(PATH).read_bytes)
     for _ in range(2):
         for t in texts:
             assert np.frombuffer(fast(t), "<u4").tolist() == slow.encode(t, add_special_tokens=False).ids, t[:50]
@@ -115,3 +116,11 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
     whole = packing.sequences(packing.pack(packing.tokenize(df, PATH, with_ids=True))).collect()
     assert sum(len(r.ids) for r in whole) == 4 * sum(r.length for r in packed)
+    assert packing.sequences(packing.pack(packing.tokenize(df.limit(0), PATH, with_ids=True))).count() == 0
+
+
+def test_sums_before_in_blocks(spark):
+    rng = random.Random(8)
+    rows = [(by, i, rng.randint(0, 9)) for by in ("a", None, "b") for i in rng.sample(range(300), 200)]
+    got = sums_before(spark.createDataFrame(rows, "s string, i long, v long"), "s", "i", "v", "t", block=16).collect()
+    assert len(got) == len(rows) and all(r.t == sum(v for by, i, v in rows if by == r.s and i < r.i) for r in got)
