@@ -1,10 +1,11 @@
-"""Jaccard join on word n-grams by MinHash banding, with exact verification.
-
-Every text gets one signature cut into bands ("trees") of equal length, hashed to one node each. The length is
-fixed before any text is read: the longest at which a pair at the threshold shares a node with the target recall.
-No longer prefixes are made and none are shortened by the data, as an LSH forest would. Texts that share a node are tied to its least member; the components of these ties hold all candidates. Within
-them shingle sets are compared exactly, large components in pairs of blocks, and only link counts and spanning
-edges leave a task.
+"""Jaccard join on word n-grams: a MinHash LSH forest finds candidates, exact comparison decides.
+
+Every text has a signature of ``trees`` x ``LONGEST`` least hashes. For each tree all signatures are sorted as
+strings of values, which lays out the tree's prefix trie: texts below a node are neighbours, and the longest common
+prefix of neighbours says how deep their node lies. All prefixes start at full length and are shortened value by
+value until the expected recall over the links that the forest shows reaches its target. Neighbours that still share
+a prefix are tied, the components of these ties hold all candidates, and within them shingle sets are compared
+exactly, large components in pairs of blocks. Only link counts and spanning edges leave a task.
 """
 
 from __future__ import annotations
@@ -14,17 +15,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize
+from tessera.llm.common import body, join_counted, materialize
 from tessera.llm.graph import components
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 32
-LONGEST = 12
-RECALL = 0.999
+#: Values of a full prefix, and of the shortest that neighbours are looked at for.
+LONGEST, SHORTEST = 10, 4
+RECALL = 0.9999
+#: The weight of a link at the threshold beside the links seen: such links are the ones that a forest misses first.
+AT_THRESHOLD = 0.01
+SKETCH_BITS = 128
 #: Shingles and texts of a block, on average.
 BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 1_500
@@ -33,27 +39,22 @@ CACHE_ENTRIES = 150_000
 DENSE = 48
 
 
-def prefix_length(threshold: float, trees: int, recall: float, longest: int = LONGEST) -> int:
-    """The longest prefix that a pair at the threshold shares in some tree with probability ``recall``: of constants only."""
-    length = longest
-    while length > 1 and 1 - (1 - threshold**length) ** trees < recall:
-        length -= 1
-    return length
-
-
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE_ENTRIES:
             self.clear()
-        self[word] = made = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = made = xxhash.xxh64_intdigest(word)
         return made
 
 
 _HASHES = _Hashes()
 
 
-def shingles(text: str, n: int = WORDS) -> np.ndarray:
-    """64-bit hashes of the word n-grams, with repeats; a shorter text is one shingle, a text without words none."""
+def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the word n-grams, with repeats; a shorter text is one shingle, a text without words none.
+
+    A word is a maximal run of bytes other than space and the five ASCII controls from tab to return.
+    """
     words = text.split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -80,14 +81,27 @@ def signature(sh: np.ndarray, multiply: np.ndarray, flip: np.ndarray, step: int
     return least
 
 
-def node_keys(sig: np.ndarray, trees: int) -> np.ndarray:
-    """A 64-bit hash for each tree of its prefix."""
-    rows = sig.reshape(trees, -1).astype(np.uint64)
-    key = np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(rows.shape[1]):
-        key = (key ^ rows[:, i]) * np.uint64(0xBF58476D1CE4E5B9)
-        key ^= key >> np.uint64(31)
-    return key.view(np.int64)
+def strings(sig: np.ndarray, trees: int) -> tuple[bytes, bytes]:
+    """The trees' strings of values, two bytes each, and a sketch: a bit of the last values of every tree."""
+    values = (sig & np.uint32(0xFFFF)).astype(">u2")
+    last = np.resize(sig.reshape(trees, -1)[:, ::-1].T, SKETCH_BITS)
+    return values.tobytes(), np.packbits(((last >> np.uint32(7)) & np.uint32(1)).astype(np.uint8)).tobytes()
+
+
+def found_share(similarity: np.ndarray, length: int, trees: int) -> np.ndarray:
+    """The probability that pairs share a prefix of ``length`` in some tree."""
+    return 1 - (1 - similarity**length) ** trees
+
+
+def choose_length(seen: dict[float, int], threshold: float, trees: int, recall: float) -> int:
+    """The longest prefix whose expected recall reaches the target: over ``seen`` (links by similarity) and one at the threshold."""
+    s = np.array([x for x in seen if x >= threshold])
+    n = np.array([seen[x] for x in seen if x >= threshold], np.float64)
+    s, weight = np.r_[s, threshold], np.r_[n / n.sum() * (1 - AT_THRESHOLD), AT_THRESHOLD] if len(n) else np.ones(1)
+    length = LONGEST
+    while length > SHORTEST and weight @ found_share(s, length, trees) < recall:
+        length -= 1
+    return length
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -95,33 +109,113 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("t1", F.xxhash64(body())).withColumn("t2", F.xxhash64(F.lit("second"), body()))
 
 
-def _texts(docs: DataFrame, n: int, trees: int, length: int) -> DataFrame:
-    """Different texts: tid, t1, t2, least doc_id, rows, number of shingles and nodes."""
+def _texts(docs: DataFrame, n: int, trees: int) -> DataFrame:
+    """Different texts: tid, t1, t2, least doc_id, rows, number of shingles, strings and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multiply, flip = family(trees * length)
+        multiply, flip = family(trees * LONGEST)
         for batch in batches:
-            keys, sizes = [], []
+            keys, sketches, sizes = [], [], []
             for text in batch.column(3):
                 sh = shingles(text.as_py(), n)
                 sizes.append(len(sh))
-                keys.append(node_keys(signature(sh, multiply, flip), trees).tobytes() if len(sh) else b"")
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "t1", "t2", "shingles", "keys"])
+                key, sketch = strings(signature(sh, multiply, flip), trees) if len(sh) else (b"", b"")
+                keys.append(key)
+                sketches.append(sketch)
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), *made], names=["doc_id", "t1", "t2", "shingles", "keys", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "t1", "t2", F.encode(body(), "UTF-8").alias("text"))
+    made = rows.mapInArrow(run, "doc_id long, t1 long, t2 long, shingles long, keys binary, sketch binary")
+    first = F.first(F.struct("shingles", "keys", "sketch")).alias("made")
+    grouped = made.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), first)
+    return materialize(grouped.select("t1", "t2", "least", "rows", "made.*").withColumn("tid", F.monotonically_increasing_id()), "ngram-texts")
+
 
-    rows = docs.select(F.col("doc_id").cast("long"), "t1", "t2", body().alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, t1 long, t2 long, shingles long, keys binary")
-    grouped = made.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
-    return materialize(grouped.withColumn("tid", F.monotonically_increasing_id()), "ngram-texts")
+_BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-def _candidates(texts: DataFrame, trees: int) -> DataFrame:
-    """(tid, group, weight, size): the components of texts that share a node."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by tree and string: ties of neighbours, and the first and last row of the task (edge 1 and 2).
+
+    Texts with equal strings are tied to the first of them, others to the one before.
+    """
+    part = TaskContext.get().partitionId()
+    kept = None  # the last row, and the first text that has its string
+
+    def edge(kind: int, row: tuple) -> pa.RecordBatch:
+        tree, key, sketch, tid = row
+        return _ties([tid], [tid], [0], [0], [kind], [part], [tree], [key], [sketch])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, tid = (batch.column(c).to_numpy() for c in ("tree", "tid"))
+        keys, sketches = ([x.as_py() for x in batch.column(c)] for c in ("key", "sketch"))
+        if kept is None:
+            yield edge(1, (int(tree[0]), keys[0], sketches[0], int(tid[0])))
+            start = (tree[:1] - 1, keys[:1], sketches[:1], tid[:1], tid[:1])
+        else:
+            start = kept
+        tree, tid, keys, sketches = np.r_[start[0], tree], np.r_[start[3], tid], start[1] + keys, start[2] + sketches
+        lcp, agree = _alike(tree, keys, sketches)
+        new = np.flatnonzero(np.r_[True, lcp < LONGEST])
+        of = np.searchsorted(new, np.arange(len(tid)), side="right") - 1
+        heads = np.r_[start[4], tid[new[1:]]]
+        to = np.where(lcp < LONGEST, tid[:-1], heads[of[1:]])
+        tied = (lcp >= SHORTEST) & (tid[1:] != to)
+        n = int(tied.sum())
+        if n:
+            yield _ties(tid[1:][tied], to[tied], lcp[tied], agree[tied], [0] * n, [part] * n, [0] * n, [b""] * n, [b""] * n)
+        kept = (tree[-1:], keys[-1:], sketches[-1:], tid[-1:], heads[of[-1:]])
+    if kept is not None:
+        yield edge(2, (int(kept[0][0]), kept[1][0], kept[2][0], int(kept[3][0])))
+
+
+_TIES = {"u": "long", "v": "long", "lcp": "int", "agree": "int", "edge": "int", "part": "int", "tree": "int", "key": "binary", "sketch": "binary"}
+
+
+def _ties(*columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    return pa.record_batch([pa.array(c, kinds[k]) for c, k in zip(columns, _TIES.values(), strict=True)], names=list(_TIES))
+
+
+def _alike(tree: np.ndarray, keys: list[bytes], sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Common values and bits of sketches of each row with the one before it."""
+    values = np.frombuffer(b"".join(keys), ">u2").reshape(len(keys), LONGEST)
+    same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    bits = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(keys), SKETCH_BITS // 8)
+    return np.logical_and.accumulate(same, axis=1).sum(axis=1), SKETCH_BITS - _BITS[bits[1:] ^ bits[:-1]].sum(axis=1, dtype=np.int64)
+
+
+def _forest(texts: DataFrame, trees: int) -> DataFrame:
+    """(u, v, lcp, agree): neighbours in the sorted trees with the longest prefix that they share in any."""
+    spark, width = texts.sparkSession, 2 * LONGEST
     at = F.sequence(F.lit(0), F.lit(trees - 1))
-    keys = F.transform(at, lambda i: F.conv(F.hex(F.substring("keys", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
-    entries = texts.where("shingles > 0").select("tid", F.explode(keys).alias("node"))
-    least = entries.groupBy("node").agg(F.min("tid").alias("pivot"), F.max("tid").alias("last")).where("pivot < last").drop("last")
-    ties = entries.join(least, "node").where("tid <> pivot").select(F.col("tid").alias("u"), F.col("pivot").alias("v")).distinct()
-    return components(ties)
+    entry = F.explode(F.transform(at, lambda i: F.struct(i.alias("tree"), F.substring("keys", i * width + 1, F.lit(width)).alias("key"))))
+    entries = texts.where("shingles > 0").select("tid", "sketch", entry.alias("e")).select("e.tree", "e.key", "sketch", "tid")
+    # by ranges of strings and texts, so that a node of any size is spread over tasks
+    dealt = entries.repartitionByRange("tree", "key", "tid").sortWithinPartitions("tree", "key", "tid")
+    ties = materialize(dealt.mapInArrow(_neighbours, ", ".join(f"{c} {k}" for c, k in _TIES.items())), "ngram-neighbours")
+    # two rows for each task: neighbours that a boundary parts
+    edges = ties.where("edge > 0").orderBy("part", "edge").collect()
+    across = []
+    for x, y in zip(edges[1::2], edges[2::2]):
+        (lcp,), (agree,) = _alike(np.array([x.tree, y.tree]), [bytes(x.key), bytes(y.key)], [bytes(x.sketch), bytes(y.sketch)])
+        if lcp >= SHORTEST and x.u != y.u:
+            across.append((y.u, x.u, int(lcp), int(agree)))
+    found = ties.where("edge = 0").select("u", "v", "lcp", "agree").unionByName(spark.createDataFrame(across, "u long, v long, lcp int, agree int"))
+    pairs = found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("lcp").alias("lcp"), F.max("agree").alias("agree"))
+    return materialize(pairs, "ngram-ties")
+
+
+def _candidates(texts: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """(node, label): the components of texts that share a prefix of the length that the recall asks for."""
+    ties = _forest(texts, trees)
+    # equal bits are half by chance: agreement a is similarity 2a - 1
+    seen = {2 * r["agree"] / SKETCH_BITS - 1: r["count"] for r in ties.groupBy("agree").count().collect()}  # at most 129 rows
+    length = choose_length(seen, threshold, trees, recall)
+    return components(ties.where(F.col("lcp") >= length).select("u", "v"))
 
 
 def compare(shingle_sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
@@ -210,21 +304,25 @@ def _verify(threshold: float):
     return run
 
 
-def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: int) -> DataFrame:
+def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
     """(tid, other, texts, docs) of the exact comparison of all candidates."""
-    member = _candidates(texts, trees)
+    member = _candidates(texts, threshold, trees, recall)
     known = texts.select("tid", "t1", "t2", "least", "rows", "shingles").join(member.select(F.col("node").alias("tid"), F.col("label").alias("group")), "tid")
+    known = materialize(known, "ngram-members")
     sizes = known.groupBy("group").agg(F.sum("shingles").alias("weight"), F.count("*").alias("size"))
     blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_TEXTS)).cast("int")
-    known = materialize(known.join(sizes, "group").withColumn("blocks", blocks).drop("weight", "size", "shingles"), "ngram-candidates")
+    known = join_counted(known, sizes, ["group"], "size", known.count(), ["tid"])
+    known = materialize(known.withColumn("blocks", blocks).drop("weight", "size", "shingles"), "ngram-candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), n)).tobytes() for t in batch.column(4)]
             yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["group", "blocks", "tid", "rows", "set"])
 
-    # always by a sort-merge join: candidates grow with the input, and what holds at one size holds at all
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "t1", "t2", body().alias("text")).join(known.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    # one row stands for all copies of a text: with its id in the key, copies of a common text are spread. Always by a
+    # sort-merge join: candidates grow with the input, and what holds at one size holds at all
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), F.encode(body(), "UTF-8").alias("text"))
+    chosen = rows.join(known.hint("merge"), (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2")) & F.col("id").eqNullSafe(F.col("least")))
     sets = chosen.select("group", "blocks", "tid", "rows", "text").mapInArrow(run, "group long, blocks int, tid long, rows long, set binary")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("block", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -235,14 +333,14 @@ def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: i
 
 def _classes(docs: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
     """Per different text: t1, t2, least, rows, label (of its class), class_id, texts and docs that it links to."""
-    texts = _texts(docs, n, trees, prefix_length(threshold, trees, recall))
-    links = _links(docs, texts, n, threshold, trees)
+    texts = _texts(docs, n, trees)
+    links = _links(docs, texts, n, threshold, trees, recall)
     counts = links.where("other is null").groupBy("tid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     label = components(links.where("other is not null").select(F.col("tid").alias("u"), F.col("other").alias("v")))
     joined = counts.join(label.withColumnRenamed("node", "tid"), "tid")
     linked = materialize(texts.select("tid", "least").join(joined, "tid"), "ngram-linked")
-    ids = linked.groupBy("label").agg(F.min("least").alias("class_id"))
-    linked = linked.drop("least").join(ids, "label")
+    ids = linked.groupBy("label").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
+    linked = join_counted(linked.drop("least"), ids, ["label"], "size", linked.count(), ["tid"]).drop("size")
     made = texts.select("tid", "t1", "t2", "least", "rows").join(linked, "tid", "left")
     return materialize(
         made.select("t1", "t2", "least", "rows", F.coalesce("label", "tid").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
@@ -253,26 +351,31 @@ def _classes(docs: DataFrame, n: int, threshold: float, trees: int, recall: floa
 def ngram_groups(df: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links, n_text_links.
 
-    Two texts are linked if the Jaccard similarity of their sets of word n-grams (words between white space; a shorter
-    text is one gram) is at least ``threshold``; equal texts always are. A class is a connected part, class_id its least
-    doc_id (null if none has one). n_links counts the other documents linked to this one, n_text_links the different
-    texts. Null text counts as empty; an empty text is linked to empty ones alone. Repeated rows count as copies. An
-    empty table gives no rows; other columns play no part.
+    Two texts are linked if the Jaccard similarity of their sets of word n-grams (words between ASCII white space; a
+    shorter text is one gram) is at least ``threshold``; equal texts always are. A class is a connected part, class_id its
+    least doc_id (null if none has one). n_links counts the other documents linked to this one, n_text_links the different
+    texts. Null text counts as empty; an empty text is linked to empty ones alone; texts of any length are taken whole.
+    Repeated rows count as copies. An empty table gives no rows; other columns play no part.
     """
     docs = _keyed(df.select("doc_id", "text"))
     classes = _classes(docs, n, threshold, trees, recall)
-    found = docs.select("doc_id", "t1", "t2").join(classes, ["t1", "t2"])
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    found = join_counted(docs.select("doc_id", "t1", "t2"), classes.drop("least", "label"), ["t1", "t2"], "rows", total, ["doc_id"])
     return found.select("doc_id", "class_id", (F.col("rows") - 1 + F.col("docs")).alias("n_links"), F.col("texts").alias("n_text_links"))
 
 
 def drop_near_copies(df: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """The rows of ``df`` that stay, with its columns: of each class one, that with the least doc_id."""
+    """The rows of ``df`` that stay, with its columns: of each class, as ``ngram_groups`` has them, that with the least doc_id.
+
+    A class without ids keeps one of its rows, and so does an id that repeated rows of a text share. An empty table
+    gives no rows; other columns may have any names.
+    """
     docs = _keyed(df.select(F.struct("*").alias("_row"), "doc_id", "text"))
     classes = _classes(docs, n, threshold, trees, recall)
     # one text for each class: among those with its id, any
     best = classes.where(F.col("least").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct("t1", "t2")).alias("best"), F.min("class_id").alias("keep"))
-    best = materialize(best.select(F.col("best.t1").alias("t1"), F.col("best.t2").alias("t2"), "keep"), "ngram-kept")
-    kept = docs.join(best, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("keep")))
+    best = materialize(best.select(F.col("best.t1").alias("x1"), F.col("best.t2").alias("x2"), "keep"), "ngram-kept")
+    kept = docs.join(best, (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")) & F.col("doc_id").eqNullSafe(F.col("keep")))
     if not kept.groupBy("t1", "t2").count().where("count > 1").isEmpty():  # repeated rows
         kept = kept.dropDuplicates(["t1", "t2"])
     return kept.select("_row.*")

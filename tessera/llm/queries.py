@@ -35,7 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": _over("documents", media.media_report),
         "op7_quality": lambda spark, d: quality.quality_report(read(spark, d, "documents"), read(spark, d, "labels")),
         "op8_warc": _over("pages", warc.warc_report),
-        "op9_suffix_dedup": _over("documents", suffix_dedup.repeats_report),
+        "op9_suffix_dedup": _over("documents", partial(suffix_dedup.repeats_report, ordered=True)),
         "op10_packing": _over("documents", partial(packing.pack_documents, tokenizer=tokenizer())),
     }
 
@@ -108,7 +108,7 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 """
 OP5 = r"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS tid, text, least, n FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS least, count(*) AS n FROM documents GROUP BY 1)),
-w AS (SELECT tid, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM t),
+w AS (SELECT tid, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM t),
 s AS (SELECT DISTINCT tid, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT tid, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
 z AS (SELECT tid, count(*) AS z FROM s GROUP BY tid),
 -- a gram of all words of a short text has fewer blanks than any gram of a long one, so they don't meet

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -9,7 +10,7 @@ from tessera.llm import graph, ngram_join
 
 
 def grams(text, n=5):
-    w = text.split()
+    w = [x for x in re.split("[ \t\n\x0b\f\r]+", text) if x]
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
@@ -53,7 +54,8 @@ def make(seed, n=160):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
             w[rng.randrange(len(w))] = f"x{rng.randint(0, 5)}"
         rows.append((i if rng.random() > 0.05 else None, " ".join(w)))
-    return rows + [(3, None), (4, ""), (1, rows[1][1]), (1, rows[1][1]), (900, "  \n"), (901, "long " * 40_000)]
+    odd = [" ".join(f"o{i}{c}o{i + 1}" for i in range(0, 40, 2)) for c in "\u00a0\x0b\x1c\u2003 "]
+    return rows + [(910 + i, t) for i, t in enumerate(odd)] + [(3, None), (4, ""), (1, rows[1][1]), (1, rows[1][1]), (900, "  \n"), (901, "long " * 40_000)]
 
 
 def got(df):
@@ -79,11 +81,42 @@ def test_groups_match_all_pairs_on_documents(spark):
     assert got(ngram_join.ngram_groups(df)) == brute([tuple(r) for r in df.collect()])
 
 
-def test_empty_table_and_prefix(spark):
+def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.ngram_groups(df).count() == 0 and ngram_join.drop_near_copies(df).count() == 0
-    k = ngram_join.prefix_length(0.8, 32, 0.999)
-    assert 1 - (1 - 0.8**k) ** 32 >= 0.999 > 1 - (1 - 0.8 ** (k + 1)) ** 32
+
+
+def test_prefixes_shorten_until_the_recall_is_met():
+    share = lambda s, k: 1 - (1 - s**k) ** 32
+    lengths = []
+    for s in (0.99, 0.9, 0.85, 0.8):
+        k = ngram_join.choose_length({s: 10, 0.5: 1000}, 0.8, 32, 0.9999)
+        mean = lambda k: 0.99 * share(s, k) + 0.01 * share(0.8, k)  # noqa: B023, E731
+        assert mean(k) >= 0.9999 and (k == ngram_join.LONGEST or mean(k + 1) < 0.9999)
+        lengths.append(k)
+    assert lengths == sorted(lengths, reverse=True) and lengths[0] > lengths[-1]
+    k = ngram_join.choose_length({}, 0.8, 32, 0.999)
+    assert share(0.8, k) >= 0.999 > share(0.8, k + 1)
+
+
+def test_forest_ties_neighbours_of_sorted_strings(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(5, 30))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    held = ngram_join._texts(ngram_join._keyed(df), 5, 8).collect()
+    entries = sorted((t, bytes(r["keys"])[t * 20 : t * 20 + 20], r.tid) for r in held for t in range(8))
+    common = lambda a, b: next((k for k in range(10) if a[2 * k : 2 * k + 2] != b[2 * k : 2 * k + 2]), 10)
+    label = {}
+    for depth in (4, 7, 10):
+        label[depth] = {r.tid: r.tid for r in held}
+        for x, y in zip(entries, entries[1:]):
+            if x[0] == y[0] and common(x[1], y[1]) >= depth:
+                a, b = label[depth][x[2]], label[depth][y[2]]
+                label[depth] = {t: min(a, b) if c in (a, b) else c for t, c in label[depth].items()}
+    ties = ngram_join._forest(ngram_join._texts(ngram_join._keyed(df), 5, 8), 8)
+    for depth, want in label.items():
+        got = {r.node: r.label for r in graph.components(ties.where(f"lcp >= {depth}").select("u", "v")).collect()}
+        assert {t: got.get(t, t) for t in want} == want and len(set(want.values())) > 20
 
 
 def test_compare_counts_rare_and_dense():
