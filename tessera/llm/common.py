@@ -200,7 +200,9 @@ def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str,
 
     dealt = left.join(F.broadcast(part(hot, "_hot")), keys, "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(1 << 20)) + 1).cast("int"))
-    met = dealt.join(part(~hot, "_cold").withColumn("_salt", F.lit(0)), [*keys, "_salt"], "left").withColumn("_right", F.coalesce("_hot", "_cold"))
+    # always 0, but not to the planner, which would leave a constant out of the keys
+    cold = part(~hot, "_cold").withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int"))
+    met = dealt.join(cold, [*keys, "_salt"], "left").withColumn("_right", F.coalesce("_hot", "_cold"))
     if how == "inner":
         met = met.where(F.col("_right").isNotNull())
     return met.select(*left.columns, "_right.*")

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 from pathlib import Path
@@ -42,6 +43,10 @@ def test_kept_rows_keep_all_their_columns(spark):
 def test_hot_keys_join_like_others(spark):
     left = spark.range(5000).select(F.when(F.col("id") < 4000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = left.where("k <> 4500").groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    plan = join_counted(left, right, ["k"], "n", 4999, ["v"])._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\w+, _salt#", plan)
     for how, rows in (("inner", 4999), ("left", 5000)):
         got = join_counted(left, right, ["k"], "n", 4999, ["v"], how).collect()
         want = {7: 3999} | {i: i for i in range(4000, 5000) if i != 4500}
