@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
-from tessera.operators.streams import code_lengths
+from tessera.operators.streams import code_lengths, ladder
 
 #: Default values: window, and the match length that ends a search.
 WINDOW, NICE = 2048, 128
@@ -18,18 +18,8 @@ END = 256
 Token = int | tuple[int, int]
 
 
-def _ladder(first: int, count: int, per: int, plain: int) -> list[tuple[int, int]]:
-    """(base, extra bits) of codes whose ranges double after every ``per`` codes; the first ``plain`` are single values."""
-    out, base = [], first
-    for k in range(count):
-        extra = 0 if k < plain else (k - plain) // per + 1
-        out.append((base, extra))
-        base += 1 << extra
-    return out
-
-
-LENGTHS = [*_ladder(3, 28, 4, 8), (258, 0)]
-DISTANCES = _ladder(1, 30, 2, 4)
+LENGTHS = [*ladder(3, 28, 4, 8), (258, 0)]
+DISTANCES = ladder(1, 30, 2, 4)
 #: Fixed value of the format: lengths of the fixed literal code.
 FIXED = [8] * 144 + [9] * 112 + [7] * 24 + [8] * 8
 

@@ -59,16 +59,23 @@ def code_lengths(counts: dict[int, int], most: int = 15) -> dict[int, int]:
         return dict.fromkeys(counts, 1)
     if len(counts) > 1 << most:
         raise ValueError("too many symbols")
-    leaves = sorted((n, (s,)) for s, n in counts.items())
-    level = leaves
+    leaves = sorted((n, s) for s, n in counts.items())
+    levels = [[(n, k, True) for k, (n, _) in enumerate(leaves)]]  # (weight, place, is a symbol)
     for _ in range(most - 1):
-        pairs = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(level[::2], level[1::2])]
-        level = list(heapq.merge(leaves, pairs))
-    out = dict.fromkeys(counts, 0)
-    for _, symbols in level[: 2 * len(counts) - 2]:
-        for s in symbols:
-            out[s] += 1
-    return out
+        last = levels[-1]
+        pairs = [(a[0] + b[0], k, False) for k, (a, b) in enumerate(zip(last[::2], last[1::2]))]
+        levels.append(list(heapq.merge(levels[0], pairs, key=lambda p: p[0])))
+    # the cheapest packages of the last level; each package of a level opens two of the level below
+    lengths, taken = [0] * len(leaves), 2 * len(leaves) - 2
+    for level in reversed(levels):
+        packages = 0
+        for _, place, single in level[:taken]:
+            if single:
+                lengths[place] += 1
+            else:
+                packages += 1
+        taken = 2 * packages
+    return {s: n for (_, s), n in zip(leaves, lengths, strict=True)}
 
 
 def canonical_codes(lengths: DataFrame) -> DataFrame:
@@ -89,27 +96,28 @@ def fixed_lengths(spark: SparkSession) -> DataFrame:
     return spark.range(288).select(s.alias("symbol"), F.when(s < 144, 8).when(s < 256, 9).when(s < 280, 7).otherwise(8).cast("long").alias("length"))
 
 
-def buckets(spark: SparkSession, first: int, last: int, per: int, code: int, plain: int) -> DataFrame:
-    """(code, base, extra): ranges that double after every ``per`` codes; the first ``plain`` hold one value each."""
-    rows, base = [], first
-    k = 0
-    while base <= last:
+def ladder(first: int, count: int, per: int, plain: int) -> list[tuple[int, int]]:
+    """(base, extra bits) of codes whose ranges double after every ``per`` codes; the first ``plain`` hold one value each."""
+    out, base = [], first
+    for k in range(count):
         extra = 0 if k < plain else (k - plain) // per + 1
-        rows.append((code + k, base, extra))
+        out.append((base, extra))
         base += 1 << extra
-        k += 1
-    return spark.createDataFrame(rows, "code long, base long, extra long")
+    return out
+
+
+def _bucket_table(spark: SparkSession, first_code: int, steps: list[tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(first_code + k, base, extra) for k, (base, extra) in enumerate(steps)], "code long, base long, extra long")
 
 
 def length_buckets(spark: SparkSession) -> DataFrame:
     """Codes of match lengths 3 to 258; the longest has a code of its own."""
-    rows = buckets(spark, 3, 257, 4, 257, 8)
-    return rows.where("code < 285").unionByName(spark.createDataFrame([(285, 258, 0)], rows.schema))
+    return _bucket_table(spark, 257, [*ladder(3, 28, 4, 8), (258, 0)])
 
 
 def distance_buckets(spark: SparkSession) -> DataFrame:
     """Codes of match distances 1 to 32768."""
-    return buckets(spark, 1, 32768, 2, 0, 4)
+    return _bucket_table(spark, 0, ladder(1, 30, 2, 4))
 
 
 def in_bucket(values: DataFrame, value: str, table: DataFrame) -> DataFrame:
@@ -127,11 +135,14 @@ def grams(df: DataFrame, key: str, data: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, raw in zip(b[key], b[data], strict=True):
-                x = np.frombuffer(raw or b"", np.uint8).astype(np.int64)
-                if len(x) > 2:
-                    g = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-                    yield pd.DataFrame({key: k, "pos": np.arange(len(g)), "gram": g})
+            sizes = np.array([len(raw or b"") for raw in b[data]], np.int64)
+            x = np.frombuffer(b"".join(raw or b"" for raw in b[data]) + bytes(2), np.uint8).astype(np.int64)
+            row = np.repeat(np.arange(len(sizes)), np.maximum(sizes - 2, 0))
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(sizes - 2, 0)) - np.maximum(sizes - 2, 0), np.maximum(sizes - 2, 0))
+            at = (np.cumsum(sizes) - sizes)[row] + pos
+            for lo in range(0, len(at), 1 << 18):
+                a = at[lo : lo + (1 << 18)]
+                yield pd.DataFrame({key: b[key].to_numpy()[row[lo : lo + len(a)]], "pos": pos[lo : lo + len(a)], "gram": (x[a] << 16) | (x[a + 1] << 8) | x[a + 2]})
 
     return df.select(key, data).mapInPandas(run, f"{key} long, pos long, gram long")
 

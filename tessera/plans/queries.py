@@ -389,7 +389,7 @@ def queries() -> dict[str, Query]:
         "missing_colors": _missing,
         "crc32_docs": _checksums,
         "adler32_docs": _adler,
-        "symbol_counts": lambda s, d: streams.byte_counts(_benchmark_bytes(s, d), "data"),
+        "symbol_counts": lambda s, d: streams.byte_counts(_docs(s, d), "data"),
         "fixed_codes": lambda s, d: streams.canonical_codes(streams.fixed_lengths(s)),
         "optimal_codes": _optimal_codes,
         "length_buckets": _buckets("length"),
@@ -446,7 +446,8 @@ SELECT image, pass, count(*) AS n, CAST(sum(v * place) AS BIGINT) AS weighted FR
         "missing_colors": f"""WITH {PIXELS}, c AS (SELECT variant, image, r, g, b, a, min(idx) AS first, count(*) AS n FROM px GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY variant, image ORDER BY first) AS i FROM c)
 SELECT variant, image, count(*) AS colors, CAST(sum(n) AS BIGINT) AS pixels FROM k WHERE i > 16 GROUP BY variant, image""",
         "adler32_docs": ADLER,
-        "symbol_counts": f"WITH {BYTES} SELECT v AS symbol, count(*) AS n FROM b GROUP BY v",
+        "symbol_counts": """WITH h AS (SELECT hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), b AS (SELECT CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS v FROM (SELECT h, unnest(range(1, n + 1)) AS i FROM h))
+SELECT v AS symbol, count(*) AS n FROM b GROUP BY v""",
         "fixed_codes": FIXED_CODES,
         "length_buckets": LENGTH_BUCKETS,
         "distance_buckets": DISTANCE_BUCKETS,
