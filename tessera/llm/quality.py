@@ -7,8 +7,6 @@ matrix, its scores one product with the weights.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,42 +26,48 @@ FORMS = 1 << FORM_BITS
 TRAIN_ROWS = 8_000
 PASSES = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
-CACHE_ENTRIES = 150_000
 #: Bytes of text that are made into one sparse matrix; a longer text is one by itself.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_RUNS = re.compile(r"(.)\1+")
+_POWER = np.uint64(0x100000001B3)
 
 
-class _Kinds(dict):
-    """Code point -> kind of character."""
+def _table(of) -> np.ndarray:
+    """A code point for each code point; those from U+3000 on stand for themselves."""
+    return np.array([ord(c) if len(c := of(chr(p))) == 1 else p for p in range(0x3000)], np.uint32)
 
-    def __missing__(self, point: int) -> str:
-        c = chr(point)
-        self[point] = kind = "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c
-        return kind
 
+_LOWER = _table(str.lower)
+#: A upper, a lower, 9 digit, other characters as they are.
+_KIND = _table(lambda c: "a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c)
 
-_KINDS = _Kinds()
 
+def _mapped(points: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return np.where(points < len(table), table[np.minimum(points, len(table) - 1)], points)
 
-def shape(word: str) -> str:
-    """Kinds of characters in order, runs shortened: A upper, a lower, 9 digit, other characters as they are."""
-    return _RUNS.sub(r"\1", word.translate(_KINDS))
 
+def _hashes(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A polynomial in the code points of each piece; the pieces begin at ``starts``, the first at 0, none is empty."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = np.diff(np.r_[starts, len(points)])
+    power = np.full(sizes.max(), _POWER)
+    power[0] = 1
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    total = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * np.cumprod(power)[place], starts)
+    return ((total ^ (total >> np.uint64(31))) * _MULTIPLY) >> np.uint64(33)
 
-class Words(dict):
-    """Word -> hash of the word and hash of its shape, 31 bits each, in one number."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        made = (zlib.crc32(word.lower().encode("utf-8", "replace")) & 0x7FFFFFFF) << 31 | zlib.crc32(b"#" + shape(word).encode("utf-8", "replace")) & 0x7FFFFFFF
-        self[word] = made
-        return made
-
-
-_WORDS = Words()
+def hash_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of 31 bits of words in lower case and of their shapes: the kinds of their characters, runs shortened. No word is empty."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    kinds = _mapped(points, _KIND)
+    new = np.ones(len(kinds), bool)
+    new[1:] = kinds[1:] != kinds[:-1]
+    new[starts] = True
+    return _hashes(_mapped(points, _LOWER), starts), _hashes(kinds[new], (np.cumsum(new) - 1)[starts])
 
 
 def _mix(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
@@ -80,7 +84,7 @@ class Sparse(NamedTuple):
 
 
 def features(texts: pa.Array) -> Sparse:
-    """A row per text; words are what lies between white space, a null text has none.
+    """The sparse matrix of ``texts``, a row for each; words are what lies between white space, a null text has none.
 
     A word, pair or triple of words adds its share of the text. Shapes, pairs of shapes and repeated words are few
     and tell more: they have the square roots of their shares, in the first part of the table. A text without words
@@ -90,13 +94,14 @@ def features(texts: pa.Array) -> Sparse:
     row = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
     coded = split.flatten().dictionary_encode()
     words = coded.dictionary.to_pylist()
-    table = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     code = coded.indices.to_numpy(zero_copy_only=False)
     if "" in words:  # white space at an end leaves an empty piece
-        real = code != words.index("")
+        none = words.index("")
+        real = code != none
         row, code = row[real], code[real]
-    both = table[code]
-    word, form = both >> np.uint64(31), both & np.uint64(0x7FFFFFFF)
+        code = code - (code > none)
+        del words[none]
+    word, form = (h[code] for h in hash_words(words))
     n = np.bincount(row, minlength=len(texts))
     two = row[1:] == row[:-1]
     three = two[1:] & two[:-1]
@@ -154,10 +159,12 @@ def fit(texts: list[str], labels: list[int], passes: int = PASSES) -> Model:
     """FTRL-proximal over the rows in their order, ``passes`` times."""
     z, n, bias_z, bias_n = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
     rows = []
-    for t in texts:
-        made = features(pa.array([t], pa.string()))
-        once, back = np.unique(made.at, return_inverse=True)
-        rows.append((once, np.bincount(back, made.x)))
+    for part in blocks(pa.array(texts, pa.large_string())):
+        made = features(part)
+        once, back = np.unique(made.row << BITS | made.at, return_inverse=True)
+        cuts, x = np.searchsorted(once, np.arange(made.rows + 1) << BITS), np.bincount(back, made.x)
+        at, x = (once & (SIZE - 1)).astype(np.int32), x.astype(np.float32)
+        rows += [(at[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:])]
 
     def leader(z, n):
         return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))

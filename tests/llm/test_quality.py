@@ -42,10 +42,22 @@ def test_only_the_text_is_scored():
     assert abs(sum(made.x[made.at >= quality.FORMS]) - (3 + 2 + 1) / 3) < 1e-9
 
 
+def shape(word):
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "9" if c.isdigit() else c for c in word)
+    return "".join(c for i, c in enumerate(kinds) if i == 0 or kinds[i - 1] != c)
+
+
+def number(word):
+    total = sum((ord(c) + 1) * pow(0x100000001B3, i, 1 << 64) for i, c in enumerate(word)) % (1 << 64)
+    return ((total ^ total >> 31) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 33
+
+
 def test_shape_covers_the_whole_word():
     opening = "ab1-" * 10
-    assert quality.shape(opening + "!?" * 30 + "XY") == "a9-" * 10 + "!?" * 30 + "A"
-    assert quality.shape("A" + "b" * 500 + "7") == "Aa9"
+    words = [opening + "!?" * 30 + "XY", "A" + "b" * 500 + "7", "a", "日本語語", "Éé😀😀", "ǅ"]
+    assert [shape(w) for w in words[:2]] == ["a9-" * 10 + "!?" * 30 + "A", "Aa9"]
+    word, form = quality.hash_words(words)
+    assert word.tolist() == [number(w.lower()) for w in words] and form.tolist() == [number(shape(w)) for w in words]
     forms = [set(m.at[m.at < quality.FORMS]) for m in map(parts, (opening + "CD", opening + "!!!"))]
     assert forms[0] != forms[1]
 
@@ -58,8 +70,7 @@ def plain(text):
     words = text.split()
     if not words:
         return {0: 1.0}
-    w = [zlib.crc32(x.lower().encode()) & 0x7FFFFFFF for x in words]
-    f = [zlib.crc32(b"#" + quality.shape(x).encode()) & 0x7FFFFFFF for x in words]
+    w, f = [number(x.lower()) for x in words], [number(shape(x)) for x in words]
     grams = [mix(x, 1, quality.BITS) for x in w]
     grams += [mix((a + 1) * mul & full ^ b, 5, quality.BITS) for a, b in zip(w, w[1:])]
     grams += [mix(((a + 1) * mul & full ^ b) * mul & full ^ c, 6, quality.BITS) for a, b, c in zip(w, w[1:], w[2:])]
