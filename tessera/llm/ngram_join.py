@@ -4,8 +4,9 @@ Every text has a signature of ``trees`` x ``LONGEST`` least hashes. For each tre
 strings of values, which lays out the tree's prefix trie: texts below a node are neighbours, and the longest common
 prefix of neighbours says how deep their node lies. All prefixes start at full length and are shortened value by
 value until the expected recall over the links that the forest shows reaches its target. Neighbours that still share
-a prefix are tied, the components of these ties hold all candidates, and within them shingle sets are compared
-exactly, large components in pairs of blocks. Only link counts and spanning edges leave a task.
+a prefix are tied. Components of these ties that fit a block are compared whole; of larger ones the members of each
+node are, in pairs of blocks, a pair that shares several nodes counting in its first tree. Shingle sets are compared
+exactly; only link counts and spanning edges leave a task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import body, join_counted, materialize
@@ -31,7 +32,7 @@ RECALL = 0.9999
 #: The weight of a link at the threshold beside the links seen: such links are the ones that a forest misses first.
 AT_THRESHOLD = 0.01
 SKETCH_BITS = 128
-#: Shingles and texts of a block, on average.
+#: Shingles and texts of a block, on average; a component that fits one is compared whole.
 BLOCK_SHINGLES = 400_000
 BLOCK_TEXTS = 1_500
 CACHE_ENTRIES = 150_000
@@ -136,7 +137,8 @@ _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by tree and string: ties of neighbours, and the first and last row of the task (edge 1 and 2).
+    """Rows come sorted by tree and string: ties of neighbours (edge 0), texts with a neighbour below some node (edge 3),
+    and the first and last row of the task (edge 1 and 2).
 
     Texts with equal strings are tied to the first of them, others to the one before.
     """
@@ -154,7 +156,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sketches = ([x.as_py() for x in batch.column(c)] for c in ("key", "sketch"))
         if kept is None:
             yield edge(1, (int(tree[0]), keys[0], sketches[0], int(tid[0])))
-            start = (tree[:1] - 1, keys[:1], sketches[:1], tid[:1], tid[:1])
+            start = (tree[:1] - 1, keys[:1], sketches[:1], tid[:1], tid[:1], np.zeros(1, bool))
         else:
             start = kept
         tree, tid, keys, sketches = np.r_[start[0], tree], np.r_[start[3], tid], start[1] + keys, start[2] + sketches
@@ -163,11 +165,19 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = np.searchsorted(new, np.arange(len(tid)), side="right") - 1
         heads = np.r_[start[4], tid[new[1:]]]
         to = np.where(lcp < LONGEST, tid[:-1], heads[of[1:]])
-        tied = (lcp >= SHORTEST) & (tid[1:] != to)
+        near = lcp >= SHORTEST
+        tied = near & (tid[1:] != to)
         n = int(tied.sum())
         if n:
             yield _ties(tid[1:][tied], to[tied], lcp[tied], agree[tied], [0] * n, [part] * n, [0] * n, [b""] * n, [b""] * n)
-        kept = (tree[-1:], keys[-1:], sketches[-1:], tid[-1:], heads[of[-1:]])
+        held = np.r_[start[5], near]
+        held[:-1] |= near
+        held[0] &= not start[5][0]  # told with the batch before
+        some = np.flatnonzero(held)
+        n = len(some)
+        if n:
+            yield _ties(tid[some], tid[some], [0] * n, [0] * n, [3] * n, [part] * n, tree[some], [keys[i] for i in some], [b""] * n)
+        kept = (tree[-1:], keys[-1:], sketches[-1:], tid[-1:], heads[of[-1:]], near[-1:])
     if kept is not None:
         yield edge(2, (int(kept[0][0]), kept[1][0], kept[2][0], int(kept[3][0])))
 
@@ -188,8 +198,9 @@ def _alike(tree: np.ndarray, keys: list[bytes], sketches: list[bytes]) -> tuple[
     return np.logical_and.accumulate(same, axis=1).sum(axis=1), SKETCH_BITS - _BITS[bits[1:] ^ bits[:-1]].sum(axis=1, dtype=np.int64)
 
 
-def _forest(texts: DataFrame, trees: int) -> DataFrame:
-    """(u, v, lcp, agree): neighbours in the sorted trees with the longest prefix that they share in any."""
+def _forest(texts: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, lcp, agree): neighbours in the sorted trees with the longest prefix that they share in any;
+    and (tid, tree, key): the strings that share ``SHORTEST`` values with a neighbour."""
     spark, width = texts.sparkSession, 2 * LONGEST
     at = F.sequence(F.lit(0), F.lit(trees - 1))
     entry = F.explode(F.transform(at, lambda i: F.struct(i.alias("tree"), F.substring("keys", i * width + 1, F.lit(width)).alias("key"))))
@@ -198,24 +209,49 @@ def _forest(texts: DataFrame, trees: int) -> DataFrame:
     dealt = entries.repartitionByRange("tree", "key", "tid").sortWithinPartitions("tree", "key", "tid")
     ties = materialize(dealt.mapInArrow(_neighbours, ", ".join(f"{c} {k}" for c, k in _TIES.items())), "ngram-neighbours")
     # two rows for each task: neighbours that a boundary parts
-    edges = ties.where("edge > 0").orderBy("part", "edge").collect()
-    across = []
+    edges = ties.where("edge in (1, 2)").orderBy("part", "edge").collect()
+    across, told = [], []
     for x, y in zip(edges[1::2], edges[2::2]):
         (lcp,), (agree,) = _alike(np.array([x.tree, y.tree]), [bytes(x.key), bytes(y.key)], [bytes(x.sketch), bytes(y.sketch)])
         if lcp >= SHORTEST and x.u != y.u:
             across.append((y.u, x.u, int(lcp), int(agree)))
+            told += [(r.u, r.tree, bytearray(r.key)) for r in (x, y)]
     found = ties.where("edge = 0").select("u", "v", "lcp", "agree").unionByName(spark.createDataFrame(across, "u long, v long, lcp int, agree int"))
     pairs = found.groupBy(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).agg(F.max("lcp").alias("lcp"), F.max("agree").alias("agree"))
-    return materialize(pairs, "ngram-ties")
+    below = ties.where("edge = 3").select(F.col("u").alias("tid"), "tree", "key").unionByName(spark.createDataFrame(told, "tid long, tree int, key binary"))
+    return materialize(pairs, "ngram-ties"), below.dropDuplicates(["tid", "tree"])
+
+
+def _blocks(shingles: Column, texts: Column) -> Column:
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(texts / BLOCK_TEXTS)).cast("int")
 
 
-def _candidates(texts: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
-    """(node, label): the components of texts that share a prefix of the length that the recall asks for."""
-    ties = _forest(texts, trees)
+def _candidates(texts: DataFrame, threshold: float, trees: int, recall: float) -> tuple[DataFrame, int]:
+    """(tid, t1, t2, least, rows, groups): texts to compare and the groups that they are compared in, each a
+    (group, tree, blocks); tree is -1 for a whole component; and the length of the prefixes."""
+    ties, below = _forest(texts, trees)
     # equal bits are half by chance: agreement a is similarity 2a - 1
     seen = {2 * r["agree"] / SKETCH_BITS - 1: r["count"] for r in ties.groupBy("agree").count().collect()}  # at most 129 rows
     length = choose_length(seen, threshold, trees, recall)
-    return components(ties.where(F.col("lcp") >= length).select("u", "v"))
+    member = components(ties.where(F.col("lcp") >= length).select("u", "v"))
+    known = texts.select("tid", "shingles").join(member.select(F.col("node").alias("tid"), F.col("label").alias("group")), "tid")
+    known = materialize(known, "ngram-members")
+    sizes = known.groupBy("group").agg(F.sum("shingles").alias("weight"), F.count("*").alias("size"))
+    known = join_counted(known, sizes, ["group"], "size", known.count(), ["tid"])
+    known = materialize(known.withColumn("blocks", _blocks(F.col("weight"), F.col("size"))).drop("weight", "size"), "ngram-components")
+    whole = known.where("blocks = 1").select("tid", "group", F.lit(-1).alias("tree"), "blocks")
+    node = F.xxhash64("tree", F.substring("key", 1, 2 * length)).alias("group")
+    large = below.select("tid", "tree", node).join(known.where("blocks > 1").select("tid", "shingles"), "tid")
+    large = materialize(large, "ngram-nodes")
+    marks = [F.count("*").alias("size"), F.sum("shingles").alias("weight"), F.bit_xor(F.xxhash64("tid")).alias("mark"), F.sum("tid").alias("total")]
+    nodes = large.groupBy("tree", "group").agg(*marks).where("size > 1")
+    # of nodes with the same members that of the first tree
+    nodes = nodes.groupBy("size", "mark", "total").agg(F.min(F.struct("tree", "group", "weight")).alias("n"))
+    nodes = materialize(nodes.select("n.tree", "n.group", "size", _blocks(F.col("n.weight"), F.col("size")).alias("blocks")), "ngram-first")
+    by_node = join_counted(large.drop("shingles"), nodes, ["tree", "group"], "size", nodes.agg(F.sum("size")).first()[0] or 0, ["tid"])
+    groups = whole.unionByName(by_node.select("tid", "group", "tree", "blocks"))
+    groups = groups.groupBy("tid").agg(F.collect_list(F.struct("group", "tree", "blocks")).alias("groups"))  # one, or at most one a tree
+    return materialize(texts.select("tid", "t1", "t2", "least", "rows", "keys").join(groups, "tid"), "ngram-candidates"), length
 
 
 def compare(shingle_sets: list[np.ndarray], threshold: float, first: int | None = None) -> np.ndarray:
@@ -252,25 +288,39 @@ def compare(shingle_sets: list[np.ndarray], threshold: float, first: int | None
     return links | links.T
 
 
-def _verify(threshold: float):
-    """Rows come by group: (group, a, b, block, tid, rows, set). Out: (tid, other, texts, docs): link counts and spanning edges."""
+def _first_tree(links: np.ndarray, prefixes: list[bytes], trees: int, tree: int) -> np.ndarray:
+    """Of the links those whose texts share no node of a tree before ``tree``."""
+    strings_ = np.array([np.frombuffer(p, np.uint8) for p in prefixes]).reshape(len(prefixes), trees, -1)
+    a, b = np.nonzero(links)
+    for t in range(tree):
+        _, node = np.unique(strings_[:, t], axis=0, return_inverse=True)
+        apart = node.ravel()[a] != node.ravel()[b]
+        a, b = a[apart], b[apart]
+    out = np.zeros_like(links)
+    out[a, b] = True
+    return out
 
-    def close(rows: list[tuple], a: int, b: int) -> Iterator[tuple]:
+
+def _verify(threshold: float, trees: int):
+    """Rows come by group: (group, tree, a, b, block, tid, rows, set, prefixes). Out: (tid, other, texts, docs): link counts and spanning edges."""
+
+    def close(rows: list[tuple], tree: int, a: int, b: int) -> Iterator[tuple]:
         members = {}
-        for block, tid, weight, data in rows:
-            members.setdefault(tid, (block, weight, data))
+        for block, tid, *more in rows:
+            members.setdefault(tid, (block, *more))
         order = sorted(members, key=lambda t: (members[t][0] != a, t))
         if len(order) < 2:
             return
         sets = [np.frombuffer(members[t][2], np.uint64) for t in order]
         links = compare(sets, threshold, None if a == b else sum(members[t][0] == a for t in order))
+        counted = links if tree < 0 else _first_tree(links, [members[t][3] for t in order], trees, tree)
         weights = np.array([members[t][1] for t in order], dtype=np.int64)
-        texts, docs = links.sum(axis=1), links @ weights
+        texts, docs = counted.sum(axis=1), counted @ weights
         for i in np.flatnonzero(texts):
             yield order[i], None, int(texts[i]), int(docs[i])
-        seen = np.zeros(len(order), bool)
+        linked, seen = links.any(axis=1), np.zeros(len(order), bool)
         for i in range(len(order)):  # a tree over each linked part
-            if seen[i] or not texts[i]:
+            if seen[i] or not linked[i]:
                 continue
             seen[i], wave = True, [i]
             while wave:
@@ -288,17 +338,17 @@ def _verify(threshold: float):
             return pa.record_batch([pa.array(list(c), pa.int64()) for c in columns], names=["tid", "other", "texts", "docs"])
 
         for batch in batches:
-            for *group, block, tid, weight, data in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
-                if group != at:
+            for row in zip(*[batch.column(i).to_pylist() for i in range(9)], strict=True):
+                if row[:4] != at:
                     if at is not None:
-                        out += close(held, at[1], at[2])
-                    at, held = group, []
-                held.append((block, tid, weight, data))
+                        out += close(held, *at[1:])
+                    at, held = row[:4], []
+                held.append(row[4:])
             if len(out) > 20_000:
                 yield page()
                 out = []
         if at is not None:
-            out += close(held, at[1], at[2])
+            out += close(held, *at[1:])
         yield page()
 
     return run
@@ -306,29 +356,27 @@ def _verify(threshold: float):
 
 def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:
     """(tid, other, texts, docs) of the exact comparison of all candidates."""
-    member = _candidates(texts, threshold, trees, recall)
-    known = texts.select("tid", "t1", "t2", "least", "rows", "shingles").join(member.select(F.col("node").alias("tid"), F.col("label").alias("group")), "tid")
-    known = materialize(known, "ngram-members")
-    sizes = known.groupBy("group").agg(F.sum("shingles").alias("weight"), F.count("*").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("weight") / BLOCK_SHINGLES), F.ceil(F.col("size") / BLOCK_TEXTS)).cast("int")
-    known = join_counted(known, sizes, ["group"], "size", known.count(), ["tid"])
-    known = materialize(known.withColumn("blocks", blocks).drop("weight", "size", "shingles"), "ngram-candidates")
+    known, length = _candidates(texts, threshold, trees, recall)
+    group = "struct<group:bigint,tree:int,blocks:int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingles(t.as_py(), n)).tobytes() for t in batch.column(4)]
-            yield pa.record_batch([*(batch.column(i) for i in range(4)), pa.array(sets, pa.binary())], names=["group", "blocks", "tid", "rows", "set"])
+            cut = [np.frombuffer(k.as_py(), np.uint8).reshape(trees, -1)[:, : 2 * length].tobytes() for k in batch.column(3)]
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(cut, pa.binary()), pa.array(sets, pa.binary())], names=["tid", "rows", "groups", "prefixes", "set"])
 
     # one row stands for all copies of a text: with its id in the key, copies of a common text are spread. Always by a
     # sort-merge join: candidates grow with the input, and what holds at one size holds at all
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), F.encode(body(), "UTF-8").alias("text"))
     chosen = rows.join(known.hint("merge"), (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2")) & F.col("id").eqNullSafe(F.col("least")))
-    sets = chosen.select("group", "blocks", "tid", "rows", "text").mapInArrow(run, "group long, blocks int, tid long, rows long, set binary")
+    sets = chosen.select("tid", "rows", "groups", "keys", "text").mapInArrow(run, f"tid long, rows long, groups array<{group}>, prefixes binary, set binary")
+    each = sets.withColumn("g", F.explode("groups")).select("tid", "rows", "set", F.when(F.col("g.tree") >= 0, F.col("prefixes")).alias("prefixes"), "g.*")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("block", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("group", F.least("block", "_x").alias("a"), F.greatest("block", "_x").alias("b"), "block", "tid", "rows", "set")
-    grouped = dealt.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
-    return materialize(grouped.mapInArrow(_verify(threshold), "tid long, other long, texts long, docs long"), "ngram-links")
+    dealt = each.withColumn("block", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["group", "tree", "a", "b"]
+    dealt = dealt.select("group", "tree", F.least("block", "_x").alias("a"), F.greatest("block", "_x").alias("b"), "block", "tid", "rows", "set", "prefixes")
+    grouped = dealt.repartition(*key).sortWithinPartitions(*key)
+    return materialize(grouped.mapInArrow(_verify(threshold, trees), "tid long, other long, texts long, docs long"), "ngram-links")
 
 
 def _classes(docs: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:

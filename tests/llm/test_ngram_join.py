@@ -62,13 +62,14 @@ def got(df):
     return sorted((str(r.doc_id), str(r.class_id), r.n_links, r.n_text_links) for r in df.collect())
 
 
-@pytest.mark.parametrize("blocks", [1_500, 7])
+@pytest.mark.parametrize("blocks", [1_500, 7, 1])
 def test_groups_match_all_pairs(spark, monkeypatch, blocks):
+    """Components compared whole; node by node, most nodes in one block; node by node, all in pairs of blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", blocks)
     rows = make(blocks)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit(0)).withColumn("label", F.lit("x"))
-    assert got(ngram_join.ngram_groups(df)) == brute(rows)
-    kept = ngram_join.drop_near_copies(df)
+    assert got(ngram_join.ngram_groups(df, recall=1 - 1e-9)) == brute(rows)
+    kept = ngram_join.drop_near_copies(df, recall=1 - 1e-9)
     assert kept.columns == df.columns
     want = brute(rows)
     ids = [str(r.doc_id) for r in kept.where("doc_id is not null").collect()]
@@ -76,7 +77,9 @@ def test_groups_match_all_pairs(spark, monkeypatch, blocks):
     assert set(ids) == {c for _, c, _, _ in want if c != "None"} and all(k == 1 or i == "3" for i, k in Counter(ids).items())
 
 
-def test_groups_match_all_pairs_on_documents(spark):
+@pytest.mark.parametrize("blocks", [1_500, 3])
+def test_groups_match_all_pairs_on_documents(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", blocks)
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     assert got(ngram_join.ngram_groups(df)) == brute([tuple(r) for r in df.collect()])
 
@@ -113,7 +116,9 @@ def test_forest_ties_neighbours_of_sorted_strings(spark):
             if x[0] == y[0] and common(x[1], y[1]) >= depth:
                 a, b = label[depth][x[2]], label[depth][y[2]]
                 label[depth] = {t: min(a, b) if c in (a, b) else c for t, c in label[depth].items()}
-    ties = ngram_join._forest(ngram_join._texts(ngram_join._keyed(df), 5, 8), 8)
+    ties, below = ngram_join._forest(ngram_join._texts(ngram_join._keyed(df), 5, 8), 8)
+    near = {x for a, b in zip(entries, entries[1:]) if a[0] == b[0] and common(a[1], b[1]) >= 4 for x in (a, b)}
+    assert {(r.tree, bytes(r.key), r.tid) for r in below.collect()} == near
     for depth, want in label.items():
         got = {r.node: r.label for r in graph.components(ties.where(f"lcp >= {depth}").select("u", "v")).collect()}
         assert {t: got.get(t, t) for t in want} == want and len(set(want.values())) > 20
