@@ -146,3 +146,32 @@ def test_damage_is_an_error_and_nothing_else():
         png.decode(bytes(crc))
     with pytest.raises(ValueError, match="PLTE"):
         png.parse_chunks(png.SIGNATURE + png.chunk("IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 3, 0, 0, 0)) + png.chunk("IDAT", zlib.compress(b"\0\0")))
+
+
+def test_own_tag_comes_after_texts_and_before_international_ones():
+    made = png.encode(b"\1\2\3", 1, 1, 2, 8, texts=[("Author", "x")], itexts=[("Title", "en", "T", "y")], compress_text=False, add_id=True)
+    kinds = [c["type"] for c in png.parse_chunks(made)]
+    assert kinds[-4:] == ["tEXt", "tEXt", "iTXt", "IEND"] and png.info(made)["tEXt"][1] == png.TAG
+    assert png.TAG not in png.info(png.encode(b"\1\2\3", 1, 1, 2, 8))["tEXt"]
+
+
+@pytest.mark.parametrize("color_type,size", [(0, 2), (2, 6), (3, 1), (4, 2), (6, 6)])
+def test_background_has_the_size_of_its_colour_type(color_type, size):
+    data = png.write_ancillary("bKGD", {"r": 3, "g": 4, "b": 5}, color_type)
+    header = {"color_type": color_type, "bit_depth": 8}
+    assert len(data) == size and png.parse_ancillary("bKGD", data, header, 4) == ({"r": 3, "g": 4, "b": 5} if size == 6 else dict.fromkeys("rgb", 3))
+
+
+def test_long_texts_are_read_whole():
+    text = "x" * (70 << 20)
+    made = png.encode(b"\1\2\3", 1, 1, 2, 8, texts=[("Comment", text)])
+    assert png.info(made)["zTXt"][0]["text"] == text
+
+
+def test_metadata_texts_round_trip():
+    made = png.encode(b"\1\2\3", 1, 1, 2, 8)
+    entries = [("sPLT", "name", "p"), ("sPLT", "depth", "8"), ("sPLT", "entries", "1,2,3,4,5;6,7,8,9,10"), ("tEXt", "keyword", "a"), ("tEXt", "text", ""), ("tEXt", "keyword", "b"), ("tEXt", "text", "c"), ("iCCP", "name", "n"), ("iCCP", "profile", "00ff")]
+    assert [m[1:] for m in png.metadata(png.with_metadata(made, entries))] == entries
+    for bad in ([("tEXt", "keyword", "")], [("gAMA", "gamma", "x")], [("nope", "a", "b")]):
+        with pytest.raises((ValueError, KeyError)):
+            png.with_metadata(made, bad)
