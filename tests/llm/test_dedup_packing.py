@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -95,6 +95,20 @@ def test_plan_fits_and_places_every_length(seed):
     assert sum(b for _, b in runs) <= 11 / 9 * max(total / capacity, sum(k for n, k in counts.items() if 2 * n > capacity)) + 1
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_is_near_the_least_number_of_bins(seed):
+    rng = random.Random(seed)
+    pieces = sorted((rng.randint(1, 30) for _ in range(rng.randint(1, 9))), reverse=True)
+
+    def fits(left, gaps):
+        if not left:
+            return True
+        return any(fits(left[1:], [*gaps[:i], g - left[0], *gaps[i + 1 :]]) for i, g in enumerate(gaps) if g >= left[0] and g not in gaps[:i])
+
+    least = next(n for n in range(1, 10) if fits(pieces, [30] * n))
+    assert sum(b for _, b in packing.plan(Counter(pieces), 30)) <= least + (least > 2)
+
+
 def test_packing_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(1, "dup"), (1, "dup"), (None, "x"), (3, None), (50, "word " * 5000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("length", F.lit(5)).withColumn("offset", F.lit(1))

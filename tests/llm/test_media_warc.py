@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import pyarrow as pa
@@ -78,3 +79,17 @@ def test_warc_revisits_need_equal_bytes(spark):
     headers = [(i, "u", 2000, "ab", check, "a", i, 1) for i, check in enumerate("xxyzz")]
     found = warc.resolve(spark.createDataFrame(headers, warc.HEADERS), 1000).collect()
     assert sorted((r.page_id, r.original and r.original.page_id) for r in found) == [(0, 1), (1, 1), (2, None), (3, 4), (4, 4)]
+
+
+def test_features_and_stored_form_by_the_book(spark):
+    texts = ["", "a", "hello " * 60, "é😀" * 50, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_report(df).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        samples = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        mean = sum(samples) / len(samples)
+        share = [samples.count(v) / len(samples) for v in set(samples)]
+        numbers = (mean, (sum((v - mean) ** 2 for v in samples) / len(samples)) ** 0.5, -sum(p * math.log2(p) for p in share), sum(abs(a - b) for a, b in zip(samples, samples[1:])) / (len(samples) - 1))
+        assert [float(p.split("=")[1]) for p in r.feature.split(";")] == pytest.approx(numbers, abs=1e-3)
+        stored = media.to_png(raw)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())

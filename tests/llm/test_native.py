@@ -241,3 +241,17 @@ def test_secrets_of_a_megabyte(spark):
     began = time.monotonic()
     got = {r.doc_id: (r.n_assign, r.spans.count("ident")) for r in secrets.secrets_report(df).collect()}
     assert got == {1: (0, 0), 2: (20_000, 20_000), 3: (0, 0)} and time.monotonic() - began < 120
+
+
+def test_mixture_counts_words_of_long_and_odd_texts(spark):
+    texts = ["x " * 200_000, "\u00a0\x1c\u2003", "a\tb\x0bc\x0cd\re\n f", "", None, "é" * 100_000]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert [rows[i].size for i in range(6)] == [200_000, 1, 6, 0, 0, 1] and sum(r.taken for r in rows.values()) == round(1.5 * 200_008)
+
+
+def test_weights_follow_the_rank_of_any_number_of_sources(spark):
+    names = [f"s{i}" for i in range(500)] + ["", "é", "😀", None]
+    got = mixing.weigh_by_rank(spark.createDataFrame([(n,) for n in names], "source string").repartition(7)).collect()
+    order = sorted((n for n in names if n is not None), key=lambda n: [ord(c) for c in n]) + [None]
+    assert {r.source: r.weight for r in got} == {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)}
