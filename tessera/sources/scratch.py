@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_MADE: dict[str, list[str]] = {}
+
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; in local mode a temporary one will do."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes at exit.
+
+    Where the setting is missing, local mode takes a temporary folder and a cluster gets an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    return f"{at.rstrip('/')}/tessera-files/{name}-{uuid.uuid4().hex}"
+    made = f"{at.rstrip('/')}/tessera-files/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+def _clear() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for folder in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(_clear)
