@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_OURS = "tessera.batches"
 _SCRATCH: dict[str, list[str]] = {}
 _KEPT: dict[str, list[str]] = {}
 _TABLES: dict[str, list[str]] = {}
@@ -79,6 +82,39 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+#: Bytes of an Arrow batch where the session doesn't say otherwise; a batch of long texts is held several times over.
+BATCH_BYTES = 4 << 20
+#: What a Python worker remembers, in dictionaries; emptied when a task ends.
+CACHES: list[dict] = []
+
+
+def give_back() -> None:
+    """Return memory to the system: Python workers wait for the next task, of whatever kind, with all that they hold."""
+    for cache in CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of bounded size, and memory given back when a task ends."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(_OURS, None):
+        if df.sparkSession.conf.get(limit) == str(64 << 20) + "b":  # the default
+            df.sparkSession.conf.set(limit, BATCH_BYTES)
+        df.sparkSession.conf.set(_OURS, "true")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

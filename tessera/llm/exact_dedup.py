@@ -18,14 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import body, join_counted, materialize
+from tessera.llm.common import arrow_map, body, join_counted, materialize
 
 #: Bytes of distinct texts in a bucket, and the most leaves of a directory, which the driver holds. Beyond a quarter
 #: of these leaves (1 TB of distinct text) buckets get twice as large, again and again; nothing is left out.
 BUCKET_BYTES = 4 << 20
 MOST_LEAVES = 1 << 20
 #: Bytes of text that a map task holds for merging.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 16 << 20
 
 
 def key(text: Column) -> Column:
@@ -179,7 +179,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text)
             rests.append(rest.slice(i, 1))
             size += len(text)
-        if size > HELD_BYTES // 8 or len(texts) > 10_000:
+        if size > HELD_BYTES // 4 or len(texts) > 10_000:
             yield pa.record_batch([pa.array(texts, pa.binary()), pa.concat_arrays(rests)], names=["text", "rest"])
             texts, rests, size = [], [], 0
     if texts:
@@ -195,7 +195,7 @@ def _dealt(rows: DataFrame, bucket_bytes: int) -> DataFrame:
     keys = materialize(keyed.groupBy("k").agg((F.max(F.octet_length("text")) + 64).alias("bytes")), "hash-keys")
     rest = [c for c in rows.columns if c == "rest"]
     schema = T.StructType([*T.StructType.fromDDL(_MERGED).fields, *(rows.schema[c] for c in rest)])
-    merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).mapInArrow(_merge(build_directory(keys, bucket_bytes)), schema)
+    merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).transform(arrow_map, _merge(build_directory(keys, bucket_bytes)), schema)
     return merged.repartition("bucket").sortWithinPartitions("bucket", "k")
 
 
@@ -205,7 +205,7 @@ def build_index(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BY
     Texts of any length are compared whole; null counts as empty. An empty table has no pages.
     """
     owned = _dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")), bucket_bytes)
-    pages = owned.mapInArrow(_own, "bucket long, k long, place int, text_sha256 string, n_bytes long, keep_id long, group_size long, top_rows long")
+    pages = owned.transform(arrow_map, _own, "bucket long, k long, place int, text_sha256 string, n_bytes long, keep_id long, group_size long, top_rows long")
     return materialize(pages, "hash-pages")
 
 
@@ -243,6 +243,6 @@ def drop_copies(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BY
     rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"), rest.alias("rest"))
     schema = T.StructType([T.StructField("text", T.BinaryType()), rows.schema["rest"]])
-    stay = _dealt(rows, bucket_bytes).mapInArrow(_survivors, schema)
+    stay = _dealt(rows, bucket_bytes).transform(arrow_map, _survivors, schema)
     whole = F.when(~F.col("rest.none"), F.col("text").cast("string")).alias(text)
     return stay.select(*[whole if c == text else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns])

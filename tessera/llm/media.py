@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tessera.llm.common import body, materialize, scratch_path
+from tessera.llm.common import arrow_map, body, materialize, scratch_path
 from tessera.llm.files import create, new_file, open_fs
 
 ROW = 192
@@ -98,7 +98,7 @@ def write_archives(df: DataFrame, text: str = "text", archive_bytes: int = ARCHI
         yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "members", "bytes"])
 
     rows = df.select(F.col("doc_id").cast("long"), F.encode(body(text), "UTF-8").alias("data"))
-    manifest = materialize(rows.mapInArrow(run, "archive string, members long, bytes long"), "media-manifest")
+    manifest = materialize(rows.transform(arrow_map, run, "archive string, members long, bytes long"), "media-manifest")
     return folder, manifest.inputFiles()[0].rsplit("/", 1)[0] if not manifest.isEmpty() else ""
 
 
@@ -236,7 +236,7 @@ def describe(media: DataFrame) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
             yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=schema.replace(" long", "").replace(" string", "").split(", "))
 
-    return media.select("name", "payload").mapInArrow(run, schema)
+    return media.select("name", "payload").transform(arrow_map, run, schema)
 
 
 def media_report(df: DataFrame) -> DataFrame:

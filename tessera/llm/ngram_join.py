@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, join_counted, materialize
+from tessera.llm.common import CACHES, arrow_map, body, join_counted, materialize
 from tessera.llm.graph import components
 
 WORDS = 5
@@ -49,6 +49,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+CACHES.append(_HASHES)
 
 
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
@@ -127,7 +128,7 @@ def _texts(docs: DataFrame, n: int, trees: int) -> DataFrame:
             yield pa.record_batch([*(batch.column(i) for i in range(3)), *made], names=["doc_id", "t1", "t2", "shingles", "keys", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "t1", "t2", F.encode(body(), "UTF-8").alias("text"))
-    made = rows.mapInArrow(run, "doc_id long, t1 long, t2 long, shingles long, keys binary, sketch binary")
+    made = rows.transform(arrow_map, run, "doc_id long, t1 long, t2 long, shingles long, keys binary, sketch binary")
     first = F.first(F.struct("shingles", "keys", "sketch")).alias("made")
     grouped = made.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"), first)
     return materialize(grouped.select("t1", "t2", "least", "rows", "made.*").withColumn("tid", F.monotonically_increasing_id()), "ngram-texts")
@@ -207,7 +208,7 @@ def _forest(texts: DataFrame, trees: int) -> tuple[DataFrame, DataFrame]:
     entries = texts.where("shingles > 0").select("tid", "sketch", entry.alias("e")).select("e.tree", "e.key", "sketch", "tid")
     # by ranges of strings and texts, so that a node of any size is spread over tasks
     dealt = entries.repartitionByRange("tree", "key", "tid").sortWithinPartitions("tree", "key", "tid")
-    ties = materialize(dealt.mapInArrow(_neighbours, ", ".join(f"{c} {k}" for c, k in _TIES.items())), "ngram-neighbours")
+    ties = materialize(dealt.transform(arrow_map, _neighbours, ", ".join(f"{c} {k}" for c, k in _TIES.items())), "ngram-neighbours")
     # two rows for each task: neighbours that a boundary parts
     edges = ties.where("edge in (1, 2)").orderBy("part", "edge").collect()
     across, told = [], []
@@ -369,14 +370,14 @@ def _links(docs: DataFrame, texts: DataFrame, n: int, threshold: float, trees: i
     # sort-merge join: candidates grow with the input, and what holds at one size holds at all
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), F.encode(body(), "UTF-8").alias("text"))
     chosen = rows.join(known.hint("merge"), (F.col("x1") == F.col("t1")) & (F.col("x2") == F.col("t2")) & F.col("id").eqNullSafe(F.col("least")))
-    sets = chosen.select("tid", "rows", "groups", "keys", "text").mapInArrow(run, f"tid long, rows long, groups array<{group}>, prefixes binary, set binary")
+    sets = chosen.select("tid", "rows", "groups", "keys", "text").transform(arrow_map, run, f"tid long, rows long, groups array<{group}>, prefixes binary, set binary")
     each = sets.withColumn("g", F.explode("groups")).select("tid", "rows", "set", F.when(F.col("g.tree") >= 0, F.col("prefixes")).alias("prefixes"), "g.*")
     own = F.pmod(F.xxhash64("tid"), F.col("blocks")).cast("int")
     dealt = each.withColumn("block", own).withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["group", "tree", "a", "b"]
     dealt = dealt.select("group", "tree", F.least("block", "_x").alias("a"), F.greatest("block", "_x").alias("b"), "block", "tid", "rows", "set", "prefixes")
     grouped = dealt.repartition(*key).sortWithinPartitions(*key)
-    return materialize(grouped.mapInArrow(_verify(threshold, trees), "tid long, other long, texts long, docs long"), "ngram-links")
+    return materialize(grouped.transform(arrow_map, _verify(threshold, trees), "tid long, other long, texts long, docs long"), "ngram-links")
 
 
 def _classes(docs: DataFrame, n: int, threshold: float, trees: int, recall: float) -> DataFrame:

@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, sums_before
+from tessera.llm.common import CACHES, arrow_map, materialize, sums_before
 
 END_ID = 2
 #: Fixed value: how the byte-level vocabulary cuts a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a Python worker remembers; workers are reused, so this memory stays taken.
+#: Words that a Python worker remembers during a task.
 CACHE_ENTRIES = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -102,6 +102,7 @@ def encoder(name: str, file: Callable[[], bytes]) -> Encoder:
     """The encoder of a vocabulary file, one for each Python worker; ``name`` tells files apart."""
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(file())
+        CACHES.append(_ENCODERS[name])
     return _ENCODERS[name]
 
 
@@ -144,7 +145,7 @@ def tokenize(df: DataFrame, tokenizer: str, capacity: int = 1024, with_ids: bool
                 columns = zip(*out, strict=True) if out else [[]] * len(kinds)
                 yield pa.record_batch([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(arrow_map, run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -237,7 +238,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, rows_per_range: int = 2_000) -
             yield pa.record_batch([*[batch.column(c) for c in names[:-2]], *made], names=names)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema)
+    return ranked.transform(arrow_map, place, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 1024) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize
+from tessera.llm.common import arrow_map, body, give_back, materialize
 
 BITS = 20
 SIZE = 1 << BITS
@@ -206,7 +206,7 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
         yield pa.record_batch([[model.weights.tobytes()], [model.bias]], names=["weights", "bias"])
 
     one = rows.repartition(1).sortWithinPartitions(order, "doc_id", "text").select("text", "y")
-    made = one.mapInArrow(run, "weights binary, bias double").first()
+    made = one.transform(arrow_map, run, "weights binary, bias double").first()
     return Model(np.frombuffer(made["weights"], np.float32), made["bias"]) if made else Model(np.zeros(SIZE, np.float32), 0.0)
 
 
@@ -220,8 +220,11 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(shared.value.scores(texts))
+        try:
+            for texts in batches:
+                yield pa.array(shared.value.scores(texts))
+        finally:
+            give_back()
 
     found = df.withColumn("score", scored(body(text)))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize
+from tessera.llm.common import arrow_map, body, materialize
 
 LENGTH = 50
 GRAM = 16
@@ -631,8 +631,8 @@ def _exchanged(sent: DataFrame, buckets: int, answer, close, schema: str) -> Dat
     # a bucket's own number would share tasks with others and leave some idle
     placed = sent.join(F.broadcast(_places(sent, buckets)), "bucket", "left").select("bucket", "src", "kind", "data", F.coalesce("place", "bucket").alias("place"))
     dealt = placed.repartition(buckets, "place").sortWithinPartitions("bucket").select("bucket", "src", "kind", "data")
-    answered = dealt.mapInArrow(_own(answer), SENT)
-    return answered.repartition("src").sortWithinPartitions("src").mapInArrow(_collect(close), "o long, t1 long, t2 long, " + schema)
+    answered = dealt.transform(arrow_map, _own(answer), SENT)
+    return answered.repartition("src").sortWithinPartitions("src").transform(arrow_map, _collect(close), "o long, t1 long, t2 long, " + schema)
 
 
 def _changes(docs: DataFrame, with_text: bool) -> DataFrame:
@@ -640,13 +640,13 @@ def _changes(docs: DataFrame, with_text: bool) -> DataFrame:
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(partitions, -(-total // OWNER_BYTES))
-    filed = docs.select(*KEY, "text").mapInArrow(_file(buckets), SENT)
+    filed = docs.select(*KEY, "text").transform(arrow_map, _file(buckets), SENT)
     told = materialize(_exchanged(filed, buckets, _share, _shared_keys, "shared binary, split binary"), "suffix-keys").dropDuplicates([*KEY])
     affected = materialize(docs.select(*KEY, "text").join(told, [*KEY]), "suffix-affected", partitions, KEY)
-    sent = affected.mapInArrow(_send(buckets), SENT)
+    sent = affected.transform(arrow_map, _send(buckets), SENT)
     spans = materialize(_exchanged(sent, buckets, _settle, _spans, "spans binary"), "suffix-spans").dropDuplicates([*KEY])
     schema = "o long, t1 long, t2 long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return affected.select(*KEY, "text").join(spans, [*KEY]).mapInArrow(_cut(with_text), schema).dropDuplicates([*KEY])
+    return affected.select(*KEY, "text").join(spans, [*KEY]).transform(arrow_map, _cut(with_text), schema).dropDuplicates([*KEY])
 
 
 def _documents(df: DataFrame, ordered: bool) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, join_counted, materialize, scratch_path
+from tessera.llm.common import arrow_map, body, join_counted, materialize, scratch_path
 from tessera.llm.files import create, new_file, open_fs
 
 ARCHIVE_BYTES = 64 << 20
@@ -128,7 +128,7 @@ def write_raw(pages: DataFrame) -> DataFrame:
         out.close()
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(body("html"), "UTF-8").alias("html"))
-    return materialize(rows.mapInArrow(run, HEADERS), "warc-headers")
+    return materialize(rows.transform(arrow_map, run, HEADERS), "warc-headers")
 
 
 def resolve(headers: DataFrame, least_bytes: int) -> DataFrame:
@@ -183,7 +183,7 @@ def rewrite(resolved: DataFrame) -> DataFrame:
     # a given number of tasks, which the planner doesn't merge
     dealt = resolved.repartition(_archives(resolved), "archive").sortWithinPartitions("archive", "offset")
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "archive", "offset", "length", "original"]
-    return materialize(dealt.select(*columns).mapInArrow(run, "archive string, records long"), "warc-archives")
+    return materialize(dealt.select(*columns).transform(arrow_map, run, "archive string, records long"), "warc-archives")
 
 
 def read_back(archives: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def read_back(archives: DataFrame) -> DataFrame:
                     raise ValueError(f"{archive} has {seen} records, not {n}")
                 yield _rows(rows, schema)
 
-    return archives.repartition(2 * _archives(archives), "archive").mapInArrow(run, schema)
+    return archives.repartition(2 * _archives(archives), "archive").transform(arrow_map, run, schema)
 
 
 def warc_report(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
