@@ -33,6 +33,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before, total = mark, 2 * mark[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _joined(both, _least(both), total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        large = materialize(large, "edges")  # it is read three times, and so would be all before it
         least = _least(large)
         small = _joined(large, least, total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
