@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 from tessera.operators.streams import code_lengths, ladder
 
-#: Default values: window, and the match length that ends a search.
-WINDOW, NICE = 2048, 128
+#: Default values: window, the match length that ends a search, the longest match that waits for a longer one, and how
+#: far back a match of the least length may lie.
+WINDOW, NICE, LAZY, FAR = 2048, 128, 64, 4096
 #: Fixed values of the format.
 LEAST, LONGEST = 3, 258
 #: Fixed value of the format: the order in which lengths of the code-length code are stored.
@@ -32,7 +33,7 @@ def _code_of(value: int, ladder: list[tuple[int, int]]) -> tuple[int, int, int]:
 
 def tokens(data: bytes, window: int = WINDOW, lazy: bool = True, chain: int = 256) -> Iterator[Token]:
     """Literals and (length, distance) pairs. Of the last ``chain`` places with the same three bytes the longest match is taken,
-    of equally long ones the nearest; a longer one at the next byte is waited for."""
+    of equally long ones the nearest. One of up to ``LAZY`` bytes gives way to one at the next byte that is longer by two."""
     seen: dict[bytes, list[int]] = {}
 
     def best(i: int) -> tuple[int, int]:
@@ -47,7 +48,7 @@ def tokens(data: bytes, window: int = WINDOW, lazy: bool = True, chain: int = 25
                 found = (n, i - j)
             if n >= min(NICE, most):
                 break
-        return found
+        return found if found[0] > LEAST or found[1] <= FAR else (0, 0)
 
     def note(i: int) -> None:
         if i + LEAST <= len(data):
@@ -58,7 +59,7 @@ def tokens(data: bytes, window: int = WINDOW, lazy: bool = True, chain: int = 25
         n, back = ready or best(i)
         ready = None
         note(i)
-        if n and lazy and n < NICE and i + 1 < len(data) and (later := best(i + 1))[0] > n:
+        if n and lazy and n <= LAZY and i + 1 < len(data) and (later := best(i + 1))[0] > n + 1:
             yield data[i]
             i, ready = i + 1, later
         elif n:
