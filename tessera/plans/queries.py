@@ -57,6 +57,14 @@ SELECT image, y, best.kind AS kind, {_DIGEST} FROM t JOIN best USING (image, y)
 MINSUM = "costs AS (SELECT image, y, kind, sum(CASE WHEN kind = 0 OR f < 128 THEN f ELSE 255 - f END) AS cost FROM t GROUP BY image, y, kind)"
 ENTROPY = """h AS (SELECT image, y, kind, f, count(*) AS k FROM (SELECT image, y, kind, f FROM t UNION ALL SELECT DISTINCT image, y, kind, kind FROM t) GROUP BY image, y, kind, f),
 costs AS (SELECT image, y, kind, round(sum(-(k / 65.0) * log2(k / 65.0)), 6) AS cost FROM h GROUP BY image, y, kind)"""
+
+
+def _unfilter_sql(kind: str, step: int) -> str:
+    which = "kind = y % 5" if kind == "mixed" else f"kind = {list(GUESS).index(kind)}"
+    return f"""WITH {_tried(step)} SELECT image, y, 'filtered' AS side, {_DIGEST} FROM t WHERE {which} GROUP BY image, y
+UNION ALL SELECT image, y, 'raw', CAST(sum(v) AS BIGINT), CAST(sum(v * (x + 1)) AS BIGINT) FROM s GROUP BY image, y"""
+
+
 RAW = f"WITH {LINES} SELECT image, y, CAST(sum(v) AS BIGINT) AS total, CAST(sum(v * (x + 1)) AS BIGINT) AS weighted FROM s GROUP BY image, y"
 
 PIXELS = f"""{LINES},
@@ -103,7 +111,10 @@ def _unfilter(kind: str, step: int) -> Query:
             made = filters.choose(lines, step, "predefined", lines.select("image", "y", (F.col("y") % 5).cast("int").alias("kind")))
         else:
             made = filters.filter_lines(lines, step, kind)
-        return filters.digest(filters.unfilter(made, step))
+        # both sides of the way, so that rows which were never filtered would show
+        sides = {"filtered": made, "raw": filters.unfilter(made, step)}
+        told = [filters.digest(side).withColumn("side", F.lit(name)) for name, side in sides.items()]
+        return told[0].unionByName(told[1])
 
     return query
 
@@ -325,8 +336,9 @@ def _as_images(spark: SparkSession, d: str) -> DataFrame:
 
 def _png_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     made = _as_images(spark, d).withColumn("file", images.encode("pixels", F.lit(64), F.col("rows"), 0, 8, auto=False, strategy="zero", level=1))
-    back = made.withColumn("image", images.decode("file.content", "RAW"))
-    return back.select("doc_id", F.col("image.height").cast("long").alias("height"), F.sha2(F.substring("image.data", F.lit(1), F.col("n")), 256).alias("sha256"))
+    back = made.withColumn("image", images.decode("file.content", "RAW")).withColumn("chunks", images.chunk_list("file.content"))
+    named = F.array_join(F.transform("chunks", lambda c: F.concat(c["type"], F.when(c["crc_ok"], "").otherwise("!"))), " ")
+    return back.select("doc_id", named.alias("chunks"), F.col("image.height").cast("long").alias("height"), F.sha2(F.substring("image.data", F.lit(1), F.col("n")), 256).alias("sha256"))
 
 
 def _png_profiled(spark: SparkSession, d: str) -> DataFrame:
@@ -341,8 +353,10 @@ def _png_profiled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _deflate_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    packed = _docs(spark, d).withColumn("packed", streams.deflated("data"))
-    return packed.select("doc_id", F.sha2(streams.inflated("packed"), 256).alias("sha256"))
+    """Streams and back; their headers and checksums show that they are streams."""
+    packed = _docs(spark, d).select("doc_id", streams.deflated("data").alias("packed")).withColumn("back", streams.inflated("packed"))
+    number = lambda at, n: F.conv(F.hex(F.substring("packed", at, n)), 16, 10).cast("long")
+    return packed.select("doc_id", number(1, 1).alias("header"), number(-4, 4).alias("adler32"), F.sha2("back", 256).alias("sha256"))
 
 
 def _open_deflate(spark: SparkSession, d: str) -> DataFrame:
@@ -414,7 +428,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     found = {f"filter_{k}": _filter_sql(i, 1) for i, k in enumerate(filters.KINDS)} | {f"filter_{k}_rgba": _filter_sql(i, 4) for i, k in enumerate(filters.KINDS)}
-    found |= {f"unfilter_{k}": RAW for k in (*filters.KINDS, "mixed", "mixed_rgba")} | {"adam7_roundtrip": RAW} | codec.oracle_sql()
+    found |= {f"unfilter_{k}": _unfilter_sql(k, 1) for k in (*filters.KINDS, "mixed")} | {"unfilter_mixed_rgba": _unfilter_sql("mixed", 4), "adam7_roundtrip": RAW} | codec.oracle_sql()
     first = "CASE " + " ".join(f"WHEN x % {p[2]} = {p[0]} AND y % {p[3]} = {p[1]} THEN {i + 1}" for i, p in enumerate(PASSES)) + " END"
     steps = ", ".join(f"({i + 1}, {', '.join(map(str, p))})" for i, p in enumerate(PASSES))
     kinds = ", ".join(f"CAST(count(*) FILTER (role = '{k}') AS BIGINT) AS n_{k}, CAST(coalesce(sum(octet_length(encode(text))) FILTER (role = '{k}'), 0) AS BIGINT) AS bytes_{k}" for k in ROLES)
@@ -465,7 +479,7 @@ SELECT animation, CAST(frame_no AS BIGINT) AS frame_no, min(seq) AS opened, CAST
         "frame_sequence": "WITH e AS (SELECT user_id AS animation, floor(value) <> lag(floor(value)) OVER (PARTITION BY user_id ORDER BY event_id) + 1 AS bad FROM events) SELECT animation, CAST(count(*) FILTER (bad) AS BIGINT) AS errors FROM e GROUP BY animation",
         "frame_bounds": """WITH i AS (SELECT l_orderkey AS animation, CAST(sum(l_quantity) AS BIGINT) AS width, count(*) AS height, count(*) AS x, CAST(max(l_linenumber) AS BIGINT) AS y FROM lineitem GROUP BY l_orderkey)
 SELECT animation, x, y, width, height FROM i JOIN orders ON o_orderkey = animation WHERE width <= 0 OR x + width > 100 OR y + height > length(o_orderpriority)""",
-        "png_roundtrip": "SELECT doc_id, CAST(greatest(ceil(octet_length(encode(coalesce(text, ''))) / 64.0), 1) AS BIGINT) AS height, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "png_roundtrip": "SELECT doc_id, 'IHDR IDAT IEND' AS chunks, CAST(greatest(ceil(octet_length(encode(coalesce(text, ''))) / 64.0), 1) AS BIGINT) AS height, sha256(coalesce(text, '')) AS sha256 FROM documents",
         "deflate_modes": "SELECT item_id, mode, sha256(text) AS sha256 FROM benchmark, (VALUES ('tokens'), ('stored'), ('fixed'), ('dynamic'), ('inflate'), ('inflate_stored'), ('inflate_fixed')) m(mode)",
-        "deflate_roundtrip": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "deflate_roundtrip": f"SELECT doc_id, 120 AS header, adler32, sha256(coalesce(text, '')) AS sha256 FROM documents JOIN ({ADLER}) USING (doc_id)",
     }
