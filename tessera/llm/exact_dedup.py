@@ -2,8 +2,8 @@
 
 A directory doubles wherever a bucket of the hash space holds too many bytes of distinct keys. Map tasks merge
 the equal texts they see; what is left goes to the owner of its key range, which chains the texts of a key and
-compares their bytes. The chains are the pages of the index, a table in the shared folder; documents look
-themselves up there by key and SHA-256. Where only the rows that stay are wanted, they travel with their texts.
+compares their bytes. The chains are the pages of the index, a table in the shared folder; documents find their bucket
+in the directory and themselves in its pages, by key and SHA-256. Where only the rows that stay are wanted, they travel with their texts.
 Either way texts are shuffled once.
 """
 
@@ -83,7 +83,7 @@ def _merge(directory: np.ndarray):
         def flush() -> pa.RecordBatch:
             rows = list(held.values())
             keys = np.array([r[0] for r in rows], dtype=np.int64)
-            bucket = np.searchsorted(directory, keys.view(np.uint64), side="right") - 1
+            bucket = _buckets(directory, keys)
             columns = [pa.array(bucket, pa.int64()), pa.array(keys), pa.array(list(held), pa.binary()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3))]
             names = ["bucket", "k", "text", "top", "rows", "top_rows"]
             if rests:
@@ -189,24 +189,41 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MERGED = "bucket long, k long, text binary, top long, rows long, top_rows long"
 
 
-def _dealt(rows: DataFrame, bucket_bytes: int) -> DataFrame:
-    """``rows`` (doc_id, text, maybe rest) merged by map tasks and dealt to the owners of their buckets, by key."""
+def _buckets(directory: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return np.searchsorted(directory, keys.view(np.uint64), side="right") - 1
+
+
+def _with_bucket(keyed: DataFrame, directory: np.ndarray) -> DataFrame:
+    """Add ``bucket`` to rows with a key ``k``."""
+    shared = keyed.sparkSession.sparkContext.broadcast(directory)  # 8 bytes a bucket, ``MOST_LEAVES`` at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _buckets(shared.value, batch.column("k").to_numpy())
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "bucket"])
+
+    return keyed.transform(arrow_map, run, T.StructType([*keyed.schema.fields, T.StructField("bucket", T.LongType())]))
+
+
+def _dealt(rows: DataFrame, bucket_bytes: int) -> tuple[DataFrame, np.ndarray]:
+    """``rows`` (doc_id, text, maybe rest) merged by map tasks and dealt to the owners of their buckets, by key; and the directory."""
     keyed = rows.withColumn("k", key(F.col("text")))
     keys = materialize(keyed.groupBy("k").agg((F.max(F.octet_length("text")) + 64).alias("bytes")), "hash-keys")
     rest = [c for c in rows.columns if c == "rest"]
     schema = T.StructType([*T.StructType.fromDDL(_MERGED).fields, *(rows.schema[c] for c in rest)])
-    merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).transform(arrow_map, _merge(build_directory(keys, bucket_bytes)), schema)
-    return merged.repartition("bucket").sortWithinPartitions("bucket", "k")
+    directory = build_directory(keys, bucket_bytes)
+    merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).transform(arrow_map, _merge(directory), schema)
+    return merged.repartition("bucket").sortWithinPartitions("bucket", "k"), directory
 
 
-def build_index(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The pages: a row (bucket, k, place, text_sha256, n_bytes, keep_id, group_size, top_rows) per distinct text.
+def build_index(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, np.ndarray]:
+    """The pages, a row (bucket, k, place, text_sha256, n_bytes, keep_id, group_size, top_rows) per distinct text; and the directory.
 
-    Texts of any length are compared whole; null counts as empty. An empty table has no pages.
+    Texts of any length are compared whole; null counts as empty. An empty table has no pages and one bucket.
     """
-    owned = _dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")), bucket_bytes)
+    owned, directory = _dealt(df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text")), bucket_bytes)
     pages = owned.transform(arrow_map, _own, "bucket long, k long, place int, text_sha256 string, n_bytes long, keep_id long, group_size long, top_rows long")
-    return materialize(pages, "hash-pages")
+    return materialize(pages, "hash-pages"), directory
 
 
 def exact_groups(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -216,12 +233,12 @@ def exact_groups(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_B
     repeated rows with that id one is kept and the others are not. Texts of any length are compared whole. An empty
     table gives no rows; other columns play no part.
     """
-    index = build_index(df, text, bucket_bytes)
+    index, directory = build_index(df, text, bucket_bytes)
     digest = F.sha2(F.encode(body(text), "UTF-8"), 256)
     keyed = df.select("doc_id", key(body(text)).alias("k"), digest.alias("text_sha256"))
     total = index.agg(F.sum("group_size")).first()[0] or 0
-    pages = index.select("k", "text_sha256", "keep_id", "group_size", "top_rows")
-    found = join_counted(keyed, pages, ["k", "text_sha256"], "group_size", total, ["doc_id"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    pages = index.select("bucket", "k", "text_sha256", "keep_id", "group_size", "top_rows")
+    found = join_counted(_with_bucket(keyed, directory), pages, ["bucket", "k", "text_sha256"], "group_size", total, ["doc_id"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     if index.where("top_rows > 1").isEmpty():
         return found.select(*columns)
@@ -243,6 +260,6 @@ def drop_copies(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BY
     rest = F.struct(F.col(f"`{text}`").isNull().alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), body(text).alias("text"), rest.alias("rest"))
     schema = T.StructType([T.StructField("text", T.BinaryType()), rows.schema["rest"]])
-    stay = _dealt(rows, bucket_bytes).transform(arrow_map, _survivors, schema)
+    stay = _dealt(rows, bucket_bytes)[0].transform(arrow_map, _survivors, schema)
     whole = F.when(~F.col("rest.none"), F.col("text").cast("string")).alias(text)
     return stay.select(*[whole if c == text else F.col(f"rest.c{others.index(c)}").alias(c) for c in df.columns])
