@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import body, materialize, sums_before
+from tessera.llm.common import body, join_counted, materialize, sums_before
 
 #: A word is a maximal run of characters other than space and the five ASCII controls from tab to return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,11 +69,19 @@ def _targets(sized: DataFrame, share: float, most: float, weights: tuple[int, ..
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     weighed = materialize(weigh_by_rank(totals, weights).withColumn("ranges", F.ceil(F.col("rows") / rows_per_range)), "mix-sources")
     # written again, so that the planner knows how small it is and can send it whole where the limit allows
-    return materialize(set_targets(weighed, share, most).select("source", "source_size", "target", "ranges"), "mix-targets")
+    return materialize(set_targets(weighed, share, most).select("source", "source_size", "target", "ranges", "rows"), "mix-targets")
+
+
+def _with_source(rows: DataFrame, sources: DataFrame, spread: list[str]) -> DataFrame:
+    """``rows`` with the columns of their source, a null one too. ``sources`` has the rows of each in ``rows``; large ones aren't dealt by name."""
+    keys = {"_name": lambda: F.coalesce("source", F.lit("")), "_none": lambda: F.col("source").isNull()}
+    total = sources.agg(F.sum("rows")).first()[0] or 0
+    named = [t.withColumns({k: make() for k, make in keys.items()}) for t in (rows, sources)]
+    return join_counted(named[0], named[1].drop("source"), list(keys), "rows", total, spread).drop(*keys, "rows")
 
 
 def _cut(sized: DataFrame, sources: DataFrame, whole: bool) -> DataFrame:
-    placed = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    placed = _with_source(sized, sources, ["doc_id", "key"])
     placed = placed.withColumn("range", F.floor(F.col("key") * F.col("ranges") / F.lit(2.0**32)))
     sums = placed.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sums = sums_before(sums, "source", "range", "words", "offset").select(F.col("source").alias("s"), F.col("range").alias("r"), "offset")
@@ -127,12 +135,14 @@ def mix_documents(
     sized = _sizes(df, seed)
     targets = _targets(sized, share, most, weights, rows_per_range)
     last = F.max(F.when(F.col("more") > 0, F.struct(F.col("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("size"))))
-    cuts = _cut(sized, targets, True).groupBy("source").agg(F.max(passes()).alias("_passes"), last.alias("_last"))
-    cuts = materialize(cuts.withColumnRenamed("source", "_source"), "mix-cuts")
+    cuts = _cut(sized, targets, True).groupBy("source").agg(F.max(passes()).alias("_passes"), last.alias("_last"), F.count("*").alias("rows"))
+    cuts = materialize(cuts, "mix-cuts")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.md5(body()))
-    size = F.regexp_count(body(), F.lit(WORD)).cast("long")
+    # what isn't deterministic to the planner is computed once, and not again in each condition that names it
+    once = (F.monotonically_increasing_id() * 0).cast("long")
+    size = F.regexp_count(body(), F.lit(WORD)).cast("long") + once
     here = F.struct(hash_key(ident, seed).alias("key"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), size.alias("size"))
-    copies = F.when(size == 0, 1).otherwise(F.col("_passes") + F.coalesce((here <= F.col("_last")).cast("int"), F.lit(0)))
-    df = df.select(F.struct("*").alias("_row"), "doc_id", "text", "source")
-    rows = df.join(cuts, df["source"].eqNullSafe(cuts["_source"])).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
+    rows = _with_source(df.select(F.struct("*").alias("_row"), "source", here.alias("_here")), cuts, ["_here"])
+    more = F.coalesce((F.col("_here") <= F.col("_last")).cast("int"), F.lit(0))
+    copies = F.when(F.col("_here.size") == 0, 1).otherwise(F.col("_passes") + more).cast("int")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
