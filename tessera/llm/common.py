@@ -202,6 +202,18 @@ def text_around(text: Column, spans: Column, window: int) -> Column:
     )
 
 
+def deal(df: DataFrame, owner: str, tasks: int) -> DataFrame:
+    """``df`` in ``tasks`` partitions, one for each value of ``owner``, a number from 0 to ``tasks`` - 1.
+
+    Hash partitioning sends several owners to one task and leaves others idle, so owners go by numbers that it keeps
+    apart. The planner merges no partitions.
+    """
+    place = F.pmod(F.hash("id"), F.lit(tasks)).cast("long").alias("_owner")
+    places = df.sparkSession.range(40 * tasks).select(place, "id").groupBy("_owner").agg(F.min("id").alias("_place"))
+    placed = df.join(F.broadcast(places), F.col(owner) == F.col("_owner"), "left").withColumn("_place", F.coalesce("_place", owner))
+    return placed.repartition(tasks, "_place").select(*df.columns)
+
+
 def sums_before(rows: DataFrame, by: str, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Add ``out``: the sum of ``value`` over rows of the same ``by`` (null is one) with a smaller ``order``, whole numbers from 0.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import arrow_map, body, join_counted, materialize
+from tessera.llm.common import arrow_map, body, deal, join_counted, materialize
 
 #: Bytes of distinct texts in a bucket, and the most leaves of a directory, which the driver holds. Beyond a quarter
 #: of these leaves (1 TB of distinct text) buckets get twice as large, again and again; nothing is left out.
@@ -213,7 +213,11 @@ def _dealt(rows: DataFrame, bucket_bytes: int) -> tuple[DataFrame, np.ndarray]:
     schema = T.StructType([*T.StructType.fromDDL(_MERGED).fields, *(rows.schema[c] for c in rest)])
     directory = build_directory(keys, bucket_bytes)
     merged = keyed.select("doc_id", "k", F.encode("text", "UTF-8").alias("text"), *rest).transform(arrow_map, _merge(directory), schema)
-    return merged.repartition("bucket").sortWithinPartitions("bucket", "k"), directory
+    # ranges of buckets, as many as tasks: each owner has its share of the directory
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = merged.withColumn("owner", F.floor(F.col("bucket") * tasks / len(directory)).cast("long"))
+    dealt = deal(owned, "owner", tasks).select(*merged.columns)
+    return dealt.sortWithinPartitions("bucket", "k"), directory
 
 
 def build_index(df: DataFrame, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, body, materialize
+from tessera.llm.common import arrow_map, body, deal, materialize
 
 LENGTH = 50
 GRAM = 16
@@ -620,18 +620,9 @@ def _cut(with_text: bool):
 KEY = ("o", "t1", "t2")
 
 
-def _places(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, place): numbers that hash partitioning sends to different tasks, one for each bucket; the driver holds none."""
-    place = F.pmod(F.hash("id"), F.lit(buckets)).cast("long").alias("bucket")
-    return docs.sparkSession.range(40 * buckets).select(place, "id").groupBy("bucket").agg(F.min("id").alias("place"))
-
-
 def _exchanged(sent: DataFrame, buckets: int, answer, close, schema: str) -> DataFrame:
     """Send to owners, answer, and bring the answers to the documents."""
-    # a bucket's own number would share tasks with others and leave some idle
-    placed = sent.join(F.broadcast(_places(sent, buckets)), "bucket", "left").select("bucket", "src", "kind", "data", F.coalesce("place", "bucket").alias("place"))
-    dealt = placed.repartition(buckets, "place").sortWithinPartitions("bucket").select("bucket", "src", "kind", "data")
-    answered = dealt.transform(arrow_map, _own(answer), SENT)
+    answered = deal(sent, "bucket", buckets).sortWithinPartitions("bucket").transform(arrow_map, _own(answer), SENT)
     return answered.repartition("src").sortWithinPartitions("src").transform(arrow_map, _collect(close), "o long, t1 long, t2 long, " + schema)
 
 

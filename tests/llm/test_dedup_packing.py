@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, packing
-from tessera.llm.common import join_counted, sums_before
+from tessera.llm.common import deal, join_counted, sums_before
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["a  b", "  x", "x  ", "a \n b", "a\n b\n\n c \n", "it's 'tis ' s", "tab\tb\r\n c", "<|endoftext|> hi", "日本語 テキスト ok", "a   b\n  c", "\n", "", " ", "Ü é ßs 12 345a !!??", "😀😀 hi", "x" * 5000]
@@ -138,6 +138,13 @@ def test_packing_round_trip(spark):
     assert packing.sequences(packing.pack(packing.tokenize(df.limit(0), PATH, with_ids=True))).count() == 0
 
 
+def test_owners_have_tasks_of_their_own(spark):
+    df = spark.range(3000).select((F.col("id") % 30).alias("owner"), "id")
+    got = deal(df, "owner", 30).withColumn("task", F.spark_partition_id())
+    assert got.select("owner", "id").distinct().count() == 3000
+    assert {(r.n, r.rows) for r in got.groupBy("task").agg(F.countDistinct("owner").alias("n"), F.count("*").alias("rows")).collect()} == {(1, 100)}
+
+
 def test_sums_before_in_blocks(spark):
     rng = random.Random(8)
     rows = [(by, i, rng.randint(0, 9)) for by in ("a", None, "b") for i in rng.sample(range(300), 200)]
