@@ -163,6 +163,16 @@ class _Sources:
         return self.next
 
 
+def pieces(text: bytes, size: int) -> Iterator[tuple[int, bytes]]:
+    """(start, piece) of a text in pieces of ``size`` bytes, each string of ``LENGTH`` bytes in exactly one.
+
+    Keys are those of strings, so a cut only divides a run; memory is bounded however long a text is.
+    """
+    step = max(size, 2 * LENGTH) - LENGTH + 1
+    for at in range(0, max(len(text) - LENGTH + 1, 1), step):
+        yield at, text[at : at + step + LENGTH - 1]
+
+
 def _chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in texts], out=bounds[1:])
@@ -201,14 +211,16 @@ def _file(buckets: int):
         docs: list[tuple] = []
         held: list[tuple] = []
         texts: list[bytes] = []
+        owner: list[int] = []
         size = n_runs = 0
 
         def scan() -> int:
             data, bounds = _chunk(texts)
-            doc, _, _, least = runs(data, bounds)
-            held.append((doc + len(docs) - len(texts), keys(least, buckets)))
+            piece, _, _, least = runs(data, bounds)
+            held.append((np.array(owner, np.int64)[piece], keys(least, buckets)))
             texts.clear()
-            return len(doc)
+            owner.clear()
+            return len(piece)
 
         for batch in batches:
             for o, t1, t2, text in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
@@ -216,11 +228,13 @@ def _file(buckets: int):
                 if len(text) < LENGTH:
                     continue
                 docs.append((o, t1, t2))
-                texts.append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    n_runs += scan()
-                    size = 0
+                for _, piece in pieces(text, CHUNK_BYTES):
+                    texts.append(piece)
+                    owner.append(len(docs) - 1)
+                    size += len(piece)
+                    if size >= CHUNK_BYTES:
+                        n_runs += scan()
+                        size = 0
                 if n_runs >= HELD_RUNS or len(docs) >= HELD_DOCS:
                     if texts:
                         scan()
@@ -378,6 +392,7 @@ def _send(buckets: int):
         docs: list[tuple] = []
         texts: list[bytes] = []
         lists: list[tuple[bytes, bytes]] = []
+        owner: list[tuple[int, int]] = []  # document of a piece, and where it starts in that
         distinct: dict[bytes, int] = {}
         key: list[int] = []
         held: list[tuple] = []
@@ -395,36 +410,41 @@ def _send(buckets: int):
                     key.append(c)
                     new += b - a + 100
                 which.append(i)
-            held.append((np.array(which, np.int64), doc + len(docs) - len(texts), inside))
+            held.append((np.array(which, np.int64), doc, inside))
             return new + 20 * len(which)
 
         def scan() -> int:
             raw = b"".join(texts)
             data, bounds = _chunk(texts)
-            doc, start, strings, least = runs(data, bounds)
+            part, start, strings, least = runs(data, bounds)
             k = keys(least, buckets)
-            of = _listed(doc, k, [a for a, _ in lists])
-            new = add(raw, doc[of], start[of], strings[of], k[of], (start - bounds[doc])[of])
-            fine = np.flatnonzero(_listed(doc, k, [b for _, b in lists]))
+            doc, first = np.array(owner, np.int64).reshape(-1, 2)[part].T
+            inside = start - bounds[part] + first
+            of = _listed(part, k, [a for a, _ in lists])
+            new = add(raw, doc[of], start[of], strings[of], k[of], inside[of])
+            fine = np.flatnonzero(_listed(part, k, [b for _, b in lists]))
             if len(fine):
-                pieces = [raw[a:b] for a, b in zip(start[fine].tolist(), (start + strings + LENGTH - 1)[fine].tolist())]
-                data2, bounds2 = _chunk(pieces)
+                cut = [raw[a:b] for a, b in zip(start[fine].tolist(), (start + strings + LENGTH - 1)[fine].tolist())]
+                data2, bounds2 = _chunk(cut)
                 piece, start2, strings2, least2 = runs(data2, bounds2, FINE)
                 whole = fine[piece]
-                new += add(b"".join(pieces), doc[whole], start2, strings2, keys(least2, buckets), start[whole] - bounds[doc[whole]] + start2 - bounds2[piece])
+                new += add(b"".join(cut), doc[whole], start2, strings2, keys(least2, buckets), inside[whole] + start2 - bounds2[piece])
             texts.clear()
             lists.clear()
+            owner.clear()
             return new
 
         for batch in batches:
             for o, t1, t2, shared, split, text in zip(*[batch.column(c).to_pylist() for c in ("o", "t1", "t2", "shared", "split")], batch.column("text"), strict=True):
                 docs.append((o, t1, t2))
-                texts.append(text.as_py())
-                lists.append((shared, split))
-                size += len(texts[-1])
-                if size >= CHUNK_BYTES:
-                    kept += scan()
-                    size = 0
+                for at, piece in pieces(text.as_py(), CHUNK_BYTES):
+                    texts.append(piece)
+                    lists.append((shared, split))
+                    owner.append((len(docs) - 1, at))
+                    size += len(piece)
+                    if size >= CHUNK_BYTES:
+                        kept += scan()
+                        size = 0
                 if kept >= HELD_BYTES or len(docs) >= HELD_DOCS:
                     if texts:
                         scan()

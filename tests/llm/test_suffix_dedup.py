@@ -49,9 +49,10 @@ def make(seed):
     return rows + [(7, None), (8, ""), (5, same), (5, same), (6, same), (None, same), (9, "z" * 500), (10, "z" * 49), (11, "z" * 50), (4, "z" * 51), (12, "y" * 300_000), (13, "q" + "y" * 60)]
 
 
-@pytest.mark.parametrize("seed,split", [(1, 20_000), (2, 1)])
-def test_report_matches_brute_force(spark, monkeypatch, seed, split):
+@pytest.mark.parametrize("seed,split,chunk", [(1, 20_000, 1 << 20), (2, 1, 1 << 20), (5, 20_000, 130), (6, 1, 130)])
+def test_report_matches_brute_force(spark, monkeypatch, seed, split, chunk):
     monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     monkeypatch.setattr(suffix_dedup, "SORTED_STRINGS", 500)
     monkeypatch.setattr(suffix_dedup, "HELD_DOCS", 17)
     rows = make(seed)
@@ -59,6 +60,14 @@ def test_report_matches_brute_force(spark, monkeypatch, seed, split):
     assert got(df) == brute(rows)
 
 
+def test_pieces_hold_every_string_once():
+    for n in (0, 10, 49, 50, 51, 99, 100, 101, 1000, 1049, 1050):
+        text = bytes(i % 251 for i in range(n))
+        for size in (1, 130, 1 << 20):
+            made = [(at + i, p[i : i + 50]) for at, p in suffix_dedup.pieces(text, size) for i in range(len(p) - 49)]
+            assert made == [(i, text[i : i + 50]) for i in range(n - 49)] and max(len(p) for _, p in suffix_dedup.pieces(text, size)) <= max(size, 100)
+
+
 def test_documents_match_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     assert got(df) == brute([tuple(r) for r in df.collect()])
