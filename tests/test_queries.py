@@ -113,3 +113,7 @@ def test_metadata_chunks_of_keys_beyond_16_bits(spark, late_keys):
 
 def test_metadata_fields_of_keys_beyond_16_bits(spark, late_keys):
     beside_sql(spark, late_keys, "metadata_fields")
+
+
+def test_metadata_info_of_keys_beyond_16_bits(spark, late_keys):
+    beside_sql(spark, late_keys, "metadata_info")
