@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of an Arrow batch where the session has Spark's own; a worker holds a batch several times over, so it must not grow with tables.
+BATCH = {"maxRecordsPerBatch": ("10000", "500"), "maxBytesPerBatch": ("67108864b", str(4 << 20))}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    for name, (default, ours) in BATCH.items():
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", ours)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from tessera.functions import png, raster
 from tessera.functions.raster import Mode
@@ -34,47 +36,43 @@ def _decoded(raw: bytes | None, color_type: int | None, depth: int | None, ignor
     return {k: got[k] for k in empty} | {"frames": [{n: f[n] for n in names} for f in got["frames"]], "error": None}
 
 
+def _column(kind: str, one: Callable, *columns: Column | str) -> Column:
+    """``one`` of each row's values as a column of type ``kind``; structs are dicts. Values go by Arrow, since pandas holds and copies each several times."""
+    made = to_arrow_type(_parse_datatype_string(kind))
+
+    @F.arrow_udf(kind)
+    def run(*values: pa.Array) -> pa.Array:
+        return pa.array((one(*row) for row in zip(*(v.to_pylist() for v in values), strict=True)), made)
+
+    return run(*columns)
+
+
 def decode(content: Column | str, mode: str = "RGBA8", ignore_crc: bool = False, ignore_adler: bool = False) -> Column:
     """A struct (width, height, color_type, bit_depth, data, frames, error) of PNG bytes. What can't be decoded has an error alone."""
     color_type, depth = TARGETS[mode]
+    return _column(IMAGE, lambda raw: _decoded(raw, color_type, depth, ignore_crc, ignore_adler), content)
 
-    @F.pandas_udf(IMAGE)
-    def run(raw: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_decoded(r, color_type, depth, ignore_crc, ignore_adler) for r in raw], columns=["width", "height", "color_type", "bit_depth", "data", "frames", "error"], dtype=object)
-
-    return run(content)
 
+def _or_null(read: Callable) -> Callable:
+    """``read`` of bytes; null for what it can't read."""
 
-def chunk_list(content: Column | str) -> Column:
-    """The chunks of PNG bytes, wrong checksums included; null for what isn't a PNG."""
+    def one(raw: bytes | None):
+        try:
+            return read(raw or b"")
+        except ValueError:
+            return None
 
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(raw: pd.Series) -> pd.Series:
-        def one(r: bytes | None) -> list[dict] | None:
-            try:
-                return png.parse_chunks(r or b"", ignore_crc=True)
-            except ValueError:
-                return None
+    return one
 
-        return raw.map(one)
 
-    return run(content)
+def chunk_list(content: Column | str) -> Column:
+    """The chunks of PNG bytes, wrong checksums included; null for what isn't a PNG."""
+    return _column(f"array<{CHUNK}>", _or_null(lambda raw: png.parse_chunks(raw, ignore_crc=True)), content)
 
 
 def filter_types(content: Column | str) -> Column:
     """The filter of each row of the default image; null for what can't be decoded."""
-
-    @F.pandas_udf("array<int>")
-    def run(raw: pd.Series) -> pd.Series:
-        def one(r: bytes | None) -> list[int] | None:
-            try:
-                return png.filter_types(r or b"")
-            except ValueError:
-                return None
-
-        return raw.map(one)
-
-    return run(content)
+    return _column("array<int>", _or_null(png.filter_types), content)
 
 
 ENTRY = "struct<type:string,field:string,value:string>"
@@ -82,50 +80,33 @@ ENTRY = "struct<type:string,field:string,value:string>"
 
 def metadata(content: Column | str) -> Column:
     """Rows (seq, type, field, value) of all chunks with fields, values as text; null for what can't be read."""
-
-    @F.pandas_udf("array<struct<seq:int,type:string,field:string,value:string>>")
-    def run(raw: pd.Series) -> pd.Series:
-        def one(r: bytes | None) -> list[dict] | None:
-            try:
-                return [dict(zip(("seq", "type", "field", "value"), m, strict=True)) for m in png.metadata(r or b"")]
-            except ValueError:
-                return None
-
-        return raw.map(one)
-
-    return run(content)
+    names = ("seq", "type", "field", "value")
+    return _column("array<struct<seq:int,type:string,field:string,value:string>>", _or_null(lambda raw: [dict(zip(names, m, strict=True)) for m in png.metadata(raw)]), content)
 
 
 def with_metadata(content: Column | str, entries: Column | str) -> Column:
     """A PNG with more chunks, from an array of (type, field, value); null where that can't be done."""
 
-    @F.pandas_udf("binary")
-    def run(raw: pd.Series, more: pd.Series) -> pd.Series:
-        def one(r: bytes | None, rows) -> bytes | None:
-            try:
-                return png.with_metadata(r or b"", [(e["type"], e["field"], e["value"]) for e in rows])
-            except (ValueError, KeyError, TypeError):
-                return None
+    def one(raw: bytes | None, rows: list[dict] | None) -> bytes | None:
+        try:
+            return png.with_metadata(raw or b"", [(e["type"], e["field"], e["value"]) for e in rows])
+        except (ValueError, KeyError, TypeError):
+            return None
 
-        return pd.Series([one(r, m) for r, m in zip(raw, more, strict=True)], dtype=object)
+    return _column("binary", one, content, entries)
 
-    return run(content, entries)
+
+def _encoded(raw: bytes | None, width: int | None, height: int | None, color_type: int, depth: int, **settings) -> dict:
+    try:
+        return {"content": png.encode(raw, int(width), int(height), color_type, depth, **settings), "error": None}
+    except (ValueError, TypeError, KeyError, struct.error) as e:
+        return {"content": None, "error": str(e)}
 
 
 def encode_animation(data: Column | str, width: Column, height: Column, frames: Column | str, color_type: int = 6, depth: int = 8, **settings) -> Column:
     """A struct (content, error) of a default image and ``frames``, an array of structs as ``decode`` gives them."""
-
-    @F.pandas_udf("struct<content:binary,error:string>")
-    def run(raw: pd.Series, w: pd.Series, h: pd.Series, parts: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, x, y, p in zip(raw, w, h, parts, strict=True):
-            try:
-                out.append((png.encode(r, int(x), int(y), color_type, depth, frames=[dict(f) for f in p], **settings), None))
-            except (ValueError, TypeError, KeyError) as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["content", "error"], dtype=object)
-
-    return run(data, width.cast("int"), height.cast("int"), frames)
+    one = lambda raw, w, h, parts: _encoded(raw, w, h, color_type, depth, frames=parts, **settings)
+    return _column("struct<content:binary,error:string>", one, data, width.cast("int"), height.cast("int"), frames)
 
 
 INFO = (
@@ -152,46 +133,25 @@ def _info(raw: bytes | None, read_texts: bool) -> dict:
 
 def info(content: Column | str, read_texts: bool = True) -> Column:
     """Header, colour mode, metadata, texts and chunk names of PNG bytes; what is absent is null."""
-
-    @F.pandas_udf(INFO)
-    def run(raw: pd.Series) -> pd.DataFrame:
-        names = "width height bit_depth color_type interlace palette key background phys time gamma plays texts chunk_names error".split()
-        return pd.DataFrame([_info(r, read_texts) for r in raw], columns=names, dtype=object)
-
-    return run(content)
+    return _column(INFO, lambda raw: _info(raw, read_texts), content)
 
 
 def convert(data: Column | str, width: Column, height: Column, source: Mode, target: Mode) -> Column:
     """Pixels of one mode as pixels of another, without row padding; null for too few bytes or a colour that the palette lacks."""
 
-    @F.pandas_udf("binary")
-    def run(raw: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        def one(r: bytes | None, x: int, y: int) -> bytes | None:
-            try:
-                made = raster.convert(raster.unpack_flat(r or b"", x, y, source.color_type, source.depth), source, target)
-                return raster.pack_flat(made, target.depth)
-            except ValueError:
-                return None
+    def one(raw: bytes | None, w: int, h: int) -> bytes | None:
+        try:
+            made = raster.convert(raster.unpack_flat(raw or b"", w, h, source.color_type, source.depth), source, target)
+            return raster.pack_flat(made, target.depth)
+        except ValueError:
+            return None
 
-        return pd.Series([one(r, int(x), int(y)) for r, x, y in zip(raw, w, h, strict=True)], dtype=object)
-
-    return run(data, width.cast("int"), height.cast("int"))
+    return _column("binary", one, data, width.cast("int"), height.cast("int"))
 
 
 def encode(data: Column | str, width: Column, height: Column, color_type: int = 6, depth: int = 8, **settings) -> Column:
     """A struct (content, error) of pixels without row padding; ``settings`` are those of ``functions.png.encode``."""
-
-    @F.pandas_udf("struct<content:binary,error:string>")
-    def run(raw: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
-        out = []
-        for r, x, y in zip(raw, w, h, strict=True):
-            try:
-                out.append((png.encode(r, int(x), int(y), color_type, depth, **settings), None))
-            except (ValueError, TypeError) as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["content", "error"], dtype=object)
-
-    return run(data, width.cast("int"), height.cast("int"))
+    return _column("struct<content:binary,error:string>", lambda raw, w, h: _encoded(raw, w, h, color_type, depth, **settings), data, width.cast("int"), height.cast("int"))
 
 
 def read_images(spark: SparkSession, path: str, mode: str = "RGBA8", on_error: str = "row", **options: bool) -> DataFrame:

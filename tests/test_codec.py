@@ -182,3 +182,11 @@ def test_numbers_beyond_their_field_are_an_error():
     for bad in ([("hIST", "counts", "0,65536")], [("sPLT", "name", "p"), ("sPLT", "depth", "16"), ("sPLT", "entries", "1,2,3,4,65536")], [("gAMA", "gamma", "4294967296")]):
         with pytest.raises(ValueError, match="fit"):
             png.with_metadata(indexed, bad)
+
+
+@pytest.mark.parametrize("strategy", ["minsum", "entropy", "brute_force"])
+def test_blocks_of_rows_are_filtered_as_rows_are(strategy, monkeypatch):
+    rows = np.random.default_rng(7).integers(0, 256, (23, 12)).astype(np.uint8)
+    whole = raster.filter_rows(rows, 3, strategy)
+    monkeypatch.setattr(raster, "BLOCK", 60)
+    assert (raster.filter_rows(rows, 3, strategy) == whole).all() and (raster.unfilter_rows(whole.ravel(), 23, 12, 3) == rows).all()

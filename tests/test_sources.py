@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import png
 from tessera.functions.raster import Mode
+from tessera.plans import rasters
 from tessera.sources import images
 from tessera.streaming.images import stream_images
 
@@ -72,3 +74,12 @@ def test_info_and_conversion_of_columns(spark):
     px = spark.createDataFrame([(bytes([10, 20, 30, 40]),), (b"1",), (None,)], "d binary")
     rows = [r.o and bytes(r.o) for r in px.select(images.convert("d", F.lit(1), F.lit(1), Mode(6, 8), Mode(2, 16)).alias("o")).collect()]
     assert rows == [bytes([10, 10, 20, 20, 30, 30]), None, None]
+
+
+def test_batches_do_not_grow_with_the_table(spark):
+    @F.arrow_udf("long")
+    def rows(ids: pa.Array) -> pa.Array:
+        return pa.array([len(ids)] * len(ids), pa.int64())
+
+    read = rasters.read(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
+    assert read.count() == 1000 and read.select(rows("doc_id").alias("n")).agg({"n": "max"}).first()[0] <= 500
