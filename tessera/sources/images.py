@@ -167,8 +167,11 @@ def chunks(files: DataFrame, key: str, content: str = "content") -> DataFrame:
 
 
 def frames(images: DataFrame, key: str, image: str = "image") -> DataFrame:
-    """One row per animation frame, in file order, not composed."""
-    return images.select(key, F.inline(F.col(f"{image}.frames")))
+    """One row per animation frame, in file order, not composed.
+
+    A plain inline has Spark decode each file twice, once to leave out images without frames.
+    """
+    return images.select(key, F.inline_outer(F.col(f"{image}.frames"))).where("frame_no is not null")
 
 
 @dataclass

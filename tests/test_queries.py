@@ -117,3 +117,8 @@ def test_metadata_fields_of_keys_beyond_16_bits(spark, late_keys):
 
 def test_metadata_info_of_keys_beyond_16_bits(spark, late_keys):
     beside_sql(spark, late_keys, "metadata_info")
+
+
+def test_animations_are_encoded_and_decoded_once(spark):
+    plan = Q.queries()["animation_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 4  # encoding and decoding in each half
