@@ -122,3 +122,11 @@ def test_metadata_info_of_keys_beyond_16_bits(spark, late_keys):
 def test_animations_are_encoded_and_decoded_once(spark):
     plan = Q.queries()["animation_frames"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 4  # encoding and decoding in each half
+
+
+@pytest.mark.parametrize("name", ["animation_info"])
+def test_images_go_by_arrow_in_bounded_batches(spark, name):
+    plan = Q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    kinds = {line.rstrip().rsplit(" ", 1)[1] for line in plan.splitlines() if "ArrowEvalPython [" in line}
+    assert kinds == {"250"}  # Spark's number of scalar Arrow functions; pandas' is 200
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
