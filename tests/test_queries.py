@@ -124,7 +124,7 @@ def test_animations_are_encoded_and_decoded_once(spark):
     assert plan.count("ArrowEvalPython [") == 4  # encoding and decoding in each half
 
 
-@pytest.mark.parametrize("name", ["animation_info", "png_auto_mode"])
+@pytest.mark.parametrize("name", ["animation_info", "png_auto_mode", "auto_mode_wide"])
 def test_images_go_by_arrow_in_bounded_batches(spark, name):
     plan = Q.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     kinds = {line.rstrip().rsplit(" ", 1)[1] for line in plan.splitlines() if "ArrowEvalPython [" in line}
