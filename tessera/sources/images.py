@@ -119,13 +119,14 @@ def _info(raw: bytes | None, read_texts: bool) -> dict:
     names = ("width", "height", "bit_depth", "color_type", "interlace", "palette")
     empty = dict.fromkeys([*names, "key", "background", "phys", "time", "gamma", "plays", "chunk_names", "error"]) | {"texts": []}
     try:
-        got = png.info(raw or b"", read_texts)
-        control = next((c for c in png.parse_chunks(raw) if c["type"] == "acTL"), None)
+        chunks = png.parse_chunks(raw or b"")
+        got = png.chunk_info(chunks, read_texts)
+        control = next((c for c in chunks if c["type"] == "acTL"), None)
         texts = [{"kind": k, "language": None, "translated": None} | t for k in ("tEXt", "zTXt", "iTXt") for t in got[k]]
         values = {n: list(got[c].values()) for n, c in (("background", "bKGD"), ("phys", "pHYs"), ("time", "tIME")) if c in got}
         return empty | {n: got[n] for n in names} | values | {
             "key": list(got["key"]) if got["key"] else None, "gamma": got["gAMA"]["gamma"] if "gAMA" in got else None,
-            "plays": png.parse_ancillary("acTL", control["data"], got, 0)["plays"] if control else None, "texts": texts, "chunk_names": png.chunk_names(raw),
+            "plays": png.parse_ancillary("acTL", control["data"], got, 0)["plays"] if control else None, "texts": texts, "chunk_names": png.shown_names(chunks),
         }
     except ValueError as e:
         return empty | {"error": str(e)}

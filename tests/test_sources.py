@@ -83,3 +83,11 @@ def test_batches_do_not_grow_with_the_table(spark):
 
     read = rasters.read(spark, "/root/testdata/sf0.01", "documents").coalesce(1)
     assert read.count() == 1000 and read.select(rows("doc_id").alias("n")).agg({"n": "max"}).first()[0] <= 500
+
+
+def test_info_parses_a_file_once(monkeypatch):
+    frame = {"x": 0, "y": 0, "width": 2, "height": 1, "data": bytes(8)}
+    image, parse, calls = png.encode(bytes(16), 2, 2, frames=[frame], plays=3), png.parse_chunks, []
+    monkeypatch.setattr(png, "parse_chunks", lambda *a, **b: calls.append(1) or parse(*a, **b))
+    got = images._info(image, True)
+    assert (got["plays"], got["chunk_names"], got["error"]) == (3, png.chunk_names(image), None) and len(calls) == 2  # one is chunk_names here
